@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, records, token_counts
+from . import chat, decontaminate, jaccard_join, line_dedup, packing, records, token_counts
 from .common import table, work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,18 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicate(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.over_limit(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=1024)
 
@@ -43,7 +55,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.parse(formatted))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_token_records, op2_best_fit_packing, op9_token_counts, op10_chat_formatting)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_token_records, op2_best_fit_packing, op5_ngram_jaccard_join, op6_line_dedup, op7_benchmark_decontamination, op9_token_counts, op10_chat_formatting)}
 
 
 def _escaped(x: str) -> str:
