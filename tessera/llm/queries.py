@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard_join, line_dedup, packing, records, token_counts
+from . import chat, decontaminate, jaccard_join, line_dedup, packing, pairwise_quality, quality_rules, records, token_counts, toxicity
 from .common import table, work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,14 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
@@ -41,6 +49,10 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairwise_quality.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.over_limit(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=1024)
 
@@ -55,7 +67,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.parse(formatted))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_token_records, op2_best_fit_packing, op5_ngram_jaccard_join, op6_line_dedup, op7_benchmark_decontamination, op9_token_counts, op10_chat_formatting)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_token_records, op2_best_fit_packing, op3_toxicity, op4_quality_rules, op5_ngram_jaccard_join, op6_line_dedup, op7_benchmark_decontamination, op8_quality_classifier, op9_token_counts, op10_chat_formatting)}
 
 
 def _escaped(x: str) -> str:
