@@ -86,7 +86,8 @@ def counts(docs: DataFrame) -> DataFrame:
 def _discounts(table: DataFrame) -> DataFrame:
     n = [F.count_if(F.col("n") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)]
     y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
-    d = [F.coalesce(F.least(F.greatest(i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}")), F.lit(0.05)), F.lit(float(i))), F.lit(0.5 * i)).alias(f"d{i}") for i in (1, 2, 3)]
+    raw = [i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}")) for i in (1, 2, 3)]
+    d = [F.when(x.isNull(), 0.5 * i).otherwise(F.least(F.greatest(x, F.lit(0.05)), F.lit(float(i)))).alias(f"d{i}") for i, x in enumerate(raw, 1)]
     return table.groupBy("lang").agg(*n).select("lang", *d)
 
 
