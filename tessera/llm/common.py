@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -64,7 +68,23 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int =
             yield batch.slice(start), texts
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives executors the package, once a session, so that they needn't have it on their path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tessera_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    folder = tempfile.mkdtemp(prefix="tessera-")  # the driver serves it as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/tessera.zip", "w") as z:
+        for f in package.rglob("*.py"):
+            z.write(f, f"{package.name}/{f.relative_to(package)}")
+    sc.addPyFile(f"{folder}/tessera.zip")
+    sc._tessera_shipped = True
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    ship(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
