@@ -9,8 +9,8 @@
    as they stand.
 3. The lexicon is learned from labelled documents that may be learned from: how much
    likelier toxic documents have a word, or a word beginning (4 to 6 letters), than
-   others, by counts of documents that differ (near copies, told by a word-pair
-   min-hash, count once). A document scores as the strongest word in any reading of it.
+   others, by counts of documents that differ (near copies, told by min-hashes of word
+   pairs, count once). A document scores as the strongest word in any reading of it.
 
 Labels may be sampled: at most `max_rows` of each label, by a hash of the id.
 
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ngram_lm
+from .blooms import mixed
 from .common import map_arrow, materialise, slices, texts_of
 from .encoding import Memo
 from .pairwise_quality import learnable, sample
@@ -40,6 +41,10 @@ OUTER = ".,;:!?\"'()[]{}<>«»¡¿…-_*#$%&|"
 SPELLED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!€])(?:[ .\-_*~·]{1,2}(?:[^\W_]|[@$!€])){3,}(?![^\W_])")
 RUN = re.compile(r"(.)\1\1")
 WIDTH, READINGS, LONGEST = 24, 4, 64
+#: Min-hashes that tell near copies, and documents of the other label that every word is taken to be in besides.
+COPIES, DOUBT = 4, 1.0
+#: Letters of a beginning, and words of toxic documents that must have it: with fewer it says no more than the words.
+LENGTHS, VARIETY = (4, 5, 6), 5
 LOOK, DROP, REPEAT = 1.2, 0.7, 0.4
 
 
@@ -99,7 +104,7 @@ def words_in(text: str) -> set[str]:
 
 
 def beginnings(word: str) -> list[str]:
-    return [f"^{word[:n]}" for n in (4, 5, 6) if len(word) > n]
+    return [f"^{word[:n]}" for n in LENGTHS if len(word) > n]
 
 
 def readings_of(word: str, decoder: Decoder) -> list[str]:
@@ -116,11 +121,13 @@ def spelled_out(text: str) -> list[str]:
     return [m.group().lower() for m in SPELLED.finditer(text)]
 
 
-def near_copy(words: list[str]) -> int:
-    """The smallest hash of two words next to each other: equal for most near copies."""
+def near_copies(words: list[str], n: int = COPIES) -> list[int]:
+    """The smallest of n hashes of two words next to each other: most near copies share one of them at least."""
     import xxhash
 
-    return min((xxhash.xxh3_64_intdigest(f"{a} {b}".encode("utf-8", "surrogatepass")) >> 1 for a, b in zip(words, [*words[1:], ""], strict=True)), default=0)
+    pairs = {f"{a} {b}".encode("utf-8", "surrogatepass") for a, b in zip(words, [*words[1:], ""], strict=True)}
+    h = np.array([xxhash.xxh3_64_intdigest(p) for p in pairs] or [0], dtype=np.uint64)
+    return [int((mixed(h ^ np.uint64(k)) >> np.uint64(1)).min()) for k in range(n)]
 
 
 _decoders: dict[str, Decoder] = {}
@@ -167,18 +174,25 @@ def lexicon(docs: DataFrame, labels: DataFrame, max_rows: int, least_docs: int,
                 if label is not None:
                     words = text.lower().split()
                     plain = {w.strip(OUTER) for w in words} - {""}
-                    rows.append((label, near_copy(words), sorted(plain | {b for w in plain for b in beginnings(w)})))
+                    rows.append((label, near_copies(words), sorted(plain | {b for w in plain for b in beginnings(w)})))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.list_(pa.string())), strict=True)], names=["label", "copy", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.string())), strict=True)], names=["label", "copies", "words"])
 
-    seen = materialise(map_arrow(texts_of(docs), emit, "label int, copy long, words array<string>").dropDuplicates(["label", "copy"]), "labelled")
+    seen = materialise(map_arrow(texts_of(docs), emit, "label int, copies array<long>, words array<string>"), "labelled")
+    for k in range(COPIES):
+        seen = seen.withColumn("copy", F.col("copies")[k]).dropDuplicates(["label", "copy"])
+    seen = materialise(seen.select("label", "words"), "differing")
     n = {r[0]: r[1] for r in seen.groupBy("label").count().collect()}
     toxic, other = n.get(1, 0), n.get(0, 0)
     if not toxic:
         return {}
     per = seen.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.count_if(F.col("label") == 1).alias("t"), F.count_if(F.col("label") == 0).alias("o")).where(F.col("t") >= least_docs)
+    words = seen.where("label = 1").select(F.explode("words").alias("w")).where(~F.col("w").startswith("^")).distinct()
+    starts = words.select(F.explode(F.array(*[F.when(F.length("w") > n, F.concat(F.lit("^"), F.substring("w", 1, n))) for n in LENGTHS])).alias("word"))
+    varied = starts.where(F.col("word").isNotNull()).groupBy("word").agg(F.count("*").alias("v"))
+    per = per.join(varied, "word", "left").where(~F.col("word").startswith("^") | (F.col("v") >= VARIETY))
     p = prior * F.col("t") / toxic
-    p = p / (p + (1 - prior) * (F.col("o") + 0.5) / max(other, 1))
+    p = p / (p + (1 - prior) * (F.col("o") + DOUBT) / max(other, 1))
     return {r[0]: r[1] for r in per.select("word", p.alias("p")).where(F.col("p") > prior).collect()}
 
 
