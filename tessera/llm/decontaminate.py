@@ -41,19 +41,23 @@ from .common import SLICE_CHARS, map_arrow, slices, texts_of
 from .encoding import Memo
 
 WIDTHS = (12, 6, 3, 1)
-DROP = str.maketrans(dict.fromkeys(string.punctuation))
+DROP = string.punctuation.encode()
 #: Words of all items in one block that goes to the tasks.
 BLOCK_WORDS = 1_000_000
 
 
-def words_of(text: str) -> list[str]:
-    return text.lower().translate(DROP).split()
+def words_of(text: str) -> list[bytes]:
+    return text.lower().encode("utf-8", "surrogatepass").translate(None, DROP).split()
 
 
-def word_hash(word: str) -> int:
+def joined(words: list[bytes]) -> str:
+    return b" ".join(words).decode("utf-8", "surrogatepass")
+
+
+def word_hash(word: bytes) -> int:
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+    return xxhash.xxh3_64_intdigest(word)
 
 
 def walk_bits(hashes: np.ndarray, seed: int) -> np.ndarray:
@@ -105,9 +109,9 @@ def combine(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
 class Index:
     """Item windows by class of width and repetition."""
 
-    def __init__(self, items: list[tuple[int, list[str]]], samples: int, edit_rate: float, recall: float):
+    def __init__(self, items: list[tuple[int, list[bytes]]], samples: int, edit_rate: float, recall: float):
         self.lengths = [len(w) for _, w in items]
-        self.patterns = [" ".join(w) for _, w in items]
+        self.patterns = [joined(w) for _, w in items]
         self.ids = [i for i, _ in items]
         self.classes = []
         for width, above in zip(WIDTHS, (None, *WIDTHS), strict=False):
@@ -183,7 +187,7 @@ def best_match(pattern: str, text: str) -> tuple[int, int]:
 _hashes = Memo(word_hash, 300_000)
 
 
-def hashes_of(words: list[str]) -> np.ndarray:
+def hashes_of(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
@@ -213,7 +217,7 @@ def matches(texts: list[str], index: Index, max_edit: float) -> list[tuple[int,
             first = max(0, place - slack)
             part = words[k][first : max(0, place + slack) + n + slack]
             done = place + slack // 2
-            text = " ".join(part)
+            text = joined(part)
             edits, end = best_match(pattern, text)
             if edits <= max_edit * len(pattern) and (best is None or edits < best[0]):
                 last = text.count(" ", 0, end)
@@ -223,7 +227,7 @@ def matches(texts: list[str], index: Index, max_edit: float) -> list[tuple[int,
     return found
 
 
-def contaminated(docs: DataFrame, items: DataFrame, max_edit: float = 0.2, samples: int = 3, edit_rate: float = 0.1, recall: float = 0.99) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, max_edit: float = 0.2, samples: int = 6, edit_rate: float = 0.05, recall: float = 0.99) -> DataFrame:
     """doc_id, item_id, first_word, n_words, edits, item_chars of every benchmark passage found."""
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, first_word long, n_words long, edits long, item_chars long"
