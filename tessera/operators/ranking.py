@@ -9,10 +9,10 @@ RANGES = 256
 
 
 def _ranged(df: DataFrame, key: str, ranges: int) -> DataFrame:
-    """Adds _range: rows of equal width of the key, in its order. The bounds are one row."""
-    ends = df.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
-    width = F.greatest(F.ceil((F.col("_hi") - F.col("_lo") + 1) / ranges), F.lit(1))
-    return df.join(F.broadcast(ends)).withColumn("_range", F.floor((F.col(key) - F.col("_lo")) / width)).drop("_lo", "_hi")
+    """Adds _range: rows of equal width of the key, in its order."""
+    lo, hi = df.agg(F.min(key), F.max(key)).first()
+    width = 1 if lo is None else max(1, -(-(hi - lo + 1) // ranges))
+    return df.withColumn("_range", F.floor((F.col(key) - F.lit(lo or 0)) / width))
 
 
 def running(df: DataFrame, key: str, amount: Column, name: str, ranges: int = RANGES) -> DataFrame:
@@ -32,13 +32,11 @@ def ranked(df: DataFrame, key: str, name: str = "rank", ranges: int = RANGES) ->
 
 def systematic(df: DataFrame, key: str, sample: int) -> DataFrame:
     """Every n-th row in order of key, from the first on: `sample` rows, or all there are."""
-    total = df.agg(F.greatest(F.floor(F.count("*") / max(sample, 1)), F.lit(1)).alias("_step"))
-    rows = ranked(df, key, "_rank").join(F.broadcast(total))
-    return rows.where((F.col("_rank") % F.col("_step") == 0) & (F.col("_rank") < F.col("_step") * sample)).drop("_rank", "_step")
+    step = max(1, df.count() // max(sample, 1))
+    return ranked(df, key, "_rank").where((F.col("_rank") % step == 0) & (F.col("_rank") < step * sample)).drop("_rank")
 
 
 def weighted_pick(df: DataFrame, key: str, weight: str, fraction: float) -> DataFrame:
     """The first row, in order of key, at which the running weight reaches this fraction of the whole."""
-    total = df.agg((F.sum(weight) * F.lit(fraction)).alias("_goal"))
-    reached = running(df, key, F.col(weight), "cumulative").join(F.broadcast(total)).where(F.col("cumulative") >= F.col("_goal"))
-    return reached.drop("_goal").orderBy(key).limit(1)
+    goal = (df.agg(F.sum(weight)).first()[0] or 0) * fraction
+    return running(df, key, F.col(weight), "cumulative").where(F.col("cumulative") >= F.lit(float(goal))).orderBy(key).limit(1)

@@ -68,9 +68,11 @@ def matrix(batch: pa.RecordBatch, first: int, dims: int) -> np.ndarray:
 
 
 def blocks(queries: DataFrame, qid: str, dims: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Queries in blocks of bounded size, a partition at a time."""
+    """Queries in blocks of bounded size: one block by one job, more a partition at a time."""
+    rows = queries.select(F.col(qid).cast("long"), *columns(dims))
+    few = rows.limit(BLOCK + 1).collect()
     held: list = []
-    for row in queries.select(F.col(qid).cast("long"), *columns(dims)).toLocalIterator(prefetchPartitions=True):
+    for row in few if len(few) <= BLOCK else rows.toLocalIterator(prefetchPartitions=True):
         held.append(row)
         if len(held) == BLOCK:
             x = np.array(held, dtype=np.int64)

@@ -118,7 +118,8 @@ def exact_knn5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _one_pass(vectors: DataFrame, dims: int) -> tuple[DataFrame, DataFrame]:
-    """(centroids, postings) after one deterministic round."""
+    """(centroids, postings) after one deterministic round. Each of its passes reads the vectors once more, so they are written first."""
+    vectors = index.stored(vectors, "vectors")
     seeds = index.strided_seeds(vectors, CLUSTERS, dims)
     centroids = index.stored(index.update(index.assign(vectors, seeds, dims), seeds, dims), "centroids")
     return centroids, index.postings(index.assign(vectors, centroids, dims))
@@ -126,7 +127,7 @@ def _one_pass(vectors: DataFrame, dims: int) -> tuple[DataFrame, DataFrame]:
 
 @query
 def ivf_knn5_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = fixtures.vectors(spark, sf_dir)
+    v = index.stored(fixtures.vectors(spark, sf_dir), "vectors")
     centroids, lists = _one_pass(v, DIMS)
     return search.ivf_score(lists, centroids, fixtures.queries(v), PROBES)
 
@@ -259,6 +260,7 @@ def http_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.col("body")
     raw = F.concat(F.lit("POST /fraud-score HTTP/1.1\r\nContent-Length: "), F.length(body).cast("string"), F.lit("\r\nConnection: "), F.when(F.col("event_id") % 100 == 0, "close").otherwise("keep-alive"), F.lit("\r\n\r\n"), body)
     asked = fixtures.requests(spark, sf_dir).where("event_id % 50 = 0").select("event_id", raw.alias("raw"))
+    asked = index.stored(asked, "requests")  # framed, parsed and joined again
     return scorer.respond(asked, lambda q: search.nearest(v, q, exclude_self=True))
 
 
