@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
+import hashlib
+import io
 import tempfile
 import uuid
 import zipfile
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 #: Texts are worked on in slices of about so many characters, which bounds a Python worker's memory whatever the Arrow batch size.
 SLICE_CHARS = 2_000_000
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -30,6 +31,13 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def file_system(path: str):
+    """(pyarrow file system, path in it) of a folder any Hadoop-style URI names."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/tessera/{name}-{uuid.uuid4().hex}"
 
@@ -73,13 +81,18 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if getattr(sc, "_tessera_shipped", False):
         return
-    package = Path(__file__).resolve().parent.parent
-    folder = tempfile.mkdtemp(prefix="tessera-")  # the driver serves it as long as it runs
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    with zipfile.ZipFile(f"{folder}/tessera.zip", "w") as z:
-        for f in package.rglob("*.py"):
-            z.write(f, f"{package.name}/{f.relative_to(package)}")
+    package, data = Path(__file__).resolve().parent.parent, io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.writestr(zipfile.ZipInfo(f"{package.name}/{f.relative_to(package)}"), f.read_bytes())
+    folder = f"{shared_root(spark)}/tessera/package-{hashlib.sha256(data.getvalue()).hexdigest()[:16]}"
+    system, path = file_system(folder)
+    system.create_dir(path, recursive=True)
+    with system.open_output_stream(f"{path}/tessera.zip", compression=None) as out:
+        out.write(data.getvalue())
     sc.addPyFile(f"{folder}/tessera.zip")
+    if spark.conf.get(BATCH) == "10000":  # the default is for short rows; documents are long ones
+        spark.conf.set(BATCH, "2000")
     sc._tessera_shipped = True
 
 

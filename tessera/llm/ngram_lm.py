@@ -187,7 +187,7 @@ def load(path: str, lang: str) -> Model:
     if (path, lang) not in _models:
         import pyarrow.dataset as ds
 
-        from .records import file_system
+        from .common import file_system
 
         system, root = file_system(path)
         table = ds.dataset(root, filesystem=system, format="parquet", exclude_invalid_files=False).to_table(filter=ds.field("lang") == lang, columns=["part", "hash", "value"])

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, shuffle_partitions, slices, texts_of
+from .common import file_system, map_arrow, shuffle_partitions, slices, texts_of
 
 HEAD = struct.Struct("<QI")
 TAIL = struct.Struct("<I")
@@ -77,13 +77,6 @@ def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
     return None if null else doc_id, np.frombuffer(payload, dtype=f"<u{width}", offset=LEAD.size)
 
 
-def file_system(path: str):
-    """(pyarrow file system, path in it) of a folder any Hadoop-style URI names."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-
-
 def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int | None, files: int | None = None) -> DataFrame:
     """Encodes docs and writes them below path; gives the manifest (one row a file), read from its table."""
     spark = docs.sparkSession
