@@ -11,6 +11,8 @@ from .common import map_arrow
 
 BLOCK_BITS = 1 << 18
 MOST_BITS = 1 << 27
+#: Ids that may be broadcast as such: 16 MB of hashed relation at most.
+BROADCAST_ROWS = 500_000
 BITS_A_KEY = 16
 
 
@@ -68,22 +70,27 @@ def may_hold(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def few(ids: DataFrame) -> bool:
+    """Whether a one-column table of longs may be broadcast as a hashed relation."""
+    return ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 def wanted(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """Rows whose column is in ids (one column of longs, written), perhaps with a few others."""
+    """Rows whose column is in ids (one column of distinct longs, written; nulls match nothing), perhaps with a few others.
+
+    Few ids are broadcast; more are a Bloom filter of bounded size; beyond that the two are shuffled.
+    """
+    ids = ids.toDF(column).where(F.col(column).isNotNull())
+    if few(ids):
+        return rows.join(F.broadcast(ids), column, "left_semi").select(*rows.columns)
     found = bloom(ids)
     if found is None:
-        return rows.join(ids.toDF(column).distinct(), column, "left_semi")
+        return rows.join(ids.hint("shuffle_merge"), column, "left_semi").select(*rows.columns)
     shared = rows.sparkSession.sparkContext.broadcast(found)
     place = rows.columns.index(column)
 
     def keep(batches):
         for batch in batches:
-            keys = batch.column(place)
-            at = may_hold(shared.value, np.asarray(keys.fill_null(0)))
-            yield batch.filter(pa.array(at))
+            yield batch.filter(pa.array(may_hold(shared.value, np.asarray(batch.column(place).fill_null(0)))))
 
     return rows.mapInArrow(keep, rows.schema)
-
-
-def count_rows(df: DataFrame) -> int:
-    return df.agg(F.count("*")).first()[0]

@@ -7,14 +7,16 @@
    prefixes alone are joined. Any total order gives all links; a good one gives few
    candidates, and what very many documents share lies in no prefix.
 3. Candidates must pass the length filter (sizes within t) and the positional filter (what
-   is left after the shared shingle can still reach the overlap needed); pairs are then
-   verified once: suffix filter (the halves' sizes around a probe bound the overlap), then
-   the exact overlap of the full sets.
+   is left after the shared shingle can still reach the overlap needed), and the suffix
+   filter (the sizes between fixed probes bound the overlap). Those left are verified
+   once, by the exact overlap of the full sets, which only they are made again for.
 4. links.resolve() joins verified links to components.
 
 Edge cases: without words or text the set is empty and the document is linked with
 nothing, its own component; with fewer than k words the whole sequence is one shingle;
-repeated rows give a row each; an empty table gives none; other columns are ignored.
+repeated rows give a row each; a set that only rows without a doc_id have is linked with
+nothing, and their component_id is null; an empty table gives none; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .blooms import mixed, wanted
 from .common import map_arrow, materialise, slices, texts_of
-from .links import PAIRS, resolve, shared
+from .links import PAIRS, can_link, resolve, shared, spread, spread_matrix
 
 SKETCH_BITS = 21
 SKETCH_BLOCKS = 64
@@ -36,7 +38,7 @@ ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27
 class Shingles:
     """A text's set of k-word shingles as ascending 64-bit hashes; A-Z are lower-cased and words end at ASCII white space."""
 
-    def __init__(self, k: int, most: int = 300_000):
+    def __init__(self, k: int, most: int = 200_000):
         from .encoding import Memo
 
         self.k = k
@@ -80,20 +82,20 @@ def signature(hashes: np.ndarray) -> int:
 
 
 def scan(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n_shingles, node) of every document, written, and the sketch (a fixed 2**SKETCH_BITS counters)."""
+    """(doc_id, n_shingles, node, spread) of every document, written, and the sketch (a fixed 2**SKETCH_BITS counters)."""
 
     def count(batches):
         own, sets = np.zeros(1 << SKETCH_BITS, dtype=np.int64), shingler(k)
         for batch, texts in slices(batches):
-            ids, sizes, nodes, all_ = batch.column(0), [], [], []
+            ids, sizes, nodes, all_, spreads = batch.column(0), [], [], [], []
             for text in texts:
                 s = sets.of(text)
                 sizes.append(len(s))
                 nodes.append(signature(s) if len(s) else None)
                 all_.append(s)
+                spreads.append(spread(s))
             own += np.bincount((np.concatenate(all_) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(own))
-            none = pa.nulls(len(texts), pa.binary())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(len(texts), pa.int32()), none], names=["doc_id", "n_shingles", "node", "block", "counts"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(len(texts), pa.int32()), pa.array(spreads, pa.binary())], names=["doc_id", "n_shingles", "node", "block", "counts"])
         if own.any():
             blocks = own.astype("<u4").reshape(SKETCH_BLOCKS, -1)
             none = pa.nulls(SKETCH_BLOCKS, pa.int64())
@@ -109,7 +111,7 @@ def scan(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
     sketch = np.zeros((SKETCH_BLOCKS, (1 << SKETCH_BITS) // SKETCH_BLOCKS), dtype=np.uint16)
     for block, counts in rows.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(add, "block int, counts binary").collect():  # SKETCH_BLOCKS rows of fixed size
         sketch[block] = np.frombuffer(bytes(counts), dtype="<u2")
-    return rows.where("block is null").select("doc_id", "n_shingles", "node"), sketch.reshape(-1)
+    return rows.where("block is null").select("doc_id", "n_shingles", "node", F.col("counts").alias("spread")), sketch.reshape(-1)
 
 
 def prefixes(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray) -> DataFrame:
@@ -148,13 +150,19 @@ def possible(num: int, den: int):
     return fits
 
 
-def most_overlap(a: np.ndarray, b: np.ndarray, depth: int) -> int:
-    """An upper bound of the overlap from the sizes on both sides of probes."""
-    if not depth or not len(a) or not len(b):
-        return min(len(a), len(b))
-    i = len(a) // 2
-    j = int(np.searchsorted(b, a[i]))
-    return most_overlap(a[:i], b[:j], depth - 1) + most_overlap(a[i:], b[j:], depth - 1)
+def sifter(spreads: DataFrame, num: int, den: int):
+    """The suffix filter: two sets share no more of a range between two probes than the smaller has there. spreads: (node, spread)."""
+
+    def check(batches):
+        for batch in batches:
+            keep = can_link(spread_matrix(batch.column(2)), spread_matrix(batch.column(3)), num, den) if batch.num_rows else np.empty(0, dtype=bool)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    def sift(pairs: DataFrame) -> DataFrame:
+        x, y = (spreads.select(F.col("node").alias(c), F.col("spread").alias(f"s{c}")) for c in ("a", "b"))
+        return map_arrow(pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb"), check, PAIRS)
+
+    return sift
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -170,7 +178,7 @@ def verifier(num: int, den: int):
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 a, b = np.frombuffer(x.as_buffer(), dtype="<u8"), np.frombuffer(y.as_buffer(), dtype="<u8")
                 need = -(-num * (len(a) + len(b)) // (num + den))
-                keep.append(den * min(len(a), len(b)) >= num * max(len(a), len(b)) and most_overlap(a, b, 3) >= need and overlap(a, b) >= need)
+                keep.append(den * min(len(a), len(b)) >= num * max(len(a), len(b)) and overlap(a, b) >= need)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return lambda pairs: map_arrow(pairs, check, PAIRS)
@@ -199,10 +207,19 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Da
     listed, sketch = scan(docs, k)
     buckets = materialise(shared(prefixes(docs, k, num, den, sketch)).distinct(), "buckets")
     sets = listed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
-    firsts = materialise(sets.join(buckets.select("node").distinct(), "node", "left_semi"), "firsts")
-    payload = materialise(sets_of(wanted(texts_of(docs), firsts.select("first"), "doc_id"), k).groupBy("node").agg(F.first("data").alias("data")).join(firsts.select("node"), "node", "left_semi"), "sets")
-    labels = resolve(buckets, payload, verifier(num, den), possible(num, den))
-    named = labels.join(firsts, "node")
+    near = buckets.select("node").distinct()
+    spreads = materialise(listed.join(near, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("spread").alias("spread")), "spreads")
+
+    def fetch(nodes: DataFrame) -> DataFrame:
+        ids = materialise(spreads.join(nodes, "node", "left_semi").select("first").distinct(), "firsts")
+        some = sets_of(wanted(texts_of(docs), ids, "doc_id"), k)
+        return some.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
+    def marks(nodes: DataFrame) -> DataFrame:
+        return spreads.select("node", "spread").join(nodes, "node", "left_semi")
+
+    labels = resolve(buckets, fetch, verifier(num, den), marks, num, den, possible(num, den), sifter(spreads.select("node", "spread"), num, den))
+    named = labels.join(spreads.select("node", "first"), "node")
     smallest = named.groupBy("component").agg(F.min("first").alias("smallest"))
     named = named.join(smallest, "component").select("node", "smallest", "links")
     of = sets.join(named, "node", "left").select("node", F.coalesce("smallest", "first").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))

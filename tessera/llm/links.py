@@ -5,8 +5,14 @@ link between nodes that are already joined needs no check:
 
 1. Star rounds: each bucket pairs its nodes with one centre; distinct pairs are verified
    and joined. Copies of one thing fall together here, in pairs linear in the bucket.
+   Rounds go on, with other centres and the buckets that still hold several components,
+   as long as they find links.
 2. Completion: buckets that still hold several components pair their nodes across those,
-   so no link between different components is lost, and nothing is capped.
+   so no link between different components is lost, and nothing is capped. Buckets of up
+   to SMALL nodes are joined with themselves. Larger ones are cut into blocks of about
+   WIDE nodes, and a task compares two blocks by their sets' spreads (how many hashes lie
+   in each of equal ranges: two sets share no more of a range than the smaller has
+   there), so that only pairs that can be links become rows.
 
 Each pair is verified once, whatever the number of buckets it shares.
 """
@@ -15,13 +21,98 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import map_arrow, materialise
 from .components import connected_components
 
 PAIRS = "a long, b long"
+SMALL, WIDE = 3, 512
+#: Star rounds at most, and links a pair that make another one worth while.
+MOST_STARS, GAIN = 5, 0.02
+#: Ranges of hashes in a spread.
+PROBE_BITS = 9
+#: What a range says that holds as many or more.
+MANY = 255
+
+
+def spread(hashes: np.ndarray) -> bytes:
+    """How many of a set's hashes lie in each of the equal ranges."""
+    return np.minimum(np.bincount((hashes >> np.uint64(64 - PROBE_BITS)).astype(np.int64), minlength=1 << PROBE_BITS), MANY).astype(np.uint8).tobytes()
+
+
+def spread_matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1)
+
+
+def can_link(x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether spreads x (one or a row each) and y (rows) allow a similarity of num / den; ranges that can't tell how many they have allow any."""
+    most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+    sizes = x.sum(axis=-1, dtype=np.int64) + y.sum(axis=1, dtype=np.int64)
+    return ((num + den) * most >= num * sizes) | (x == MANY).any(axis=-1) | (y == MANY).any(axis=1)
+
+
+def wide_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of different components within keys that may be linked, once a pair. rows: key, node, of, spread, n (nodes of the key), keys (all of the node, ascending)."""
+    n = F.greatest(F.ceil(F.col("n") / WIDE), F.lit(1)).cast("int")
+    own = F.pmod(F.xxhash64("node"), n).cast("int")
+    other = F.explode(F.sequence(F.lit(0), n - 1))
+    dealt = rows.select("key", "node", "of", "spread", "keys", own.alias("own"), other.alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "of", "spread", "keys")
+
+    dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return map_arrow(dealt, block_pairs(num, den), PAIRS)
+
+
+def block_pairs(num: int, den: int):
+    """Compares the two blocks of each (key, lo, hi) in a stream sorted by those; holds the rows of one at a time.
+
+    Two nodes may share many keys; their pair is given in the smallest of those.
+    """
+
+    def compare(key: int, lo: int, hi: int, rows: pa.Table) -> pa.RecordBatch:
+        node, of, own = (np.asarray(rows.column(c)) for c in ("node", "of", "own"))
+        x = spread_matrix(rows.column("spread").combine_chunks())
+        lists = rows.column("keys").combine_chunks()
+        keys, ends = np.asarray(lists.flatten()), np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
+        full = (x == MANY).any(axis=1)
+        sizes = x.sum(axis=1, dtype=np.int64)
+        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        a, b = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+        for i in left:
+            to = right[(of[right] != of[i]) & ((node[right] > node[i]) | (lo != hi))]
+            to = to[(den * np.minimum(sizes[to], sizes[i]) >= num * np.maximum(sizes[to], sizes[i])) | full[to] | full[i]]
+            if len(to):
+                to = to[can_link(x[i], x[to], num, den)]
+                own_keys = keys[ends[i] : ends[i + 1]]
+                to = to[[int(np.intersect1d(own_keys, keys[ends[j] : ends[j + 1]])[0]) == key for j in to]] if len(to) else to
+                a.append(np.full(len(to), node[i]))
+                b.append(node[to])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def stream(batches):
+        held, last = [], None
+        for batch in batches:
+            keys = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(3)], axis=1)
+            if not len(keys):
+                continue
+            ends = [*(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            start = 0
+            for end in ends:
+                now = tuple(keys[start])
+                if last is not None and now != last:
+                    yield compare(*map(int, last), pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(start, end - start))
+                last, start = now, end
+        if held:
+            yield compare(*map(int, last), pa.Table.from_batches(held))
+
+    return stream
 
 
 def shared(rows: DataFrame) -> DataFrame:
@@ -32,16 +123,19 @@ def shared(rows: DataFrame) -> DataFrame:
     return rows.withColumn("lo", F.min("node").over(of)).withColumn("hi", F.max("node").over(of)).where("lo <> hi").drop("lo", "hi")
 
 
-def resolve(buckets: DataFrame, payload: DataFrame, verify: Callable[[DataFrame], DataFrame], possible: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None, stars: int = 2) -> DataFrame:
+def resolve(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], spreads: Callable[[DataFrame], DataFrame], num: int, den: int, possible: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None, sift: Callable[[DataFrame], DataFrame] | None = None, stars: int = MOST_STARS) -> DataFrame:
     """(node, component, links) of linked nodes; links counts a node's verified links, not those that needed no check.
 
-    buckets: (key, node, ...), written; payload: (node, data), written; verify takes (a, b, x, y), x and y being data, and gives the linked (a, b);
-    possible(x, y) may rule out pairs by the buckets' further columns.
+    buckets: (key, node, ...), written. fetch gives (node, data) of a table of nodes; verify takes (a, b, x, y), x and y being
+    data, and gives the linked (a, b), whose similarity is num / den or more. spreads gives (node, spread) of a table of
+    nodes. possible(x, y) may rule out pairs by the buckets' further columns, and sift pairs
+    (a, b) by anything cheaper than their data.
     """
     more = [c for c in buckets.columns if c not in ("key", "node")]
     fits = possible or (lambda x, y: F.lit(True))
-    tried = links = labels = None
-    for turn in range(stars + 1):
+    tried = links = labels = data = None
+    turn, last = 0, not stars
+    while True:
         if labels is None:
             now = buckets.withColumn("of", F.col("node"))
         else:
@@ -51,18 +145,37 @@ def resolve(buckets: DataFrame, payload: DataFrame, verify: Callable[[DataFrame]
             if now.isEmpty():
                 break
         row = F.struct(*[F.col(c).alias(c) for c in ("node", "of", *more)])
-        if turn < stars:
+        if not last:
             centre = now.groupBy("key").agg(F.min_by(row, F.struct(F.col("node") if not turn else F.xxhash64("of", F.lit(turn)), "node")).alias("y"))
             pairs = now.select("key", row.alias("x")).join(centre, "key")
         else:
-            pairs = now.select("key", row.alias("x")).join(now.select("key", row.alias("y")), "key").where("x.node < y.node")
+            sizes = materialise(now.groupBy("key").agg(F.count("*").alias("n")), "sizes")
+            few = now.join(sizes.where(F.col("n") <= SMALL), "key")
+            pairs = few.select("key", row.alias("x")).join(few.select("key", row.alias("y")), "key").where("x.node < y.node")
         pairs = pairs.where((F.col("x.of") != F.col("y.of")) & fits(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))
-        pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs, "pairs")
-        full = pairs.join(payload.select(F.col("node").alias("a"), F.col("data").alias("x")), "a").join(payload.select(F.col("node").alias("b"), F.col("data").alias("y")), "b")
+        pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+        if last:
+            wide = materialise(now.join(sizes.where(F.col("n") > SMALL), "key").select("key", "node", "of", "n"), "wide")
+            if not wide.isEmpty():
+                marks = materialise(spreads(wide.select("node").distinct()), "marks")
+                held = wide.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # a node's keys are bounded by its own size
+                pairs = pairs.union(wide_pairs(wide.join(marks, "node").join(held, "node"), num, den))
+        pairs = pairs.distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = materialise(sift(pairs) if sift else pairs, "pairs")
+        new = pairs.select("a").union(pairs.select("b")).distinct().toDF("node")
+        new = materialise(new if data is None else new.join(data.select("node"), "node", "left_anti"), "nodes")
+        fresh = materialise(fetch(new), "data")
+        data = fresh if data is None else data.union(fresh)
+        full = pairs.join(data.select(F.col("node").alias("a"), F.col("data").alias("x")), "a").join(data.select(F.col("node").alias("b"), F.col("data").alias("y")), "b")
         found = materialise(verify(full.select("a", "b", "x", "y")), "links")
         tried = pairs if tried is None else tried.union(pairs)
         links = found if links is None else links.union(found)
         labels = materialise(connected_components(links), "labels")
+        if last:
+            break
+        turn += 1
+        last = turn >= stars or found.count() < GAIN * pairs.count()
     ends = links.union(links.select("b", "a")).groupBy("a").agg(F.count("*").alias("links")).withColumnRenamed("a", "node")
     return labels.join(ends, "node")
