@@ -1,7 +1,7 @@
 """Fuzzy line deduplication over all documents: MinHash bands, exact verification, one line per component.
 
-Lines are what line feeds separate. They are compared lower-cased with white space runs
-as one space, and only from `min_chars` characters on: shorter ones (headings, answers,
+Lines are what line feeds separate. They are compared lower-cased, with runs of spaces and
+tabs as one space, and only from `min_chars` characters on: shorter ones (headings, answers,
 list marks) repeat by nature and always stay.
 
 1. A line's set of character shingles gives a one-permutation MinHash signature, empty
@@ -20,23 +20,36 @@ empty table gives none; other columns pass through `deduplicate` unchanged.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blooms import mixed, wanted
+from .blooms import bloom, may_hold, mixed, wanted
 from .common import map_arrow, materialise, slices, texts_of
 from .jaccard_join import overlap
-from .links import PAIRS, resolve, shared
+from .links import PAIRS, resolve, shared, spread
 
-SHINGLE, ROWS, BANDS = 6, 4, 10
+SHINGLE, ROWS, BANDS = 10, 4, 10
+#: Characters hashed at once.
+STRETCH = 100_000
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 PRIME = np.uint64(0x9E3779B97F4A7C15)
+ODD = np.array([0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
 def plain(line: str) -> str:
-    return " ".join(line.lower().split())
+    """A lower-cased line without outer or repeated spaces and tabs."""
+    if "  " in line or "\t" in line or line[:1] == " " or line[-1:] == " ":
+        return " ".join(x for x in line.replace("\t", " ").split(" ") if x)
+    return line
+
+
+def lines_of(text: str, min_chars: int) -> list[tuple[int, str]]:
+    """(place, line as it is compared) of the lines that are long enough."""
+    return [(i, p) for i, line in enumerate(text.lower().split("\n")) if len(line) >= min_chars and len(p := plain(line)) >= min_chars]
 
 
 def line_node(line: str) -> int:
@@ -47,13 +60,17 @@ def line_node(line: str) -> int:
 
 
 def rolled(codes: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each window of k code points."""
-    n = len(codes) - k + 1
-    h = codes[:n].astype(np.uint64)
-    for i in range(1, k):
-        h *= PRIME
-        h += codes[i : n + i]
-    return mixed(h)
+    """A hash of each window of k code points, from those of windows half as long."""
+    part, size, out, done = codes.astype(np.uint64), 1, None, 0
+    while size <= k:
+        if k & size:
+            out = part if out is None else out[: len(part) - done] * ODD[0] + part[done : len(out)] if len(out) > done else out[:0]
+            done += size
+        if 2 * size <= k:
+            part = part[: len(part) - size] * ODD[1] + part[size:] if len(part) > size else part[:0]
+            part ^= part >> np.uint64(29)
+        size *= 2
+    return mixed(out[: max(0, len(codes) - k + 1)])
 
 
 def shingle_set(line: str, k: int = SHINGLE) -> np.ndarray:
@@ -61,6 +78,30 @@ def shingle_set(line: str, k: int = SHINGLE) -> np.ndarray:
     return np.unique(rolled(codes, k)) if len(codes) >= k else rolled(codes, max(1, len(codes)))
 
 
+def shingle_sets(lines: list[str], k: int = SHINGLE) -> list[np.ndarray]:
+    """shingle_set() of many lines, in stretches that stay in a processor's cache."""
+    out: list[np.ndarray] = []
+    for part in stretches(lines):
+        codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        h, at = rolled(codes, k), 0
+        for line in part:
+            out.append(np.unique(h[at : at + len(line) - k + 1]) if len(line) >= k else shingle_set(line, k))
+            at += len(line)
+    return out
+
+
+def stretches(lines: list[str], chars: int = STRETCH) -> Iterator[list[str]]:
+    part, size = [], 0
+    for line in lines:
+        part.append(line)
+        size += len(line)
+        if size >= chars:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def bands(lines: list[str], k: int = SHINGLE, rows: int = ROWS, n_bands: int = BANDS) -> np.ndarray:
     """(lines, n_bands) band hashes. Every line has k code points at least."""
     bins = rows * n_bands
@@ -97,11 +138,10 @@ def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
         for batch, texts in slices(batches):
             ids, at, nodes = [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-                for i, line in enumerate(text.split("\n")):
-                    if len(line) >= min_chars and len(p := plain(line)) >= min_chars:
-                        ids.append(doc_id)
-                        at.append(i)
-                        nodes.append(line_node(p))
+                for i, line in lines_of(text, min_chars):
+                    ids.append(doc_id)
+                    at.append(i)
+                    nodes.append(line_node(line))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(nodes, pa.int64())], names=["doc_id", "line", "node"])
 
     return map_arrow(texts_of(docs).where("doc_id is not null"), emit, "doc_id long, line int, node long")
@@ -110,11 +150,11 @@ def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
 def distinct_lines(texts: list[str], min_chars: int, seen: set[int]) -> tuple[list[int], list[str]]:
     nodes, lines = [], []
     for text in texts:
-        for line in text.split("\n"):
-            if len(line) >= min_chars and len(p := plain(line)) >= min_chars and (node := line_node(p)) not in seen:
+        for _, line in lines_of(text, min_chars):
+            if (node := line_node(line)) not in seen:
                 seen.add(node)
                 nodes.append(node)
-                lines.append(p)
+                lines.append(line)
     return nodes, lines
 
 
@@ -126,17 +166,24 @@ def banded(docs: DataFrame, min_chars: int) -> DataFrame:
         for _, texts in slices(batches, chars=1_000_000):
             nodes, lines = distinct_lines(texts, min_chars, seen)
             if lines:
-                keys = bands(lines)
+                keys = np.concatenate([bands(part) for part in stretches(lines)])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(np.array(nodes, dtype=np.int64), BANDS))], names=["key", "node"])
 
     return map_arrow(texts_of(docs).where("doc_id is not null"), emit, "key long, node long")
 
 
-def line_texts(docs: DataFrame, min_chars: int) -> DataFrame:
+def line_texts(docs: DataFrame, min_chars: int, wanted_nodes: DataFrame) -> DataFrame:
+    """(node, data) of the wanted lines, from the documents that have them first: data is the line as it is compared."""
+    found = bloom(wanted_nodes)
+    shared_ = docs.sparkSession.sparkContext.broadcast(found)
+
     def emit(batches):
         seen: set[int] = set()
         for _, texts in slices(batches):
             nodes, lines = distinct_lines(texts, min_chars, seen)
+            if lines and shared_.value is not None:
+                keep = may_hold(shared_.value, np.array(nodes, dtype=np.int64))
+                nodes, lines = [n for n, k in zip(nodes, keep, strict=True) if k], [x for x, k in zip(lines, keep, strict=True) if k]
             if lines:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([x.encode("utf-8", "surrogatepass") for x in lines], pa.binary())], names=["node", "data"])
 
@@ -146,17 +193,12 @@ def line_texts(docs: DataFrame, min_chars: int) -> DataFrame:
 def verifier(num: int, den: int):
     def check(batches):
         for batch in batches:
-            keep, kept = [], {}
-
-            def of(data: bytes) -> np.ndarray:
-                if data not in kept:
-                    if len(kept) > 20_000:
-                        kept.clear()
-                    kept[data] = shingle_set(data.decode("utf-8", "surrogatepass"))
-                return kept[data]
-
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                a, b = of(x), of(y)
+            xs, ys = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            lines = list({*xs, *ys})
+            sets = dict(zip(lines, shingle_sets([x.decode("utf-8", "surrogatepass") for x in lines]), strict=True))
+            keep = []
+            for x, y in zip(xs, ys, strict=True):
+                a, b = sets[x], sets[y]
                 keep.append(den * min(len(a), len(b)) >= num * max(len(a), len(b)) and (num + den) * overlap(a, b) >= num * (len(a) + len(b)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -167,9 +209,30 @@ def removals(docs: DataFrame, min_chars: int = 40, num: int = 80, den: int = 100
     """(doc_id, line, first_doc, first_line) of the lines that go, and of the line that stays for each."""
     listed = materialise(occurrences(docs, min_chars), "lines")
     buckets = materialise(shared(banded(docs, min_chars)).distinct(), "buckets")
-    nodes = materialise(buckets.select("node").distinct(), "nodes")
-    texts = materialise(wanted(line_texts(docs, min_chars), nodes, "node").groupBy("node").agg(F.first("data").alias("data")), "texts")
-    labels = resolve(buckets, texts, verifier(num, den)).select("node", "component")
+
+    held: list[DataFrame] = []
+
+    def read(nodes: DataFrame) -> DataFrame:
+        firsts = listed.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+        holders = wanted(docs.select("doc_id", "text"), materialise(firsts, "holders"), "doc_id")
+        return line_texts(holders, min_chars, nodes).join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
+    def fetch(nodes: DataFrame) -> DataFrame:
+        if not held:
+            return read(nodes)
+        rest = materialise(nodes.join(held[0].select("node"), "node", "left_anti"), "rest")
+        known = held[0].join(nodes, "node", "left_semi")
+        return known if rest.isEmpty() else known.union(read(rest))
+
+    def marks(nodes: DataFrame) -> DataFrame:
+        def of(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([spread(x) for x in shingle_sets([x.decode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()])], pa.binary())], names=["node", "spread"])
+
+        held.append(materialise(read(nodes), "texts"))  # read once: some of them are verified afterwards
+        return map_arrow(held[0], of, "node long, spread binary")
+
+    labels = resolve(buckets, fetch, verifier(num, den), marks, num, den).select("node", "component")
     of = listed.join(labels, "node", "left").select("doc_id", "line", F.coalesce("component", "node").alias("component"))
     firsts = of.groupBy("component").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.max(F.struct("doc_id", "line")).alias("last")).where("first <> last")
     gone = of.join(firsts.select("component", "first"), "component").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("line") != F.col("first.line")))

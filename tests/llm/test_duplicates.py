@@ -85,7 +85,7 @@ def lines_corpus():
 
 def test_lines(spark, make):
     docs = lines_corpus()
-    rows = [(i, k, line_dedup.plain(x)) for i, t in docs for k, x in enumerate((t or "").split("\n"))]
+    rows = [(i, k, line_dedup.plain(x)) for i, t in docs for k, x in enumerate((t or "").lower().split("\n"))]
     rows = [r for r in rows if len(r[2]) >= 40]
     sets = {x: set(line_dedup.shingle_set(x).tolist()) for _, _, x in rows}
     names = sorted(sets)

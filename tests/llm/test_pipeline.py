@@ -73,7 +73,7 @@ def brute(docs, items):
                 kept.append((i, lang, t))
     kept.sort()
     # Line dedup.
-    lines = [(i, k, line_dedup.plain(x)) for i, _, t in kept for k, x in enumerate(t.split("\n"))]
+    lines = [(i, k, line_dedup.plain(x)) for i, _, t in kept for k, x in enumerate(t.lower().split("\n"))]
     lines = [x for x in lines if len(x[2]) >= 40]
     sets = {x: set(line_dedup.shingle_set(x).tolist()) for _, _, x in lines}
     names = sorted(sets)
