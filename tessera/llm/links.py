@@ -31,8 +31,8 @@ from .components import connected_components
 
 PAIRS = "a long, b long"
 SMALL, WIDE = 3, 512
-#: Star rounds at most, and links a pair that make another one worth while.
-MOST_STARS, GAIN = 5, 0.02
+#: Star rounds at most, and new links an open row that make another one worth while.
+MOST_STARS, GAIN = 2, 0.02
 #: Ranges of hashes in a spread.
 PROBE_BITS = 9
 #: What a range says that holds as many or more.
@@ -176,6 +176,6 @@ def resolve(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify:
         if last:
             break
         turn += 1
-        last = turn >= stars or found.count() < GAIN * pairs.count()
+        last = turn >= stars or found.count() < GAIN * now.count()
     ends = links.union(links.select("b", "a")).groupBy("a").agg(F.count("*").alias("links")).withColumnRenamed("a", "node")
     return labels.join(ends, "node")
