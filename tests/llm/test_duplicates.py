@@ -108,3 +108,11 @@ def test_lines(spark, make):
 def test_lines_of_edges(edges, none):
     assert line_dedup.deduplicate(edges).count() == 10
     assert line_dedup.deduplicate(none).count() == 0
+
+
+def test_lines_with_one_letter_changed(spark, make):
+    rng = random.Random(8)
+    lines = ["".join(rng.choice("abcdefghijklmnopqrst ") for _ in range(n)).replace("  ", "ab").strip().ljust(n, "x") for n in range(60, 99)]
+    near = [x[: len(x) // 2] + "Z" + x[len(x) // 2 + 1 :] for x in lines]
+    got = {(r.doc_id, r.line) for r in line_dedup.removals(make([(1, "\n".join(lines)), (2, "\n".join(near))])).collect()}
+    assert got <= {(2, k) for k in range(len(lines))} and len(got) >= 0.95 * len(lines)
