@@ -22,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-equal lines one stays; a document without a line left goes."""
-    cleaned = line_dedup.deduplicate(docs).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    cleaned = line_dedup.deduplicate(docs, min_chars=1).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if "n_chars" in docs.columns else None
     return cleaned.select(*[n_chars if c == "n_chars" else F.col(c) for c in docs.columns])
 

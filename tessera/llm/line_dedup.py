@@ -1,8 +1,9 @@
 """Fuzzy line deduplication over all documents: MinHash bands, exact verification, one line per component.
 
 Lines are what line feeds separate. They are compared lower-cased, with runs of spaces and
-tabs as one space, and only from `min_chars` characters on: shorter ones (headings, answers,
-list marks) repeat by nature and always stay.
+tabs as one space, from `min_chars` characters on; the query and the pipeline take 1, so
+that all lines that aren't blank are compared. Lines shorter than a shingle only have
+exact copies.
 
 1. A line's set of character shingles gives a one-permutation MinHash signature, empty
    bins being filled from the next one. Bands of its bins are candidate buckets; with
@@ -12,7 +13,7 @@ list marks) repeat by nature and always stay.
 3. Of each component the first line (smallest doc_id, then place) stays, also among
    exact copies, and the others go.
 
-Edge cases: null text stays null; empty and short lines stay; a document all of whose
+Edge cases: null text stays null; blank lines and those under `min_chars` stay; a document all of whose
 lines go has an empty text; rows with the same doc_id count as one document, whose lines
 have the same fate in each; with a null doc_id lines neither stay for others nor go; an
 empty table gives none; other columns pass through `deduplicate` unchanged.
@@ -49,7 +50,7 @@ def plain(line: str) -> str:
 
 def lines_of(text: str, min_chars: int) -> list[tuple[int, str]]:
     """(place, line as it is compared) of the lines that are long enough."""
-    return [(i, p) for i, line in enumerate(text.lower().split("\n")) if len(line) >= min_chars and len(p := plain(line)) >= min_chars]
+    return [(i, p) for i, line in enumerate(text.lower().split("\n")) if len(line) >= min_chars and len(p := plain(line)) >= min_chars and not p.isspace()]
 
 
 def line_node(line: str) -> int:
@@ -159,12 +160,12 @@ def distinct_lines(texts: list[str], min_chars: int, seen: set[int]) -> tuple[li
 
 
 def banded(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(key, node) of every distinct line's bands; a task gives a line once."""
+    """(key, node) of the bands of every distinct line that has a shingle; a task gives a line once."""
 
     def emit(batches):
         seen: set[int] = set()
         for _, texts in slices(batches, chars=1_000_000):
-            nodes, lines = distinct_lines(texts, min_chars, seen)
+            nodes, lines = distinct_lines(texts, max(min_chars, SHINGLE), seen)
             if lines:
                 keys = np.concatenate([bands(part) for part in stretches(lines)])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(np.array(nodes, dtype=np.int64), BANDS))], names=["key", "node"])

@@ -116,3 +116,12 @@ def test_lines_with_one_letter_changed(spark, make):
     near = [x[: len(x) // 2] + "Z" + x[len(x) // 2 + 1 :] for x in lines]
     got = {(r.doc_id, r.line) for r in line_dedup.removals(make([(1, "\n".join(lines)), (2, "\n".join(near))])).collect()}
     assert got <= {(2, k) for k in range(len(lines))} and len(got) >= 0.95 * len(lines)
+
+
+def test_query_takes_short_lines(spark, tmp_path):
+    from tessera.llm import queries
+
+    rows = [(1, "All rights reserved.\n\nok\nfirst of its kind"), (2, "ALL  RIGHTS reserved.\n\nok"), (3, "all rights reserved\n\r\n\r\nNot seen before"), (4, "ok\nok")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_removed, r.text) for r in queries.op6_line_dedup(spark, f"file://{tmp_path}").collect()}
+    assert got == {1: (0, rows[0][1]), 2: (2, ""), 3: (1, "\r\n\r\nNot seen before"), 4: (2, "")}
