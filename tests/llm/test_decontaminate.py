@@ -60,3 +60,18 @@ def test_empty_sides(spark, make, none, edges):
 
 def test_repetitions_grow_with_recall():
     assert dc.repetitions(12, 6, 0.05, 0.9) <= dc.repetitions(12, 6, 0.05, 0.999)
+
+
+def test_short_items_with_one_word_in_five_replaced(spark, make):
+    rng = random.Random(9)
+    items, docs = [], []
+    for i in range(150):
+        words = prose(rng, 15)
+        edited = list(words)
+        for k in rng.sample(range(15), 3):
+            edited[k] = prose(rng, 1)[0]
+        if distance(" ".join(words), " ".join(edited)) <= 0.2 * len(" ".join(words)):
+            items.append((i, " ".join(words)))
+            docs.append((i, " ".join([*prose(rng, 20), *edited, *prose(rng, 20)])))
+    found = {(r.doc_id, r.item_id) for r in dc.contaminated(make(docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(items) > 80 and sum((i, i) in found for i, _ in items) >= 0.97 * len(items)
