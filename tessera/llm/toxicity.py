@@ -4,7 +4,7 @@
 2. A token is suspicious if letters stand with look-alikes (`l0ser`, `tr@sh`), with marks
    between them (`l.o-s_e r`), in single letters with spaces between, or more than twice
    in a row. Its characters are a lattice: each may be itself, what it looks like, a mark
-   that isn't there, or the repeat of the letter before. Viterbi decoding under the
+   that isn't there or parts two words, or the repeat of the letter before, however long it is. Viterbi decoding under the
    language model and the channel's costs keeps the best few readings; other tokens read
    as they stand.
 3. The lexicon is learned from labelled documents that may be learned from: how much
@@ -40,12 +40,12 @@ MARKS = set(".-_*~'`·,;:/\\^=+|\"")
 OUTER = ".,;:!?\"'()[]{}<>«»¡¿…-_*#$%&|"
 SPELLED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!€])(?:[ .\-_*~·]{1,2}(?:[^\W_]|[@$!€])){3,}(?![^\W_])")
 RUN = re.compile(r"(.)\1\1")
-WIDTH, READINGS, LONGEST = 24, 4, 64
+WIDTH, READINGS = 24, 4
 #: Min-hashes that tell near copies, and documents of the other label that every word is taken to be in besides.
 COPIES, DOUBT = 4, 1.0
 #: Letters of a beginning, and words of toxic documents that must have it: with fewer it says no more than the words.
 LENGTHS, VARIETY = (4, 5, 6), 5
-LOOK, DROP, REPEAT = 1.2, 0.7, 0.4
+LOOK, DROP, REPEAT, PART = 1.2, 0.7, 0.4, 0.7
 
 
 def suspicious(word: str) -> bool:
@@ -53,7 +53,7 @@ def suspicious(word: str) -> bool:
     if word.isalpha():
         return RUN.search(word) is not None
     letters = sum(c.isalpha() for c in word)
-    return letters > 0 and len(word) <= LONGEST and letters + sum(c in LOOKS or c in MARKS for c in word) == len(word)
+    return letters > 0 and letters + sum(c in LOOKS or c in MARKS for c in word) == len(word)
 
 
 class Decoder:
@@ -69,36 +69,56 @@ class Decoder:
 
     def readings(self, token: str) -> list[str]:
         """The likeliest words that the token may stand for, best first."""
-        # Hypothesis: cost, text so far, last observed character that was kept.
-        beam = [(0.0, "", "")]
-        for c in token[:LONGEST]:
-            grown: dict[tuple[str, str], float] = {}
+        # Hypothesis: cost, hash of the text so far, its end, last observed character that was kept, the text as (text before, symbol).
+        beam = [(0.0, 0, "", "", None)]
+        for c in token:
+            grown: dict[tuple[int, str], tuple] = {}
 
-            def offer(text, last, cost, grown=grown):
+            def offer(text, end, last, cost, path, grown=grown):
                 key = (text, last)
-                if cost < grown.get(key, np.inf):
-                    grown[key] = cost
+                if key not in grown or cost < grown[key][0]:
+                    grown[key] = (cost, text, end, last, path)
 
-            for cost, text, last in beam:
+            for cost, text, end, last, path in beam:
+                context = ("  " + end)[-3:].rjust(3)
                 options = [(c, 0.0)] if c.isalpha() else []
                 options += [(x, LOOK) for x in LOOKS.get(c, "")]
                 for x, toll in options:
-                    offer(text + x, x, cost + toll - self.scores[("  " + text)[-3:].rjust(3), x])
+                    offer(extended(text, x), (end + x)[-3:], x, cost + toll - self.scores[context, x], (path, x))
                     if x == last:
-                        offer(text, last, cost + REPEAT + (0 if c.isalpha() else LOOK))
+                        offer(text, end, last, cost + REPEAT + (0 if c.isalpha() else LOOK), path)
                 if c in MARKS or c == " " or not options:
-                    offer(text, last, cost + DROP)
+                    offer(text, end, last, cost + DROP, path)
+                if (c in MARKS or c == " ") and end and end[-1] != " ":
+                    offer(extended(text, " "), (end + " ")[-3:], "", cost + PART - self.scores[context, " "], (path, " "))
             if not grown:
                 return []
             # Readings that differ in all but their last three symbols compete no further.
             best: dict[tuple[str, str], list] = {}
-            for (text, last), cost in grown.items():
-                best.setdefault((text[-3:], last), []).append((cost, text, last))
-            beam = heapq.nsmallest(WIDTH, (h for hs in best.values() for h in heapq.nsmallest(3, hs)))
-        ended = sorted((cost - self.scores[("  " + text)[-3:].rjust(3), " "], text) for cost, text, _ in beam if text)
+            for h in grown.values():
+                best.setdefault((h[2], h[3]), []).append(h)
+            beam = heapq.nsmallest(WIDTH, (h for hs in best.values() for h in heapq.nsmallest(3, hs, key=rank)), key=rank)
+        ended = sorted((cost - (0 if end[-1] == " " else self.scores[("  " + end)[-3:].rjust(3), " "]), spelled(path)) for cost, _, end, _, path in beam if end)
         return list(dict.fromkeys(t for _, t in ended))[:READINGS]
 
 
+def rank(h: tuple) -> tuple:
+    return h[0], h[2], h[3], h[1]
+
+
+def extended(text: int, symbol: str) -> int:
+    """The hash of a text with one more symbol."""
+    return (text * 0x9E3779B97F4A7C15 + ord(symbol) + 1) & (1 << 64) - 1
+
+
+def spelled(path) -> str:
+    out = []
+    while path:
+        path, symbol = path
+        out.append(symbol)
+    return "".join(reversed(out)).rstrip()
+
+
 def words_in(text: str) -> set[str]:
     return set(text.lower().split())
 
@@ -208,9 +228,10 @@ def score(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, least_docs:
         def rate(found: list[str]) -> tuple[float, str]:
             best = (floor, "")
             for r in found:
-                for w in (r, *beginnings(r)):
-                    if (p := of.get(w, 0.0)) > best[0]:
-                        best = (p, r)
+                for part in r.split():
+                    for w in (part, *beginnings(part)):
+                        if (p := of.get(w, 0.0)) > best[0]:
+                            best = (p, part)
             return best
 
         words = Memo(lambda w: rate(readings_of(w, decoder)), 300_000)

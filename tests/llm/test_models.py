@@ -147,3 +147,11 @@ def test_restored_text(abuse):
     model = ngram_lm.train(docs.select("doc_id", F.lower("text").alias("text"), F.lit("").alias("lang")))
     got = {r.doc_id: r.restored for r in toxicity.restored(docs.where("doc_id >= 1000"), model).collect()}
     assert all("moron" in got[1000 + k] for k in range(3)) and got[2001] == "" and got[2000] == ""
+
+
+def test_spelled_out_over_several_words(spark, abuse, make):
+    docs, labels = abuse
+    clean = "the weather is nice today and we go out"
+    rows = [(3000, f"{clean} {' '.join('you are all a worthless moron')} {clean}"), (3001, f"{clean} {' '.join('the report was good and the results are all fine ' * 2 + 'moron')}"), (3002, f"{clean} a m o r o n"), (3003, f"{clean} {' '.join('nice weather today')}")]
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs.union(make(rows)), labels).where("doc_id >= 3000").collect()}
+    assert got == {3000: 1, 3001: 1, 3002: 1, 3003: 0}
