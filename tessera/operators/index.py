@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -14,28 +12,12 @@ from pyspark.sql import functions as F
 from tessera.operators.ranking import systematic
 from tessera.operators.search import columns, matrix
 from tessera.schema import BLOCK, DIMS
+from tessera.session import ship, shared_path, stored
 
 MOST_CLUSTERS = 4096
 SAMPLE = 10_000
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder of this name in the cluster's shared checkpoint folder."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not root:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="index-"))
-        root = sc.getCheckpointDir()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    path = shared_path(df.sparkSession, name)
-    schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
-
-
 def centroid_array(centroids: DataFrame, dims: int) -> tuple[np.ndarray, np.ndarray]:
     """Centroids as arrays, by cluster id; at most MOST_CLUSTERS of them, which is checked."""
     rows = centroids.select("cluster_id", *columns(dims)).limit(MOST_CLUSTERS + 1).collect()
