@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,7 +15,11 @@ BLOCK_BITS = 1 << 18
 MOST_BITS = 1 << 27
 #: Ids that may be broadcast as such: 16 MB of hashed relation at most.
 BROADCAST_ROWS = 500_000
+#: The same of rows of a few columns of fixed width.
+MATCHED_ROWS = 200_000
 BITS_A_KEY = 16
+#: Streams that the parts of one block are dealt to before their results meet.
+MERGED = 64
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -49,19 +55,43 @@ def bloom(ids: DataFrame) -> np.ndarray | None:
         used = np.flatnonzero(blocks.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([blocks[k].tobytes() for k in used], pa.binary())], names=["block", "bits"])
 
-    def union(key, rows):
-        out = np.zeros(BLOCK_BITS // 8, dtype=np.uint8)
-        for b in rows["bits"].to_pylist():
-            out |= np.frombuffer(b, dtype=np.uint8)
-        return pa.table({"block": pa.array([key[0].as_py()]), "bits": pa.array([out.tobytes()], pa.binary())})
-
-    parts = map_arrow(ids, fill, "block long, bits binary").groupBy("block").applyInArrow(union, "block long, bits binary").collect()  # bits // BLOCK_BITS rows, MOST_BITS in all
+    parts = combined(map_arrow(ids, fill, "block long, bits binary"), "u1", np.bitwise_or).collect()  # bits // BLOCK_BITS rows, MOST_BITS in all
     out = np.zeros((bits // BLOCK_BITS, BLOCK_BITS // 8), dtype=np.uint8)
     for block, data in parts:
         out[block] = np.frombuffer(bytes(data), dtype=np.uint8)
     return out.reshape(-1)
 
 
+def combined(parts: DataFrame, dtype: str, both: Callable) -> DataFrame:
+    """(block, bits) with all parts of a block made one by both(x, y). In two levels, and streams that hold one part, so that tasks don't add up in memory."""
+
+    def fold(batches):
+        last = held = None
+        for batch in batches:
+            blocks, out = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)), []
+            for key, data in zip(blocks, batch.column(2), strict=True):
+                x = np.frombuffer(data.as_buffer(), dtype=dtype)
+                if key != last:
+                    if last is not None:
+                        out.append((*last, held.tobytes()))
+                    last, held = key, x.copy()
+                else:
+                    held = both(held, x)
+            yield _rows(out)
+        if last is not None:
+            yield _rows([(*last, held.tobytes())])
+
+    schema = "block long, salt int, bits binary"
+    level = parts.select(F.col("block").cast("long").alias("block"), F.pmod(F.spark_partition_id(), F.lit(MERGED)).alias("salt"), "bits")
+    for keys in (["block", "salt"], ["block"]):
+        level = map_arrow(level.repartition(*keys).sortWithinPartitions(*keys).select("block", "salt" if len(keys) > 1 else F.lit(0).alias("salt"), "bits"), fold, schema)
+    return level.select("block", "bits")
+
+
+def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["block", "salt", "bits"])
+
+
 def may_hold(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
     out = np.ones(len(keys), dtype=bool)
     for at in places(keys, len(filter_) * 8):
@@ -70,9 +100,9 @@ def may_hold(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def few(ids: DataFrame) -> bool:
-    """Whether a one-column table of longs may be broadcast as a hashed relation."""
-    return ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+def few(ids: DataFrame, most: int = BROADCAST_ROWS) -> bool:
+    """Whether a written table of short rows may be broadcast."""
+    return ids.count() <= most
 
 
 def wanted(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
@@ -93,4 +123,9 @@ def wanted(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(may_hold(shared.value, np.asarray(batch.column(place).fill_null(0)))))
 
-    return rows.mapInArrow(keep, rows.schema)
+    return map_arrow(rows, keep, rows.schema)
+
+
+def matched(rows: DataFrame, some: DataFrame, on: str) -> DataFrame:
+    """rows joined with some (a written table, one row for each value of `on`): broadcast while it is few, else by a merge join whose skewed sides Spark can split."""
+    return rows.join(F.broadcast(some) if few(some, MATCHED_ROWS) else some.hint("shuffle_merge"), on)

@@ -2,33 +2,22 @@
 
 from __future__ import annotations
 
-import hashlib
-import io
-import tempfile
+import gc
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import ship, shared_root
+
 #: Texts are worked on in slices of about so many characters, which bounds a Python worker's memory whatever the Arrow batch size.
 SLICE_CHARS = 2_000_000
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = sc.getCheckpointDir()
-    if not root:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
-        root = sc.getCheckpointDir()
-    return root.rstrip("/")
+#: Rows of an Arrow batch while this package writes a table: the default is for short rows.
+BATCH_ROWS = 2000
 
 
 def file_system(path: str):
@@ -42,12 +31,25 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/tessera/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def short_batches(spark: SparkSession):
+    """While a table is written; the session's own setting holds again afterwards."""
+    own = spark.conf.get(BATCH)
+    if not 0 < int(own) <= BATCH_ROWS:
+        spark.conf.set(BATCH, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, own)
+
+
 def materialise(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor takes nothing with it."""
     spark = df.sparkSession
     path = work_path(spark, name)
     schema = df.schema
-    (df.coalesce(partitions) if partitions else df).write.parquet(path)
+    with short_batches(spark):
+        (df.coalesce(partitions) if partitions else df).write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -76,29 +78,50 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int =
             yield batch.slice(start), texts
 
 
-def ship(spark: SparkSession) -> None:
-    """Gives executors the package, once a session, so that they needn't have it on their path."""
-    sc = spark.sparkContext
-    if getattr(sc, "_tessera_shipped", False):
-        return
-    package, data = Path(__file__).resolve().parent.parent, io.BytesIO()
-    with zipfile.ZipFile(data, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.writestr(zipfile.ZipInfo(f"{package.name}/{f.relative_to(package)}"), f.read_bytes())
-    folder = f"{shared_root(spark)}/tessera/package-{hashlib.sha256(data.getvalue()).hexdigest()[:16]}"
-    system, path = file_system(folder)
-    system.create_dir(path, recursive=True)
-    with system.open_output_stream(f"{path}/tessera.zip", compression=None) as out:
-        out.write(data.getvalue())
-    sc.addPyFile(f"{folder}/tessera.zip")
-    if spark.conf.get(BATCH) == "10000":  # the default is for short rows; documents are long ones
-        spark.conf.set(BATCH, "2000")
-    sc._tessera_shipped = True
+class Worker:
+    """What a Python worker keeps between tasks: for one owner at a time, so that operators that follow each other don't add up."""
+
+    owner: str | None = None
+    kept: dict = {}
+
+
+def trim() -> None:
+    """Gives freed memory back to the machine."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def kept(owner: str, key, make: Callable):
+    """make()'s value, once a worker; what other owners kept is freed first."""
+    if Worker.owner != owner:
+        Worker.kept.clear()
+        Worker.owner = owner
+        gc.collect()
+        trim()
+    if key not in Worker.kept:
+        Worker.kept[key] = make()
+    return Worker.kept[key]
+
+
+def lean(fn: Callable) -> Callable:
+    """fn with Arrow's memory from the system's allocator, and what it freed given back when a task ends."""
+
+    def run(batches):
+        if pa.default_memory_pool().backend_name != "system":
+            pa.set_memory_pool(pa.system_memory_pool())
+        yield from fn(batches)
+        trim()
+
+    return run
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(lean(fn), schema)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -1,7 +1,10 @@
 """Connected components of an edge table, distributed: local forests, then alternating large and small stars.
 
-No edge list, component or label leaves the executors. Each round's edges are written to
+No edge list, component or label leaves the executors. Each round's tables are written to
 the shared folder, so lineage stays short and a lost executor costs one round at most.
+Rounds end as soon as every edge leads to the smallest node of its component, which local
+forests alone often bring about. A component's hub may be most of the table: it is joined
+by tables that Spark can broadcast or split, and aggregated before it is shuffled.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blooms import matched
 from .common import map_arrow, materialise
 
 #: Edges that one local forest is made of: bounds a task's memory.
@@ -43,19 +47,22 @@ def _local(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["u", "v"])
 
 
+def stars(e: DataFrame) -> bool:
+    """Whether every node hangs on one other that itself hangs on none."""
+    ends = e.select(F.col("u").alias("n"), F.col("v").alias("m")).union(e.select("v", F.lit(None).cast("long")))
+    odd = ends.groupBy("n").agg(F.min("m").alias("lo"), F.max("m").alias("hi"), F.count_if(F.col("m").isNull()).alias("held"))
+    return odd.where("lo is not null and (lo <> hi or held > 0)").isEmpty()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of an edge (columns a, b, long); component is the smallest node that can be reached. Loops and repeated edges do no harm."""
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
     e = materialise(map_arrow(e, _local, "u long, v long").distinct(), "edges")
-    state = None
-    while True:
-        around = e.union(e.select("v", "u")).toDF("n", "m").groupBy("n").agg(F.min("m").alias("m")).select("n", F.least("n", "m").alias("m"))
-        large = e.join(around, e.v == around.n).select("u", F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).distinct()
+    while not stars(e):
+        around = e.union(e.select("v", "u")).toDF("n", "m").groupBy("n").agg(F.min("m").alias("m")).select(F.col("n").alias("v"), F.least("n", "m").alias("m"))
+        large = matched(e, materialise(around, "around"), "v").select("u", F.col("m").alias("v")).where("u <> v").distinct()
+        large = materialise(large, "large")
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = matched(large, least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).distinct()
         e = materialise(small, "edges")
-        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == state:
-            break
-        state = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())

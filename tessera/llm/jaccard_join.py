@@ -10,7 +10,7 @@
    is left after the shared shingle can still reach the overlap needed), and the suffix
    filter (the sizes between fixed probes bound the overlap). Those left are verified
    once, by the exact overlap of the full sets, which only they are made again for.
-4. links.resolve() joins verified links to components.
+4. links.Resolver joins verified links to components; links() gives each of them instead.
 
 Edge cases: without words or text the set is empty and the document is linked with
 nothing, its own component; with fewer than k words the whole sequence is one shingle;
@@ -26,19 +26,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blooms import mixed, wanted
-from .common import map_arrow, materialise, slices, texts_of
-from .links import PAIRS, can_link, resolve, shared, spread, spread_matrix
+from .blooms import combined, mixed, wanted
+from .common import kept, map_arrow, materialise, slices, texts_of
+from .links import PAIRS, Resolver, can_link, shared, spread, spread_matrix
 
 SKETCH_BITS = 21
-SKETCH_BLOCKS = 64
+SKETCH_BLOCKS = 512
+#: Sets that a task remembers to have given.
+SEEN = 200_000
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
 
 
 class Shingles:
     """A text's set of k-word shingles as ascending 64-bit hashes; A-Z are lower-cased and words end at ASCII white space."""
 
-    def __init__(self, k: int, most: int = 300_000):
+    def __init__(self, k: int, most: int = 150_000):
         from .encoding import Memo
 
         self.k = k
@@ -65,14 +67,9 @@ class Shingles:
         return np.unique(mixed(out))
 
 
-_shinglers: dict[int, Shingles] = {}
-
-
 def shingler(k: int) -> Shingles:
     """One per worker and k."""
-    if k not in _shinglers:
-        _shinglers[k] = Shingles(k)
-    return _shinglers[k]
+    return kept("shingles", k, lambda: Shingles(k))
 
 
 def signature(hashes: np.ndarray) -> int:
@@ -101,16 +98,12 @@ def scan(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
             none = pa.nulls(SKETCH_BLOCKS, pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], names=["doc_id", "n_shingles", "node", "block", "counts"])
 
-    def add(key, rows):
-        total = np.zeros((1 << SKETCH_BITS) // SKETCH_BLOCKS, dtype=np.int64)
-        for c in rows["counts"]:
-            total += np.frombuffer(c.as_py(), dtype="<u4")
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 0xFFFF).astype("<u2").tobytes()], pa.binary())})
-
     rows = materialise(map_arrow(texts_of(docs), count, "doc_id long, n_shingles long, node long, block int, counts binary"), "shingles")
-    sketch = np.zeros((SKETCH_BLOCKS, (1 << SKETCH_BITS) // SKETCH_BLOCKS), dtype=np.uint16)
-    for block, counts in rows.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(add, "block int, counts binary").collect():  # SKETCH_BLOCKS rows of fixed size
-        sketch[block] = np.frombuffer(bytes(counts), dtype="<u2")
+    sketch = np.zeros((SKETCH_BLOCKS, (1 << SKETCH_BITS) // SKETCH_BLOCKS), dtype=np.uint32)
+    parts = rows.where("block is not null").select("block", F.col("counts").alias("bits"))
+    for block, counts in combined(parts, "<u4", lambda x, y: np.minimum(x.astype(np.uint64) + y, 0xFFFFFFFF).astype("<u4")).collect():  # SKETCH_BLOCKS rows of fixed size
+        sketch[block] = np.frombuffer(bytes(counts), dtype="<u4")
+    sketch = np.minimum(sketch, 0xFFFF).astype(np.uint16)
     return rows.where("block is null").select("doc_id", "n_shingles", "node", F.col("counts").alias("spread")), sketch.reshape(-1)
 
 
@@ -129,6 +122,8 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray) ->
                     continue
                 seen.add(node)
                 p = n - -(-num * n // den) + 1
+                if len(seen) > SEEN:
+                    seen.clear()
                 order = counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(47) | s >> np.uint64(17)
                 order.sort()
                 keys.append(order[:p])
@@ -196,17 +191,18 @@ def sets_of(docs: DataFrame, k: int) -> DataFrame:
                 if len(s) and (node := signature(s)) not in seen:
                     seen.add(node)
                     rows.append((node, s.tobytes()))
+            if len(seen) > SEEN:
+                seen.clear()
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["node", "data"])
 
     return map_arrow(docs, emit, "node long, data binary")
 
 
-def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id that links reach, itself included), links of its set to other sets that were verified."""
+def resolver(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, Resolver]:
+    """(a row a document; spreads and first doc_id of the sets that share a prefix shingle; what verifies their pairs)."""
     listed, sketch = scan(docs, k)
     buckets = materialise(shared(prefixes(docs, k, num, den, sketch)).distinct(), "buckets")
-    sets = listed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
     near = buckets.select("node").distinct()
     spreads = materialise(listed.join(near, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("spread").alias("spread")), "spreads")
 
@@ -218,12 +214,32 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Da
     def marks(nodes: DataFrame) -> DataFrame:
         return spreads.select("node", "spread").join(nodes, "node", "left_semi")
 
-    labels = resolve(buckets, fetch, verifier(num, den), marks, num, den, possible(num, den), sifter(spreads.select("node", "spread"), num, den))
-    named = labels.join(spreads.select("node", "first"), "node")
+    return listed, spreads, Resolver(buckets, verifier(num, den), marks, num, den, fetch=fetch, possible=possible(num, den), sift=sifter(spreads.select("node", "spread"), num, den))
+
+
+def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id that links reach, itself included)."""
+    listed, spreads, found = resolver(docs, k, num, den)
+    sets = listed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
+    named = found.components().join(spreads.select("node", "first"), "node")
     smallest = named.groupBy("component").agg(F.min("first").alias("smallest"))
-    named = named.join(smallest, "component").select("node", "smallest", "links")
-    of = sets.join(named, "node", "left").select("node", F.coalesce("smallest", "first").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    return listed.join(of, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    named = named.join(smallest, "component").select("node", "smallest")
+    of = sets.join(named, "node", "left").select("node", F.coalesce("smallest", "first").alias("component_id"))
+    return listed.join(of, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(a, b, n_a, n_b): every link between different sets, each once, by their first doc_ids, and how many documents have either set.
+
+    Copies count in n_a and n_b and aren't expanded. A group of many near copies has a link for each of its pairs.
+    """
+    listed, spreads, found = resolver(docs, k, num, den)
+    sets = materialise(listed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "sets")
+    x, y = (sets.select(F.col("node").alias(c), F.col("first").alias(f"first_{c}"), F.col("n").alias(f"n_{c}")) for c in ("a", "b"))
+    both = found.all_links().join(x, "a").join(y, "b")
+    swap = F.col("first_a") > F.col("first_b")
+    pick = lambda c, d: F.when(swap, F.col(d)).otherwise(F.col(c))
+    return both.select(pick("first_a", "first_b").alias("a"), pick("first_b", "first_a").alias("b"), pick("n_a", "n_b").alias("n_a"), pick("n_b", "n_a").alias("n_b"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -1,14 +1,13 @@
 """Fuzzy line deduplication over all documents: MinHash bands, exact verification, one line per component.
 
 Lines are what line feeds separate. They are compared lower-cased, with runs of spaces and
-tabs as one space, from `min_chars` characters on; the query and the pipeline take 1, so
-that all lines that aren't blank are compared. Lines shorter than a shingle only have
-exact copies.
+tabs as one space, from `min_chars` characters on: with 1, which is what the query and the
+pipeline take, all that aren't blank. Lines shorter than a shingle only have exact copies.
 
 1. A line's set of character shingles gives a one-permutation MinHash signature, empty
    bins being filled from the next one. Bands of its bins are candidate buckets; with
    rows r and bands b two lines of similarity s meet with probability 1 - (1 - s**r)**b.
-2. links.resolve() verifies candidates by the exact Jaccard similarity of the shingle
+2. links.Resolver verifies candidates by the exact Jaccard similarity of the shingle
    sets and joins them, by distributed union-find.
 3. Of each component the first line (smallest doc_id, then place) stays, also among
    exact copies, and the others go.
@@ -28,12 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blooms import bloom, may_hold, mixed, wanted
-from .common import map_arrow, materialise, slices, texts_of
-from .jaccard_join import overlap
-from .links import PAIRS, resolve, shared, spread
+from .blooms import bloom, few, matched, may_hold, mixed, wanted
+from .common import map_arrow, materialise, ship, slices, texts_of
+from .links import PAIRS, Resolver, shared_keys, spread
 
 SHINGLE, ROWS, BANDS = 6, 4, 10
+#: Lines that a task remembers to have given.
+SEEN = 300_000
+#: Pairs verified at once: their number takes PAIR_BITS of a 64-bit hash.
+PAIR_BITS = 11
+#: Lines that may be broadcast as lists by document.
+BROADCAST_LINES = 500_000
 #: Characters hashed at once.
 STRETCH = 100_000
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -132,45 +136,32 @@ def bands(lines: list[str], k: int = SHINGLE, rows: int = ROWS, n_bands: int = B
     return out
 
 
-def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, line, node) of every line that is long enough."""
+def lines_table(docs: DataFrame, min_chars: int) -> DataFrame:
+    """(doc_id, line, node, keys) of every line that is long enough; keys are the bands, where a task meets a line that has a shingle for the first time."""
 
     def emit(batches):
-        for batch, texts in slices(batches):
-            ids, at, nodes = [], [], []
+        seen: set[int] = set()
+        for batch, texts in slices(batches, chars=1_000_000):
+            ids, at, nodes, first, new = [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), texts, strict=True):
                 for i, line in lines_of(text, min_chars):
+                    node = line_node(line)
                     ids.append(doc_id)
                     at.append(i)
-                    nodes.append(line_node(line))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(nodes, pa.int64())], names=["doc_id", "line", "node"])
-
-    return map_arrow(texts_of(docs).where("doc_id is not null"), emit, "doc_id long, line int, node long")
-
-
-def distinct_lines(texts: list[str], min_chars: int, seen: set[int]) -> tuple[list[int], list[str]]:
-    nodes, lines = [], []
-    for text in texts:
-        for _, line in lines_of(text, min_chars):
-            if (node := line_node(line)) not in seen:
-                seen.add(node)
-                nodes.append(node)
-                lines.append(line)
-    return nodes, lines
-
-
-def banded(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(key, node) of the bands of every distinct line that has a shingle; a task gives a line once."""
-
-    def emit(batches):
-        seen: set[int] = set()
-        for _, texts in slices(batches, chars=1_000_000):
-            nodes, lines = distinct_lines(texts, max(min_chars, SHINGLE), seen)
-            if lines:
-                keys = np.concatenate([bands(part) for part in stretches(lines)])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(np.array(nodes, dtype=np.int64), BANDS))], names=["key", "node"])
-
-    return map_arrow(texts_of(docs).where("doc_id is not null"), emit, "key long, node long")
+                    nodes.append(node)
+                    fresh = len(line) >= SHINGLE and node not in seen
+                    first.append(fresh)
+                    if fresh:
+                        seen.add(node)
+                        new.append(line)
+            if len(seen) > SEEN:
+                seen.clear()
+            keys = np.concatenate([bands(part) for part in stretches(new)]).reshape(-1).view(np.int64) if new else np.empty(0, dtype=np.int64)
+            mask = np.array(first, dtype=bool)
+            ends = np.concatenate([[0], np.cumsum(mask * BANDS)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys), mask=pa.array(~mask))], names=["doc_id", "line", "node", "keys"])
+
+    return map_arrow(texts_of(docs).where("doc_id is not null"), emit, "doc_id long, line int, node long, keys array<long>")
 
 
 def line_texts(docs: DataFrame, min_chars: int, wanted_nodes: DataFrame) -> DataFrame:
@@ -181,7 +172,15 @@ def line_texts(docs: DataFrame, min_chars: int, wanted_nodes: DataFrame) -> Data
     def emit(batches):
         seen: set[int] = set()
         for _, texts in slices(batches):
-            nodes, lines = distinct_lines(texts, min_chars, seen)
+            nodes, lines = [], []
+            for text in texts:
+                for _, line in lines_of(text, min_chars):
+                    if (node := line_node(line)) not in seen:
+                        seen.add(node)
+                        nodes.append(node)
+                        lines.append(line)
+            if len(seen) > SEEN:
+                seen.clear()
             if lines and shared_.value is not None:
                 keep = may_hold(shared_.value, np.array(nodes, dtype=np.int64))
                 nodes, lines = [n for n, k in zip(nodes, keep, strict=True) if k], [x for x, k in zip(lines, keep, strict=True) if k]
@@ -191,60 +190,82 @@ def line_texts(docs: DataFrame, min_chars: int, wanted_nodes: DataFrame) -> Data
     return map_arrow(texts_of(docs).where("doc_id is not null"), emit, "node long, data binary")
 
 
+def overlaps(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many hashes sets[x[i]] and sets[y[i]] share, for each i: one sort for many pairs."""
+    sizes = np.array([len(s) for s in sets])
+    out = []
+    for at in range(0, len(x), 1 << PAIR_BITS):
+        a, b = x[at : at + (1 << PAIR_BITS)], y[at : at + (1 << PAIR_BITS)]
+        pair = np.arange(len(a), dtype=np.uint64)
+        h = np.concatenate([sets[i] for i in np.concatenate([a, b])]) >> np.uint64(PAIR_BITS)
+        h |= np.repeat(np.concatenate([pair, pair]), np.concatenate([sizes[a], sizes[b]])) << np.uint64(64 - PAIR_BITS)
+        h.sort()
+        out.append(np.bincount((h[1:][h[1:] == h[:-1]] >> np.uint64(64 - PAIR_BITS)).astype(np.int64), minlength=len(a)))
+    return np.concatenate(out) if out else np.empty(0, dtype=np.int64)
+
+
 def verifier(num: int, den: int):
     def check(batches):
         for batch in batches:
-            xs, ys = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            lines = list({*xs, *ys})
-            sets = dict(zip(lines, shingle_sets([x.decode("utf-8", "surrogatepass") for x in lines]), strict=True))
-            keep = []
-            for x, y in zip(xs, ys, strict=True):
-                a, b = sets[x], sets[y]
-                keep.append(den * min(len(a), len(b)) >= num * max(len(a), len(b)) and (num + den) * overlap(a, b) >= num * (len(a) + len(b)))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            place: dict[bytes, int] = {}
+            x, y = (np.array([place.setdefault(d, len(place)) for d in batch.column(c).to_pylist()], dtype=np.int64) for c in (2, 3))
+            sets = shingle_sets([d.decode("utf-8", "surrogatepass") for d in place])
+            sizes = np.array([len(s) for s in sets], dtype=np.int64)
+            least, most = np.minimum(sizes[x], sizes[y]), np.maximum(sizes[x], sizes[y])
+            near = np.flatnonzero(den * least >= num * most)
+            keep = np.zeros(len(x), dtype=bool)
+            keep[near] = (num + den) * overlaps(sets, x[near], y[near]) >= num * (least + most)[near]
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return lambda pairs: map_arrow(pairs, check, PAIRS)
 
 
-def removals(docs: DataFrame, min_chars: int = 40, num: int = 80, den: int = 100) -> DataFrame:
+def spreads(texts: DataFrame) -> DataFrame:
+    def of(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([spread(x) for x in shingle_sets([x.decode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()])], pa.binary())], names=["node", "spread"])
+
+    return map_arrow(texts, of, "node long, spread binary")
+
+
+def removals(docs: DataFrame, min_chars: int = 1, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, line, first_doc, first_line) of the lines that go, and of the line that stays for each."""
-    listed = materialise(occurrences(docs, min_chars), "lines")
-    buckets = materialise(shared(banded(docs, min_chars)).distinct(), "buckets")
-
-    held: list[DataFrame] = []
-
-    def read(nodes: DataFrame) -> DataFrame:
-        firsts = listed.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-        holders = wanted(docs.select("doc_id", "text"), materialise(firsts, "holders"), "doc_id")
-        return line_texts(holders, min_chars, nodes).join(nodes, "node", "left_semi").dropDuplicates(["node"])
-
-    def fetch(nodes: DataFrame) -> DataFrame:
-        if not held:
-            return read(nodes)
-        rest = materialise(nodes.join(held[0].select("node"), "node", "left_anti"), "rest")
-        known = held[0].join(nodes, "node", "left_semi")
-        return known if rest.isEmpty() else known.union(read(rest))
-
-    def marks(nodes: DataFrame) -> DataFrame:
-        def of(batches):
-            for batch in batches:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([spread(x) for x in shingle_sets([x.decode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()])], pa.binary())], names=["node", "spread"])
-
-        held.append(materialise(read(nodes), "texts"))  # read once: some of them are verified afterwards
-        return map_arrow(held[0], of, "node long, spread binary")
-
-    labels = resolve(buckets, fetch, verifier(num, den), marks, num, den).select("node", "component")
-    of = listed.join(labels, "node", "left").select("doc_id", "line", F.coalesce("component", "node").alias("component"))
-    firsts = of.groupBy("component").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.max(F.struct("doc_id", "line")).alias("last")).where("first <> last")
-    gone = of.join(firsts.select("component", "first"), "component").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("line") != F.col("first.line")))
+    listed = materialise(lines_table(docs, min_chars), "lines")
+    banded = listed.where("keys is not null").select(F.explode("keys").alias("key"), "node")
+    buckets = materialise(wanted(banded, materialise(shared_keys(banded), "keys"), "key").distinct(), "buckets")
+    near = materialise(buckets.select("node").distinct(), "near")
+    holders = wanted(listed.where("keys is not null").select("doc_id", "node"), near, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    texts = line_texts(wanted(docs.select("doc_id", "text"), materialise(holders, "holders"), "doc_id"), min_chars, near)
+    texts = materialise(wanted(texts, near, "node").dropDuplicates(["node"]), "texts")
+    labels = Resolver(buckets, verifier(num, den), lambda nodes: spreads(texts.join(nodes, "node", "left_semi")), num, den, data=texts).components()
+
+    # Only lines that occur again, as they are or as another of their component, can go: no others are joined.
+    again = listed.groupBy("node").count().where("count > 1").select("node").join(labels, "node", "left_anti")
+    fate = materialise(again.select("node", F.col("node").alias("component")).union(labels), "fates")
+    some = materialise(matched(listed.select("doc_id", "line", "node"), fate, "node").select("doc_id", "line", "component"), "repeated")
+    place = F.struct("doc_id", "line")
+    firsts = some.groupBy("component").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
+    gone = matched(some, materialise(firsts.select("component", "first"), "firsts"), "component").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("line") != F.col("first.line")))
     return gone.select("doc_id", "line", F.col("first.doc_id").alias("first_doc"), F.col("first.line").alias("first_line"))
 
 
-def deduplicate(docs: DataFrame, min_chars: int = 40, num: int = 80, den: int = 100) -> DataFrame:
+def without_lines(text: pa.Array, gone: pa.Array) -> pa.Array:
+    """Texts less the lines at these places; in time linear in both."""
+    out = []
+    for t, places in zip(text.to_pylist(), gone.to_pylist(), strict=True):
+        if t is not None and places:
+            drop = set(places)
+            t = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in drop)
+        out.append(t)
+    return pa.array(out, pa.string())
+
+
+def deduplicate(docs: DataFrame, min_chars: int = 1, num: int = 80, den: int = 100) -> DataFrame:
     """docs with their texts less the lines that go, and n_lines, n_removed."""
-    gone = removals(docs, min_chars, num, den).groupBy("doc_id").agg(F.collect_set("line").alias("_gone"))
-    lines = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    joined = docs.join(gone, "doc_id", "left")
-    n_gone = F.coalesce(F.size("_gone"), F.lit(0))
-    return joined.select(*[F.when(F.col("_gone").isNotNull(), kept).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns], F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(n_gone).cast("long").alias("n_removed"))
+    found = materialise(removals(docs, min_chars, num, den).select("doc_id", "line"), "gone")
+    gone = found.groupBy("doc_id").agg(F.collect_set("line").alias("_gone"))
+    joined = docs.join(F.broadcast(gone) if few(found, BROADCAST_LINES) else gone, "doc_id", "left")
+    ship(docs.sparkSession)
+    cut = F.arrow_udf(without_lines, "string")(F.when(F.col("_gone").isNotNull(), F.col("text")), F.col("_gone"))  # texts that keep all their lines aren't sent
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).cast("long")
+    return joined.select(*[F.coalesce(cut, F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns], n_lines.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))

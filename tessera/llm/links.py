@@ -23,13 +23,15 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blooms import few, matched
 from .common import map_arrow, materialise
 from .components import connected_components
 
 PAIRS = "a long, b long"
+Step = Callable[[DataFrame], DataFrame]
 SMALL, WIDE = 3, 512
 #: Star rounds at most, and new links an open row that make another one worth while.
 MOST_STARS, GAIN = 2, 0.02
@@ -117,65 +119,90 @@ def block_pairs(num: int, den: int):
 
 def shared(rows: DataFrame) -> DataFrame:
     """Of (key, node, ...), the rows whose key has different nodes: one pass, no list of a key's nodes."""
-    from pyspark.sql import Window
-
     of = Window.partitionBy("key")
     return rows.withColumn("lo", F.min("node").over(of)).withColumn("hi", F.max("node").over(of)).where("lo <> hi").drop("lo", "hi")
 
 
-def resolve(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], spreads: Callable[[DataFrame], DataFrame], num: int, den: int, possible: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None, sift: Callable[[DataFrame], DataFrame] | None = None, stars: int = MOST_STARS) -> DataFrame:
-    """(node, component, links) of linked nodes; links counts a node's verified links, not those that needed no check.
+def shared_keys(rows: DataFrame) -> DataFrame:
+    """The keys of (key, node, ...) that have different nodes: a hot key is aggregated before it is shuffled."""
+    return rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
+
 
-    buckets: (key, node, ...), written. fetch gives (node, data) of a table of nodes; verify takes (a, b, x, y), x and y being
-    data, and gives the linked (a, b), whose similarity is num / den or more. spreads gives (node, spread) of a table of
-    nodes. possible(x, y) may rule out pairs by the buckets' further columns, and sift pairs
-    (a, b) by anything cheaper than their data.
+class Resolver:
+    """Verifies the pairs of nodes that share a bucket, each once.
+
+    buckets: (key, node, ...), written. fetch gives (node, data) of a table of nodes; verify
+    takes (a, b, x, y), x and y being data, and gives the linked (a, b), whose similarity is
+    num / den or more. spreads gives (node, spread) of a table of nodes. possible(x, y) may
+    rule out pairs by the buckets' further columns, and sift pairs (a, b) by anything cheaper
+    than their data. data: (node, data) of all nodes, where it is at hand already.
     """
-    more = [c for c in buckets.columns if c not in ("key", "node")]
-    fits = possible or (lambda x, y: F.lit(True))
-    tried = links = labels = data = None
-    turn, last = 0, not stars
-    while True:
-        if labels is None:
-            now = buckets.withColumn("of", F.col("node"))
-        else:
-            now = buckets.join(labels.select("node", F.col("component").alias("c")), "node", "left").withColumn("of", F.coalesce("c", "node")).drop("c")
-            many = now.groupBy("key").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi").select("key")
-            now = materialise(now.join(many, "key", "left_semi"), "open")
-            if now.isEmpty():
-                break
-        row = F.struct(*[F.col(c).alias(c) for c in ("node", "of", *more)])
-        if not last:
-            centre = now.groupBy("key").agg(F.min_by(row, F.struct(F.col("node") if not turn else F.xxhash64("of", F.lit(turn)), "node")).alias("y"))
-            pairs = now.select("key", row.alias("x")).join(centre, "key")
-        else:
-            sizes = materialise(now.groupBy("key").agg(F.count("*").alias("n")), "sizes")
-            few = now.join(sizes.where(F.col("n") <= SMALL), "key")
-            pairs = few.select("key", row.alias("x")).join(few.select("key", row.alias("y")), "key").where("x.node < y.node")
-        pairs = pairs.where((F.col("x.of") != F.col("y.of")) & fits(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))
-        pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-        if last:
-            wide = materialise(now.join(sizes.where(F.col("n") > SMALL), "key").select("key", "node", "of", "n"), "wide")
-            if not wide.isEmpty():
-                marks = materialise(spreads(wide.select("node").distinct()), "marks")
-                held = wide.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # a node's keys are bounded by its own size
-                pairs = pairs.union(wide_pairs(wide.join(marks, "node").join(held, "node"), num, den))
+
+    def __init__(self, buckets: DataFrame, verify: Step, spreads: Step, num: int, den: int, fetch: Step | None = None, data: DataFrame | None = None, possible: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None, sift: Step | None = None):
+        self.buckets, self.verify, self.spreads, self.num, self.den, self.fetch, self.sift = buckets, verify, spreads, num, den, fetch, sift
+        self.data = data
+        self.more = [c for c in buckets.columns if c not in ("key", "node")]
+        self.fits = possible or (lambda x, y: F.lit(True))
+        self.row = F.struct(*[F.col(c).alias(c) for c in ("node", "of", *self.more)])
+        self.tried = self.links = None
+
+    def _pairs(self, both: DataFrame) -> DataFrame:
+        """(a, b) of rows x and y."""
+        both = both.where((F.col("x.of") != F.col("y.of")) & self.fits(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))
+        return both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+
+    def star(self, now: DataFrame, turn: int) -> DataFrame:
+        """Each node with its bucket's centre."""
+        centre = now.groupBy("key").agg(F.min_by(self.row, F.struct(F.col("node") if not turn else F.xxhash64("of", F.lit(turn)), "node")).alias("y"))
+        return self._pairs(matched(now.select("key", self.row.alias("x")), materialise(centre, "centres"), "key"))
+
+    def across(self, now: DataFrame) -> DataFrame:
+        """All pairs of a bucket that lie in different components."""
+        sizes = materialise(now.groupBy("key").agg(F.count("*").alias("n")), "sizes")
+        few_ = matched(now, sizes.where(F.col("n") <= SMALL), "key")
+        pairs = self._pairs(few_.select("key", self.row.alias("x")).join(few_.select("key", self.row.alias("y")), "key").where("x.node < y.node"))
+        wide = materialise(matched(now, sizes.where(F.col("n") > SMALL), "key").select("key", "node", "of", "n"), "wide")
+        if wide.isEmpty():
+            return pairs
+        marks = materialise(self.spreads(wide.select("node").distinct()), "marks")
+        held = wide.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # a node's keys are bounded by its own size
+        return pairs.union(wide_pairs(wide.join(marks, "node").join(held, "node"), self.num, self.den))
+
+    def check(self, pairs: DataFrame) -> DataFrame:
+        """The linked ones of pairs that weren't checked before."""
         pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(sift(pairs) if sift else pairs, "pairs")
-        new = pairs.select("a").union(pairs.select("b")).distinct().toDF("node")
-        new = materialise(new if data is None else new.join(data.select("node"), "node", "left_anti"), "nodes")
-        fresh = materialise(fetch(new), "data")
-        data = fresh if data is None else data.union(fresh)
-        full = pairs.join(data.select(F.col("node").alias("a"), F.col("data").alias("x")), "a").join(data.select(F.col("node").alias("b"), F.col("data").alias("y")), "b")
-        found = materialise(verify(full.select("a", "b", "x", "y")), "links")
-        tried = pairs if tried is None else tried.union(pairs)
-        links = found if links is None else links.union(found)
-        labels = materialise(connected_components(links), "labels")
-        if last:
-            break
-        turn += 1
-        last = turn >= stars or found.count() < GAIN * now.count()
-    ends = links.union(links.select("b", "a")).groupBy("a").agg(F.count("*").alias("links")).withColumnRenamed("a", "node")
-    return labels.join(ends, "node")
+        if self.tried is not None:
+            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
+        pairs = materialise(self.sift(pairs) if self.sift else pairs, "pairs")
+        if self.fetch:
+            nodes = pairs.select("a").union(pairs.select("b")).distinct().toDF("node")
+            nodes = materialise(nodes if self.data is None else nodes.join(self.data.select("node"), "node", "left_anti"), "nodes")
+            fresh = materialise(self.fetch(nodes), "data")
+            self.data = fresh if self.data is None else self.data.union(fresh)
+        full = pairs.join(self.data.select(F.col("node").alias("a"), F.col("data").alias("x")), "a").join(self.data.select(F.col("node").alias("b"), F.col("data").alias("y")), "b")
+        found = materialise(self.verify(full.select("a", "b", "x", "y")), "links")
+        self.tried = pairs if self.tried is None else self.tried.union(pairs)
+        self.links = found if self.links is None else self.links.union(found)
+        return found
+
+    def components(self, stars: int = MOST_STARS) -> DataFrame:
+        """(node, component) of linked nodes."""
+        now, labels, turn, rows = self.buckets.withColumn("of", F.col("node")), None, 0, None
+        while True:
+            last = turn >= stars or rows is not None and found.count() < GAIN * rows
+            rows = now.count()
+            found = self.check(self.across(now) if last else self.star(now, turn))
+            labels = materialise(connected_components(self.links), "labels")
+            turn += 1
+            if last:
+                return labels
+            named = F.broadcast(labels) if few(labels) else labels
+            now = self.buckets.join(named.select("node", F.col("component").alias("c")), "node", "left").withColumn("of", F.coalesce("c", "node")).drop("c")
+            many = materialise(now.groupBy("key").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi").select("key"), "many")
+            now = materialise(matched(now, many, "key"), "open")
+            if now.isEmpty():
+                return labels
+
+    def all_links(self) -> DataFrame:
+        """Every linked pair (a, b), also those within what is one component already: as many rows as there are links."""
+        return self.check(self.across(self.buckets.withColumn("of", F.col("node"))))

@@ -95,9 +95,9 @@ def test_lines(spark, make):
     for i, k, x in sorted(rows):
         if first.setdefault(root[x], (i, k)) != (i, k):
             gone.add((i, k))
-    got = {(r.doc_id, r.line) for r in line_dedup.removals(make(docs)).collect()}
+    got = {(r.doc_id, r.line) for r in line_dedup.removals(make(docs), min_chars=40).collect()}
     assert got <= gone and len(got) >= 0.97 * len(gone)
-    out = {r.doc_id: r for r in line_dedup.deduplicate(make(docs)).collect()}
+    out = {r.doc_id: r for r in line_dedup.deduplicate(make(docs), min_chars=40).collect()}
     assert len(out) == len(docs) and out[60].text is None and out[61].text == "" and out[62].text == "\n\n"
     for i, t in docs:
         if t is not None:
