@@ -1,35 +1,37 @@
 """Benchmark passages in documents: CGK embedding, bit-sampling LSH, exact edit verification.
 
-Texts are compared as words (lower case, without punctuation). The CGK embedding walks a
-word sequence: step j puts out the word it stands on and moves on by a random bit of
-(j, word). Two walks over sequences that differ by an edit fall in step again, so a few
-edits are few differing steps: edit distance becomes Hamming distance. A repetition
-samples `samples` of the steps, and windows that agree on them are candidates.
-
-Every word of every document starts a window of the size of a window of the items: items
-are tiled into windows of `width` words (items below that have classes of their own
-width), so that any intact or lightly edited part brings the item forward. The walk of
-all windows goes on together up to the first sampled step and drops those whose word no
-item has there, then the rest up to the next. Repetitions are as many as the recall
-asked for needs at the given edit rate, by a simulation with a fixed seed; one word in
-four, as a fifth of the characters may be that many short words.
-
-A candidate is an item and a place. It is kept if the item's text has at most `max_edit`
-of its characters in edits to some stretch of the document there (bit-parallel
-approximate matching, exact). Of an item's places in a document the best one is given.
+Texts are compared as words (lower case, without punctuation) with a space between them,
+items as well as documents. A passage is an item's text with edits of up to `max_edit` of
+its characters, wherever it stands.
+
+1. Windows have the size of the item they are compared with. A window can be the item only
+   if enough of the item's stretches of q characters stand in it, unedited and in step
+   (their places in text and item differ by the same, give or take the edits). Common
+   stretches are left out, by their counts in all documents, so that common phrases make
+   no windows, but half of an item's stretches are looked for at least. How many must be there is what
+   all but one in 100 passages keep that have all the edits allowed, at random places.
+2. The CGK embedding walks a window: step j puts out the character it stands on and moves
+   on by a random bit of (j, character). Walks over strings that differ by an edit fall in
+   step again, so edit distance becomes Hamming distance between what they put out. A
+   repetition samples `samples` steps; window and item are a candidate if they agree on all
+   of a repetition's steps. Walks of `TUPLES` repetitions each are made until the recall
+   asked for is reached, which is simulated with all the edits allowed, by length.
+3. A candidate is kept if the item has at most `max_edit` of its characters in edits to some
+   stretch of the document there (bit-parallel approximate matching, exact). Of an item's
+   places in a document the best one is given.
 
 Items are read once and go to tasks in blocks of a checked size, each block scanning the
-documents, so neither side is ever crossed with the other.
+documents, so neither side is ever crossed with the other. Equal items are one pattern.
 
-Edge cases: null and empty texts hold no item; items without words match nothing; an
-empty table on either side gives no row; repeated documents give rows of their own;
-repeated items too; other columns are ignored.
+Edge cases: null and empty texts hold no item; items without words match nothing; items
+under five characters must stand as whole words; an empty table on either side gives no
+row; repeated documents give rows of their own; repeated items too; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
-import math
-import random
+import functools
 import string
 
 import numpy as np
@@ -37,14 +39,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blooms import mixed
-from .common import SLICE_CHARS, map_arrow, slices, texts_of
-from .encoding import Memo
+from .blooms import combined
+from .common import SLICE_CHARS, map_arrow, short_batches, slices, texts_of
 
-WIDTHS = (12, 6, 3, 1)
 DROP = string.punctuation.encode()
-#: Words of all items in one block that goes to the tasks.
-BLOCK_WORDS = 1_000_000
+#: Characters of all items in one block that goes to the tasks.
+BLOCK_CHARS = 1_000_000
+#: Stretches by an item's bytes: from so many on, so long.
+STRETCHES = ((40, 8), (20, 6), (10, 4), (5, 3))
+#: Stretches that an item keeps at least, counts in a row of the table of their frequencies, and the share of all places that is rare.
+LEAST_CHOSEN, COUNTS, RARE = 40, 4096, 2e-7
+#: Repetitions (sampled steps) of one walk, most walks, and steps of a walk for each byte of the item.
+TUPLES, WALKS, STEPS = 150, 8, 1.5
+#: Random bits for so many steps; longer walks use them again.
+BITS = 1024
+#: Stretches that are looked at together.
+MOST_HITS = 4_000_000
+SEED = 11
 
 
 def words_of(text: str) -> list[bytes]:
@@ -55,110 +66,236 @@ def joined(words: list[bytes]) -> str:
     return b" ".join(words).decode("utf-8", "surrogatepass")
 
 
-def word_hash(word: bytes) -> int:
-    import xxhash
+def spaced(words: list[bytes]) -> bytes:
+    return b" " + b" ".join(words) + b" "
 
-    return xxhash.xxh3_64_intdigest(word)
 
+def packed(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number. data ends with eight bytes that don't count."""
+    out = np.empty(len(data) - 8, dtype=np.uint64)
+    raw = data.tobytes()
+    for r in range(min(8, len(out))):
+        n = len(range(r, len(out), 8))
+        out[r::8] = np.frombuffer(raw, dtype="<u8", count=n, offset=r)
+    return out
 
-def walk_bits(hashes: np.ndarray, seed: int) -> np.ndarray:
-    """64 random bits a word: bit j moves step j."""
-    return mixed(hashes ^ np.uint64((seed * 0x9E3779B97F4A7C15) & (1 << 64) - 1))
 
+def first_bytes(q: int) -> np.uint64:
+    return np.uint64((1 << 8 * q) - 1)
 
-def sampled_steps(width: int, samples: int, repetitions: int, seed: int) -> list[list[int]]:
-    rng = random.Random(seed + width)
-    steps = min(2 * width, 64)
-    return [sorted(rng.sample(range(steps), min(samples, steps))) for _ in range(repetitions)]
 
+def stretch_of(size: int) -> int:
+    """q for an item of so many bytes, spaces around it included."""
+    return next((q for least, q in STRETCHES if size >= least + 2), size)
 
-def repetitions(width: int, samples: int, edit_rate: float, recall: float, seed: int = 7, trials: int = 300) -> int:
-    """How many repetitions find a window with such edits with probability `recall`."""
-    rng, met = random.Random(seed), 0
-    for t in range(trials):
-        a = [rng.getrandbits(64) for _ in range(width)]
-        b = []
-        for w in [*a, *(rng.getrandbits(64) for _ in range(width))]:
-            kind = rng.random()
-            if kind < edit_rate:
-                b += [[], [rng.getrandbits(64)], [rng.getrandbits(64), w]][rng.randrange(3)]
-            else:
-                b.append(w)
-        steps = sampled_steps(width, samples, 1, seed + t)[0]
-        x, y = (embed(np.array(s, dtype=np.uint64), t, steps) for s in (a, b))
-        met += x is not None and x == y
-    p = max(met / trials, 1e-3)
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(p, 0.999))))
 
+@functools.cache
+def bit_table(walk: int) -> np.ndarray:
+    return np.random.default_rng(SEED + walk).integers(0, 2, (BITS, 256), dtype=np.int64)
 
-def embed(hashes: np.ndarray, seed: int, steps: list[int]) -> tuple[int, ...] | None:
-    """The words at the sampled steps of one sequence's walk; None if it ends before."""
-    bits, at, out = walk_bits(hashes, seed), 0, []
-    for j in range(steps[-1] + 1):
-        if at >= len(hashes):
-            return None
-        if j in steps:
-            out.append(int(hashes[at]))
-        at += int(bits[at]) >> j & 1
-    return tuple(out)
 
+@functools.cache
+def sampled(walk: int, samples: int) -> np.ndarray:
+    """(TUPLES, samples) places in a walk, as shares of its steps."""
+    return np.random.default_rng(1000 * SEED + walk).random((TUPLES, samples))
 
-def combine(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
-    return mixed(keys * np.uint64(0x9E3779B97F4A7C15) + words)
 
+def agreements(data: np.ndarray, starts: np.ndarray, steps: np.ndarray, other: np.ndarray, begins: np.ndarray, walk: int) -> np.ndarray:
+    """(windows, most steps): whether each window's walk puts out what stands in other from begins on. steps falls."""
+    out = np.zeros((len(starts), int(steps[0]) if len(steps) else 0), dtype=bool)
+    bits, at = bit_table(walk), starts.copy()
+    left = np.searchsorted(-steps, -np.arange(out.shape[1]), side="left")
+    for j in range(out.shape[1]):
+        n = left[j]  # windows that have a step j
+        c = data[at[:n]]
+        out[:n, j] = c == other[begins[:n] + j]
+        at[:n] += bits[j % BITS][c]
+    return out
 
-class Index:
-    """Item windows by class of width and repetition."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], samples: int, edit_rate: float, recall: float):
-        self.lengths = [len(w) for _, w in items]
-        self.patterns = [joined(w) for _, w in items]
-        self.ids = [i for i, _ in items]
+def walked(data: np.ndarray, start: int, steps: int, walk: int) -> np.ndarray:
+    """What one walk puts out."""
+    bits, at, out = bit_table(walk), start, np.empty(steps, dtype=np.uint8)
+    for j in range(steps):
+        out[j] = c = data[at]
+        at += bits[j % BITS, c]
+    return out
+
+
+def agreeing(agree: np.ndarray, steps: np.ndarray, walk: int, samples: int) -> np.ndarray:
+    """Which windows agree on all steps of one of a walk's repetitions."""
+    place = (sampled(walk, samples)[None] * steps[:, None, None]).astype(np.int64)
+    rows = np.arange(len(steps))[:, None]
+    found = agree[rows, place[..., 0]]
+    for k in range(1, samples):
+        found &= agree[rows, place[..., k]]
+    return found.any(axis=1)
+
+
+def edited(rng: np.random.Generator, text: np.ndarray, edits: int) -> np.ndarray:
+    """text with so many letters replaced, put in or taken out."""
+    out = text.tolist()
+    for kind, share, letter in zip(rng.integers(0, 3, edits).tolist(), rng.random(edits).tolist(), rng.integers(97, 117, edits).tolist(), strict=True):
+        at = int(share * len(out))
+        out[at : at + (kind != 1)] = [letter] * (kind != 2)
+    return np.array(out, dtype=np.uint8)
+
+
+@functools.cache
+def length_class(size: int) -> int:
+    """Sizes in steps of an eighth, for which simulations are made once."""
+    unit = max(1, 1 << max(0, size.bit_length() - 4))
+    return size // unit * unit
+
+
+@functools.cache
+def least_stretches(size: int, q: int, edits: int, chosen: int, trials: int = 2000) -> int:
+    """Of so many stretches of q, those that all but one in 100 of such passages keep unedited, and one at least."""
+    rng = np.random.default_rng(SEED)
+    hit = np.zeros((trials, size + 1), dtype=np.int64)
+    hit[np.arange(trials)[:, None], rng.integers(0, size, (trials, edits)) + 1] = 1
+    before = np.cumsum(hit, axis=1)
+    whole = rng.permuted(before[:, q:] == before[:, :-q], axis=1)
+    return max(1, int(np.quantile(whole[:, :chosen].sum(axis=1), 0.01)))
+
+
+@functools.cache
+def walks_needed(size: int, edits: int, samples: int, recall: float, trials: int = 200) -> int:
+    """Walks after which so many of the passages with all edits allowed are candidates; WALKS at most."""
+    rng = np.random.default_rng(SEED)
+    steps = np.full(trials, int(STEPS * size))
+    tail = lambda: rng.integers(97, 117, 2 * size + 8).astype(np.uint8)
+    items = [np.where(rng.random(size) < 0.16, 32, rng.integers(97, 117, size)).astype(np.uint8) for _ in range(trials)]
+    texts = [np.concatenate([edited(rng, x, edits), tail()]) for x in items]
+    starts = np.cumsum([0, *map(len, texts)])[:-1]
+    data, found = np.concatenate(texts), np.zeros(trials, dtype=bool)
+    for walk in range(WALKS):
+        own = np.concatenate([walked(np.concatenate([x, tail()]), 0, int(steps[0]), walk) for x in items])
+        found |= agreeing(agreements(data, starts, steps, own, np.arange(trials) * int(steps[0]), walk), steps, walk, samples)
+        if found.mean() >= recall:
+            return walk + 1
+    return WALKS
+
+
+class Index:
+    """A block of items: their stretches, in order, and what their walks put out."""
+
+    def __init__(self, items: list[tuple[int, list[bytes]]], max_edit: float, samples: int, recall: float):
+        self.ids: dict[bytes, list[int]] = {}
+        for i, words in items:
+            self.ids.setdefault(spaced(words), []).append(i)
+        self.samples, self.max_edit = samples, max_edit
+        self.texts = list(self.ids)
+        self.patterns = [t.decode("utf-8", "surrogatepass").strip() for t in self.texts]
+        self.words = [t.count(b" ") - 1 for t in self.texts]
+        self.sizes = np.array([len(t) for t in self.texts], dtype=np.int64)
+        self.q = np.array([stretch_of(n) for n in self.sizes.tolist()], dtype=np.int64)
+        edits = [int(max_edit * len(p)) for p in self.patterns]
+        classes = [length_class(n) for n in self.sizes.tolist()]
+        self.drift = np.array([e + 1 for e in edits], dtype=np.int64)
+        self.walks = np.array([walks_needed(c, int(max_edit * c), samples, recall) if e else 1 for c, e in zip(classes, edits, strict=True)], dtype=np.int64)
+        self.steps = np.maximum((STEPS * self.sizes).astype(np.int64), 1)
+        self.begins = np.cumsum(self.steps) - self.steps
+        pad = np.zeros(int(self.steps.max(initial=0)) + 8, dtype=np.uint8)
+        arrays = [np.concatenate([np.frombuffer(t, dtype=np.uint8), pad]) for t in self.texts]
+        self.put_out = [np.concatenate([walked(a, 0, n, w) for a, n in zip(arrays, self.steps.tolist(), strict=True)]) for w in range(int(self.walks.max(initial=0)))]
         self.classes = []
-        for width, above in zip(WIDTHS, (None, *WIDTHS), strict=False):
-            own = [(k, w) for k, (_, w) in enumerate(items) if len(w) >= width and (above is None or len(w) < above)]
-            if not own:
+        for size in sorted(set(self.q.tolist()), reverse=True):
+            own = np.flatnonzero(self.q == size)
+            masked = [packed(arrays[i][: self.sizes[i] + 8])[: self.sizes[i] - size + 1] & first_bytes(min(size, 8)) for i in own]
+            item = np.repeat(own, [len(m) for m in masked])
+            self.classes.append(self._class(size, np.concatenate(masked), item, np.concatenate([np.arange(len(m)) for m in masked])))
+        self.least = np.ones(len(self.texts), dtype=np.int64)
+
+    def _class(self, size: int, keys: np.ndarray, item: np.ndarray, offset: np.ndarray) -> tuple:
+        order = np.argsort(keys, kind="stable")
+        keys, first, count = np.unique(keys[order], return_index=True, return_counts=True)
+        bits = min(24, max(16, (16 * len(keys)).bit_length()))
+        present = np.zeros(1 << bits, dtype=bool)
+        present[self._slot(keys, bits)] = True
+        return first_bytes(min(size, 8)), bits, present, keys, first, count, item[order], offset[order], size
+
+    def n_keys(self) -> int:
+        return sum(len(c[3]) for c in self.classes) + 1
+
+    def occurrences(self, data: np.ndarray) -> np.ndarray:
+        """How often each stretch of an item stands in data, and at last how long data is."""
+        return np.concatenate([*(np.bincount(k, minlength=len(c[3])) for _, k, c in self.hits(data)), [len(data)]])
+
+    def choose(self, frequency: np.ndarray) -> None:
+        """Keeps each item's rare stretches; if they are less than half of it or than LEAST_CHOSEN, the next ones too.
+
+        All that stand in a RARE share of the places count as equally rare: a passage's own copies don't make its
+        unedited stretches look common.
+        """
+        edits, at, rare = self.drift - 1, 0, max(1.0, RARE * float(frequency[-1]))
+        for n, (_, _, _, keys, _, count, item, offset, size) in enumerate(self.classes):
+            often = np.repeat(np.maximum(frequency[at : at + len(keys)], rare), count)
+            values = np.repeat(keys, count)
+            at += len(keys)
+            order = np.lexsort((offset, often, item))
+            which = item[order]
+            rank = np.arange(len(which)) - np.searchsorted(which, which)
+            total = np.bincount(item, minlength=len(self.texts))
+            keep = order[(often[order] <= rare) | (rank < np.maximum(LEAST_CHOSEN, total // 2)[which])]
+            chosen = np.bincount(item[keep], minlength=len(self.texts))
+            self.classes[n] = self._class(size, values[keep], item[keep], offset[keep])
+            for i in np.unique(item):
+                if edits[i]:
+                    c = length_class(int(self.sizes[i]))
+                    self.least[i] = least_stretches(c, min(size, c - 1), int(self.max_edit * c), length_class(int(chosen[i]) * c // int(self.sizes[i])))
+
+    @staticmethod
+    def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def hits(self, data: np.ndarray) -> list[tuple]:
+        """Of each class of stretches: (places in data, places in its keys, class)."""
+        eight, out = packed(data), []
+        for c in self.classes:
+            mask, bits, present, keys = c[:4]
+            at = np.flatnonzero(present[self._slot(eight & mask, bits)])
+            own = eight[at] & mask
+            k = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            same = keys[k] == own
+            out.append((at[same], k[same], c))
+        return out
+
+    def windows(self, hits: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        """(item, start in data) of the windows that hold enough of the item's stretches in step."""
+        items, starts = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+        for at, k, (*_, first, count, item, offset, _) in hits:
+            n = count[k]
+            place = np.repeat(first[k], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            which = item[place]
+            key = which << 40 | np.repeat(at, n) - offset[place] + (1 << 32)
+            key.sort()
+            which = key >> 40
+            near = np.searchsorted(key, key + self.drift[which], side="right") - np.arange(len(key))
+            ends = np.flatnonzero(near >= self.least[which])
+            if not len(ends):
                 continue
-            tiles = []
-            for k, words in own:
-                h = np.array([word_hash(w) for w in words], dtype=np.uint64)
-                starts = sorted({*range(0, len(words) - width + 1, max(1, width // 2)), len(words) - width})
-                tiles += [(k, s, h[s:]) for s in starts]
-            n = min(samples, 2 * width)
-            for r, steps in enumerate(sampled_steps(width, n, repetitions(width, n, edit_rate, recall), 11)):
-                words = [(embed(h, r, steps), k, s) for k, s, h in tiles]
-                words = [x for x in words if x[0] is not None]
-                if not words:
-                    continue
-                keys = np.array([[*x[0]] for x in words], dtype=np.uint64)
-                key = np.zeros(len(keys), dtype=np.uint64)
-                allowed = []
-                for c in range(keys.shape[1]):
-                    key = combine(key, keys[:, c])
-                    allowed.append(np.bincount((keys[:, c] >> np.uint64(48)).astype(np.int64), minlength=1 << 16) > 0)
-                order = np.argsort(key)
-                self.classes.append((r, steps, allowed, key[order], np.array([(words[i][1], words[i][2]) for i in order], dtype=np.int64)))
-
-    def candidates(self, hashes: np.ndarray):
-        """(item, place of its first word) arrays of each class and repetition. hashes end with a pad."""
-        codes = (hashes >> np.uint64(48)).astype(np.int32)
-        for r, steps, allowed, keys, windows in self.classes:
-            bits = walk_bits(hashes, r)
-            bits[-1] = 0
-            start = at = np.arange(len(hashes) - 1)
-            key, j = np.zeros(len(at), dtype=np.uint64), 0
-            for step, ok in zip(steps, allowed, strict=True):
-                at = at.copy()
-                for j_ in range(j, step):
-                    at += ((bits[at] >> np.uint64(j_)) & np.uint64(1)).astype(np.int64)
-                j = step
-                keep = ok[codes[at]]
-                at, start = at[keep], start[keep]
-                key = combine(key[keep], hashes[at])
-            lo, hi = np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")
-            for i in np.flatnonzero(hi > lo):
-                for item, place in windows[lo[i] : hi[i]]:
-                    yield int(item), int(start[i]) - int(place)
+            inside = np.zeros(len(key) + 1, dtype=np.int64)  # all stretches of such a run, each as a start of its own
+            np.add.at(inside, ends, 1)
+            np.add.at(inside, ends + near[ends], -1)
+            key = np.unique(key[np.cumsum(inside[:-1]) > 0])
+            items.append(key >> 40)
+            starts.append((key & ((1 << 40) - 1)) - (1 << 32))
+        return np.concatenate(items), np.concatenate(starts)
+
+    def candidates(self, data: np.ndarray, items: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Which of these windows agree with their items on all steps of a repetition. data goes on for the longest walk after the last start."""
+        order = np.argsort(-self.steps[items], kind="stable")
+        items, starts = items[order], np.maximum(starts[order], 0)
+        found = np.zeros(len(items), dtype=bool)
+        for walk in range(int(self.walks[items].max(initial=0))):
+            for part in np.array_split(open_ := np.flatnonzero(~found & (self.walks[items] > walk)), 1 + len(open_) // 20_000):
+                if len(part):
+                    i, steps = items[part], self.steps[items[part]]
+                    found[part] = agreeing(agreements(data, starts[part], steps, self.put_out[walk], self.begins[i], walk), steps, walk, self.samples)
+        out = np.zeros(len(items), dtype=bool)
+        out[order] = found
+        return out
 
 
 def best_match(pattern: str, text: str) -> tuple[int, int]:
@@ -185,64 +322,83 @@ def best_match(pattern: str, text: str) -> tuple[int, int]:
     return best, end
 
 
-_hashes = Memo(word_hash, 300_000)
-
-
-def hashes_of(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
-def matches(texts: list[str], index: Index, max_edit: float) -> list[tuple[int, int, int, int, int]]:
+def matches(texts: list[str], index: Index) -> list[tuple[int, int, int, int, int]]:
     """(text, item, first word, words, edits): the best place of every item in every text."""
-    words = [words_of(t) for t in texts]
-    sizes = np.array([len(w) + 1 for w in words])
-    starts = np.cumsum(sizes) - sizes
-    pad = np.zeros(1, dtype=np.uint64)
-    hashes = np.concatenate([x for w in words for x in (hashes_of(w), pad)]) if words else pad
-    places: dict[tuple[int, int], set[int]] = {}
-    for item, place in index.candidates(hashes):
-        at = min(max(place, 0), len(hashes) - 1)
-        k = int(np.searchsorted(starts, at, side="right")) - 1
-        if place - int(starts[k]) < -index.lengths[item]:
-            continue
-        places.setdefault((k, item), set()).add(place - int(starts[k]))
-        if place != at or at == int(starts[k]) + len(words[k]):  # the window began before the text it lies in
-            places.setdefault((min(k + 1, len(words) - 1), item), set()).add(0)
+    return _matches([spaced(words_of(t)) for t in texts], 0, index)
+
+
+def _matches(norm: list[bytes], base: int, index: Index) -> list[tuple[int, int, int, int, int]]:
+    ends = np.cumsum([len(t) + 1 for t in norm])
+    data = np.frombuffer(b"\0".join([*norm, bytes(int(index.steps.max(initial=0)) + 16)]), dtype=np.uint8)
+    hits = index.hits(data)
+    if len(norm) > 1 and sum(int(c[5][k].sum()) for _, k, c in hits) > MOST_HITS:
+        half = len(norm) // 2
+        return _matches(norm[:half], base, index) + _matches(norm[half:], base + half, index)
+    items, starts = index.windows(hits)
+    keep = index.candidates(data, items, starts)
+    items, starts = items[keep], starts[keep]
+    # A window may begin a little before the text that holds most of it.
+    texts = np.searchsorted(ends, np.maximum(starts + index.sizes[items] // 2, 0), side="right")
+    places: dict[tuple[int, int], list[int]] = {}
+    for k, i, s in zip(texts.tolist(), items.tolist(), starts.tolist(), strict=True):
+        if k < len(norm):
+            places.setdefault((k, i), []).append(s - int(ends[k]) + len(norm[k]) + 1)
     found = []
-    for (k, item), at in places.items():
-        n, pattern, done, best = index.lengths[item], index.patterns[item], None, None
-        slack = int(n * max_edit) + 2
+    for (k, i), at in places.items():
+        pattern, size, best = index.patterns[i], int(index.sizes[i]), None
+        most, slack, text = index.max_edit * len(pattern), int(index.drift[i]) + 4, norm[k]
+        done = None
         for place in sorted(at):
             if done is not None and place <= done:
                 continue
+            done = place + 2 * slack  # one look covers the starts from here to there
             first = max(0, place - slack)
-            part = words[k][first : max(0, place + slack) + n + slack]
-            done = place + slack // 2
-            text = joined(part)
-            edits, end = best_match(pattern, text)
-            if edits <= max_edit * len(pattern) and (best is None or edits < best[0]):
-                last = text.count(" ", 0, end)
-                best = (edits, max(0, first + last - n + 1))
+            part = text[first : max(0, place) + size + 3 * slack].decode("utf-8", "ignore")
+            edits, end = best_match(pattern, part)
+            if edits <= most and (best is None or edits < best[0]):
+                last = text.count(b" ", 0, first) + part.count(" ", 0, end) - 1
+                best = (edits, max(0, last - index.words[i] + 1))
         if best:
-            found.append((k, item, best[1], n, best[0]))
+            found.append((base + k, i, best[1], index.words[i], best[0]))
     return found
 
 
-def contaminated(docs: DataFrame, items: DataFrame, max_edit: float = 0.2, samples: int = 6, edit_rate: float = 0.25, recall: float = 0.99) -> DataFrame:
-    """doc_id, item_id, first_word, n_words, edits, item_chars of every benchmark passage found."""
+def frequencies(docs: DataFrame, index: Index) -> np.ndarray:
+    """How often each of the index's stretches stands in all documents: as many counts as it has stretches, which a block bounds."""
+    shared, n = docs.sparkSession.sparkContext.broadcast(index), index.n_keys()
+    blocks_ = -(-n // COUNTS)
+
+    def count(batches):
+        own = np.zeros(blocks_ * COUNTS, dtype="<u8")
+        for _, texts in slices(batches, chars=SLICE_CHARS // 4):
+            own[:n] += shared.value.occurrences(np.frombuffer(b"\0".join([*(spaced(words_of(t)) for t in texts), bytes(16)]), dtype=np.uint8)).astype("<u8")
+        if own.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(blocks_)), pa.array([own[k * COUNTS : (k + 1) * COUNTS].tobytes() for k in range(blocks_)], pa.binary())], names=["block", "bits"])
+
+    out = np.zeros((blocks_, COUNTS), dtype=np.int64)
+    with short_batches(docs.sparkSession):
+        for block, bits in combined(map_arrow(texts_of(docs), count, "block long, bits binary"), "<u8", np.add).collect():
+            out[block] = np.frombuffer(bytes(bits), dtype="<u8")
+    return out.reshape(-1)[:n]
+
+
+def contaminated(docs: DataFrame, items: DataFrame, max_edit: float = 0.2, samples: int = 4, recall: float = 0.97) -> DataFrame:
+    """doc_id, item_id, first_word, n_words, edits, item_chars of every benchmark passage found. recall is the share of passages with all the edits allowed that are to be found."""
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, first_word long, n_words long, edits long, item_chars long"
     out = spark.createDataFrame([], schema)
     for block in blocks(items):
-        shared = spark.sparkContext.broadcast(Index(block, samples, edit_rate, recall))  # at most BLOCK_WORDS words
+        index = Index(block, max_edit, samples, recall)
+        index.choose(frequencies(docs, index))
+        shared = spark.sparkContext.broadcast(index)  # at most BLOCK_CHARS characters
 
         def scan(batches, shared=shared):
             index = shared.value
-            for batch, texts in slices(batches, chars=SLICE_CHARS // 2):
-                found = matches(texts, index, max_edit)
+            for batch, texts in slices(batches, chars=SLICE_CHARS // 4):
+                found = matches(texts, index)
                 if found:
                     ids = batch.column(0).to_pylist()
-                    rows = [(ids[k], index.ids[i], p, n, e, len(index.patterns[i])) for k, i, p, n, e in found]
+                    rows = [(ids[k], item, p, n, e, len(index.patterns[i])) for k, i, p, n, e in found for item in index.ids[index.texts[i]]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "item_id", "first_word", "n_words", "edits", "item_chars"])
 
         out = out.union(map_arrow(texts_of(docs), scan, schema))
@@ -256,11 +412,12 @@ def blocks(items: DataFrame):
         words = words_of(text)
         if not words:
             continue
-        if block and size + len(words) > BLOCK_WORDS:
+        chars = sum(map(len, words)) + len(words)
+        if block and size + chars > BLOCK_CHARS:
             yield block
             block, size = [], 0
         block.append((item_id, words))
-        size += len(words)
+        size += chars
     if block:
         yield block
 

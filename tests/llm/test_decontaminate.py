@@ -58,8 +58,52 @@ def test_empty_sides(spark, make, none, edges):
     assert dc.contaminated(edges, bench.where("false")).count() == 0
 
 
-def test_repetitions_grow_with_recall():
-    assert dc.repetitions(12, 6, 0.05, 0.9) <= dc.repetitions(12, 6, 0.05, 0.999)
+def test_walks_grow_with_recall():
+    assert dc.walks_needed(80, 16, 4, 0.5) <= dc.walks_needed(80, 16, 4, 0.99)
+
+
+def edited(rng, text, kind, share):
+    """text with this share of its characters (any edit) or words (replaced) edited."""
+    if kind == "words":
+        words = text.split()
+        for k in rng.sample(range(len(words)), max(1, round(share * len(words)))):
+            words[k] = prose(rng, 1)[0]
+        return " ".join(words)
+    out = list(text)
+    for _ in range(max(1, int(share * len(text)))):
+        at, what = rng.randrange(len(out)), rng.choice(["replaced", "put in", "taken out"])
+        if what == "taken out":
+            out[at] = ""
+        else:
+            out[at] = rng.choice("abcdefghijklmnopqrstuvwxyz") + (out[at] if what == "put in" else "")
+    return "".join(out)
+
+
+def recall_by_class(spark, make, trials, sizes=(4, 7, 12, 25, 60)):
+    """{(words, kind, share): (found, there)}: of the planted passages that all-pairs alignment accepts."""
+    rng = random.Random(9)
+    items, docs, classes = [], [], {}
+    for n in sizes:
+        for kind in ("characters", "words"):
+            for share in (0.05, 0.1, 0.2):
+                for _ in range(trials):
+                    text = " ".join(prose(rng, n))
+                    changed = edited(rng, text, kind, share)
+                    own = len(items)
+                    items.append((own, text))
+                    docs.append((own, " ".join([*prose(rng, 20), changed, *prose(rng, 20)])))
+                    plain = dc.joined(dc.words_of(docs[-1][1]))
+                    if dc.best_match(text, plain)[0] <= 0.2 * len(text):
+                        classes.setdefault((n, kind, share), []).append(own)
+    found = {(r.doc_id, r.item_id): r.edits for r in dc.contaminated(make(docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for (doc, item), edits in found.items():
+        assert edits <= 0.2 * len(items[item][1])
+    return {c: (sum((i, i) in found for i in own), len(own)) for c, own in classes.items()}
+
+
+def test_recall_of_edited_passages(spark, make):
+    for c, (found, there) in recall_by_class(spark, make, 30).items():
+        assert found >= 0.9 * there, (c, found, there)
 
 
 def test_short_items_with_one_word_in_five_replaced(spark, make):
