@@ -57,27 +57,37 @@ def fold(events: DataFrame) -> DataFrame:
 def render(messages: DataFrame) -> DataFrame:
     """conv_id, formatted, loss_spans (array of start, length; from 0) of folded messages."""
     role, text = escape(F.col("role")), escape(F.col("text"))
-    turns = messages.select("conv_id", F.struct("message", (F.col("role") == "assistant").alias("loss"), F.concat(F.lit(OPEN), role, F.lit(BODY)).alias("lead"), text.alias("text")).alias("t"))
-    whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
-    marked = whole.select("conv_id", F.expr("concat_ws('', transform(t, x -> concat(x.lead, x.text, '[/INST]</s>\\n')))").alias("formatted"), F.transform("t", lambda x: F.struct(x.loss.alias("loss"), F.length(x.lead).alias("lead"), F.length(x.text).alias("text"))).alias("t"))
-    spans = F.aggregate(
-        "t",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
-        lambda a, x: F.struct((a.at + x.lead + x.text + len(CLOSE)).alias("at"), F.when(x.loss, F.concat(a.spans, F.array(F.struct((a.at + x.lead).alias("start"), x.text.alias("length"))))).otherwise(a.spans).alias("spans")),
-        lambda a: a.spans,
-    )
-    return marked.select("conv_id", "formatted", spans.alias("loss_spans"))
+    turns = messages.select("conv_id", "message", (F.col("role") == "assistant").alias("loss"), F.concat(F.lit(OPEN), role, F.lit(BODY)).alias("lead"), text.alias("text"))
+    before = Window.partitionBy("conv_id").orderBy("message").rowsBetween(Window.unboundedPreceding, -1)
+    begun = F.coalesce(F.sum(F.length("lead") + F.length("text") + len(CLOSE)).over(before), F.lit(0))
+    turns = turns.withColumn("start", (begun + F.length("lead")).cast("int"))
+    whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("message", "loss", "lead", "text", "start"))).alias("t"))
+    spans = F.transform(F.filter("t", lambda x: x.loss), lambda x: F.struct(x.start.alias("start"), F.length(x.text).alias("length")))
+    return whole.select("conv_id", F.expr("concat_ws('', transform(t, x -> concat(x.lead, x.text, '[/INST]</s>\\n')))").alias("formatted"), spans.alias("loss_spans"))
 
 
 def parse(formatted: DataFrame) -> DataFrame:
-    """conv_id, turns (array of role, text, restored from the formatted text alone), loss (array of restored texts under the mask), formatted_chars."""
-    pieces = F.expr("slice(split(formatted, '\\\\[/INST\\\\]</s>\\n', -1), 1, size(split(formatted, '\\\\[/INST\\\\]</s>\\n', -1)) - 1)")
-    turns = F.transform(
-        pieces,
-        lambda p: F.struct(unescape(F.substring_index(F.substr(p, F.lit(len(OPEN) + 1)), BODY, 1)).alias("role"), unescape(F.substr(p, F.instr(p, BODY) + F.lit(len(BODY)))).alias("text")),
-    )
-    loss = F.transform("loss_spans", lambda s: unescape(F.substr(F.col("formatted"), s.start + 1, s.length)))
-    return formatted.select("conv_id", turns.alias("turns"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
+    """conv_id, turns (array of role, text, restored from the formatted text alone), loss (array of restored texts under the mask), formatted_chars.
+
+    Spans are cut out of the piece of the text in which they begin, so that a long conversation isn't walked once a span.
+    """
+    split = formatted.select("conv_id", "loss_spans", F.length("formatted").cast("long").alias("formatted_chars"), F.split("formatted", r"\[/INST\]</s>\n", -1).alias("pieces"))
+    pieces = split.select("conv_id", F.posexplode(F.expr("slice(pieces, 1, size(pieces) - 1)")).alias("place", "piece"))
+    before = Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("begun", F.coalesce(F.sum(F.length("piece") + len(CLOSE)).over(before), F.lit(0)).cast("int"))
+    body = F.instr("piece", BODY) + len(BODY) - 1
+    pieces = pieces.select("conv_id", "place", "piece", "begun", (F.col("begun") + body).alias("start"))
+    spans = split.select(F.col("conv_id").alias("own"), F.explode("loss_spans").alias("span")).select("own", F.col("span.start").alias("at"), F.col("span.length").alias("chars"))
+    both = pieces.join(spans, pieces.conv_id.eqNullSafe(spans.own) & (F.col("start") == F.col("at")), "left")
+    role = unescape(F.substring_index(F.substr("piece", F.lit(len(OPEN) + 1)), BODY, 1))
+    text = unescape(F.substr("piece", F.col("start") - F.col("begun") + 1))
+    loss = unescape(F.substr("piece", F.col("at") - F.col("begun") + 1, F.col("chars")))
+    turns = both.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("place", role.alias("role"), text.alias("text"), loss.alias("loss")))).alias("t"))
+    sizes = split.select(F.col("conv_id").alias("own"), "formatted_chars")
+    rows = sizes.join(turns, turns.conv_id.eqNullSafe(sizes.own), "left")
+    said = F.transform("t", lambda x: F.struct(x.role.alias("role"), x.text.alias("text")))
+    masked = F.transform(F.filter("t", lambda x: x.loss.isNotNull()), lambda x: x.loss)
+    return rows.select(F.col("own").alias("conv_id"), said.alias("turns"), masked.alias("loss"), "formatted_chars")
 
 
 def digests(parsed: DataFrame) -> DataFrame:
@@ -87,6 +97,18 @@ def digests(parsed: DataFrame) -> DataFrame:
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """A table of finished turns as a log: one delta a row; rows with equal turns are messages of their own, by role and text."""
+    """A table of finished turns as a log that ends in them; rows with equal turns are messages of their own, by role and text.
+
+    By a hash, a turn was streamed at once, streamed in two deltas, drafted and edited, or
+    drafted, regenerated and streamed anew; drafts hold the text backwards.
+    """
     own = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
-    return conversations.select("conv_id", F.col("turn").alias("seq"), F.struct("turn", own.alias("n")).alias("message"), F.lit("delta").alias("kind"), "role", "text")
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    event = lambda kind, x: F.struct(F.lit(kind).alias("kind"), x.alias("text"))
+    parts = [event("delta", F.substr(text, F.lit(1), half)), event("delta", F.substr(text, half + 1))]
+    draft = event("delta", F.reverse(text))
+    way = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4))
+    log = F.when(way == 0, F.array(event("delta", text))).when(way == 1, F.array(*parts)).when(way == 2, F.array(draft, event("edit", text))).otherwise(F.array(draft, event("regenerate", F.lit("")), *parts))
+    rows = conversations.select("conv_id", F.struct("turn", own.alias("n")).alias("message"), "role", log.alias("log")).select("conv_id", "message", "role", F.posexplode("log").alias("step", "e"))
+    return rows.select("conv_id", F.struct(F.col("message.turn").alias("turn"), F.col("message.n").alias("n"), "step").alias("seq"), "message", F.col("e.kind").alias("kind"), "role", F.col("e.text").alias("text"))

@@ -12,10 +12,15 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from array import array
 
 import numpy as np
 
+from .common import kept
+
+#: Texts from so many characters on are searched for runs of white space that the byte-pair core's pattern can't match (its stack ends at a million).
+LONG, LONG_RUN = 50_000, re.compile(r"\s{20000}")
 #: White space beyond space and line feed, as the two tokenizers' patterns and Python count it.
 ODD_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x01"
 ODD_UNICODE = "\x85\xa0 ᠎               　"
@@ -56,7 +61,7 @@ class TextEncoder:
     more than themselves, or a special token's text, goes through the whole library.
     """
 
-    def __init__(self, path: str, cached: int = 400_000):
+    def __init__(self, path: str, cached: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
@@ -127,9 +132,13 @@ class TextEncoder:
             return self._library([text])[0]
         return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
 
+    def _odd(self, text: str) -> bool:
+        """Whether the byte-pair core doesn't do for this text."""
+        return any(s in text for s in self.special) or len(text) >= LONG and LONG_RUN.search(text) is not None
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.core is not None:
-            return [self._library([t])[0] if any(s in t for s in self.special) else array(self.code, self.core.encode_ordinary(t)).tobytes() for t in texts]
+            return [self._library([t])[0] if self._odd(t) else array(self.code, self.core.encode_ordinary(t)).tobytes() for t in texts]
         get = self.known.__getitem__
         parts = map(self._split, texts)
         return [self._whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts, strict=True)]
@@ -149,11 +158,6 @@ class Memo(dict):
         return value
 
 
-_encoders: dict[str, TextEncoder] = {}
-
-
 def encoder(path: str) -> TextEncoder:
     """One per worker and file."""
-    if path not in _encoders:
-        _encoders[path] = TextEncoder(path)
-    return _encoders[path]
+    return kept("encoder", path, lambda: TextEncoder(path))

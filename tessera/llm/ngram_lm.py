@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blooms import mixed
-from .common import map_arrow, materialise, shuffle_partitions, slices, texts_of, work_path
+from .common import kept, map_arrow, materialise, shuffle_partitions, slices, texts_of, work_path
 
 ORDER = 4
 MERGE_AT = 4_000_000
@@ -179,12 +179,10 @@ class Model:
         return out
 
 
-_models: dict[tuple[str, str], Model] = {}
-
-
 def load(path: str, lang: str) -> Model:
     """A worker's model of one language; a language the model doesn't have gives one without n-grams."""
-    if (path, lang) not in _models:
+
+    def read() -> Model:
         import pyarrow.dataset as ds
 
         from .common import file_system
@@ -192,8 +190,7 @@ def load(path: str, lang: str) -> Model:
         system, root = file_system(path)
         table = ds.dataset(root, filesystem=system, format="parquet", exclude_invalid_files=False).to_table(filter=ds.field("lang") == lang, columns=["part", "hash", "value"])
         part, hashes, values = (table.column(c).to_numpy() for c in ("part", "hash", "value"))
-        for old in [k for k in _models if k[0] != path]:
-            del _models[old]
-        _models[path, lang] = Model({int(p): SortedHashes(hashes[part == p].view(np.uint64), values[part == p]) for p in np.unique(part)})
-    return _models[path, lang]
+        return Model({int(p): SortedHashes(hashes[part == p].view(np.uint64), values[part == p]) for p in np.unique(part)})
+
+    return kept(path, lang, read)
 

@@ -20,6 +20,7 @@ doc_id, piece and checksum; an empty table gives no sequence.
 from __future__ import annotations
 
 import bisect
+import uuid
 import zlib
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, materialise, shuffle_partitions, slices, texts_of
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row string, ids binary"
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -50,10 +51,11 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode(texts), strict=True):
                 ids += end
+                own = uuid.uuid4().hex  # tells rows with the same doc_id apart
                 for k, (s, n) in enumerate(cuts(len(ids) // width, capacity)):
                     part = ids[s * width : (s + n) * width]
-                    rows.append((doc_id, k, s, n, zlib.crc32(np.frombuffer(part, dtype=enc.dtype).astype("<u4").tobytes()), part))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+                    rows.append((doc_id, k, s, n, zlib.crc32(np.frombuffer(part, dtype=enc.dtype).astype("<u4").tobytes()), own, part))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "row", "ids"])
 
     return map_arrow(texts_of(docs), cut, PIECES)
 
@@ -123,13 +125,13 @@ def ranked(lengths: DataFrame, salts: int) -> DataFrame:
     return inner.join(starts, ["length", "salt"]).withColumn("rank", F.col("first") + F.col("own")).drop("first", "own", "salt")
 
 
-def assign(pieces_: DataFrame, capacity: int, salts: int | None = None) -> DataFrame:
+def assign(pieces_: DataFrame, capacity: int, salts: int | None = None, without: tuple[str, ...] = ()) -> DataFrame:
     """Adds sequence_id and offset to pieces that can be read again (a written table)."""
     spark = pieces_.sparkSession
     histogram = {r[0]: r[1] for r in pieces_.groupBy("length").count().collect()}  # at most `capacity` rows
     runs = np.array(sorted(plan(histogram, capacity)), dtype=np.int64).reshape(-1, 5)
     shared = spark.sparkContext.broadcast(runs)  # runs: bounded by the lengths, not by the corpus
-    names = [f.name for f in pieces_.schema.fields if f.name != "ids"]
+    names = [f.name for f in pieces_.schema.fields if f.name not in ("ids", *without)]
     table = ranked(pieces_.select(*names), salts or 4 * shuffle_partitions(spark))
 
     def place(batches):
@@ -141,19 +143,19 @@ def assign(pieces_: DataFrame, capacity: int, salts: int | None = None) -> DataF
             cols = [batch.column(batch.schema.get_field_index(c)) for c in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(run[:, 3] + rank - run[:, 1]), pa.array(run[:, 4])], names=[*names, "sequence_id", "offset"])
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces_.schema.fields if f.name != "ids")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces_.schema.fields if f.name in names)
     return map_arrow(table, place, f"{fields}, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. The ids are in the pieces' table, written once."""
-    return assign(materialise(pieces(docs, tokenizer, end_id, capacity), "pieces"), capacity)
+    return assign(materialise(pieces(docs, tokenizer, end_id, capacity), "pieces"), capacity, without=("row",))
 
 
 def sequences(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
     """The packed sequences themselves: sequence_id, length, doc_ids, starts (of their documents' pieces) and ids. A sequence's pieces are at most `capacity`, which bounds each group."""
     written = materialise(pieces(docs, tokenizer, end_id, capacity), "pieces")
-    placed = assign(written, capacity).select("doc_id", "piece", "sequence_id", "offset")
-    joined = written.join(placed, (written.doc_id.eqNullSafe(placed.doc_id)) & (written.piece == placed.piece)).select("sequence_id", F.struct("offset", written.doc_id, "start", "length", "ids").alias("x"))
+    placed = assign(written, capacity).select("row", "piece", "sequence_id", "offset")
+    joined = written.join(placed, ["row", "piece"]).select("sequence_id", F.struct("offset", "doc_id", "start", "length", "ids").alias("x"))
     grouped = joined.groupBy("sequence_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
     return grouped.select("sequence_id", F.aggregate("x.length", F.lit(0).cast("long"), lambda a, b: a + b).alias("length"), F.col("x.doc_id").alias("doc_ids"), F.col("x.offset").alias("offsets"), F.col("x.start").alias("starts"), F.expr("aggregate(x.ids, cast('' as binary), (a, b) -> concat(a, b))").alias("ids"))

@@ -2,9 +2,9 @@
 
 P(a is preferred to b) = 1 / (1 + exp(w . (features(b) - features(a)))). Pairs put a
 document labelled 1 before one labelled 0 of the labelled rows that may be learned from;
-the weights minimise the logistic loss of their feature differences, with a ridge. A
-document's rank value is w . features, and the threshold is a quantile of the learned
-rows' values: the level, among all, that splits their labels best (highest mean of both
+the the weights minimise the logistic loss of their feature differences, with a ridge. A
+document's rank value is w . features, and the threshold is a quantile of the values of
+all documents: the level that splits the learned rows' labels best (highest mean of both
 classes' accuracies). Scores are a logistic curve around the threshold, at which they
 are 0.5, with the scale that fits the labels.
 
@@ -22,7 +22,7 @@ repeated rows get a row each; an empty table gives none; other columns are ignor
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -47,14 +47,13 @@ def features(text: str) -> list[float]:
     byte = np.bincount(np.frombuffer(data, dtype=np.uint8), minlength=256) if data else np.zeros(256, dtype=np.int64)
     upper, lower, digits = int(byte[65:91].sum()), int(byte[97:123].sum()), int(byte[48:58].sum())
     again = sum(a == b for a, b in zip(words, words[1:], strict=False))
-    step = [" ".join(words[i : i + 8]) for i in range(0, k - 7, 8)]
     share = [
         len(count) / k if k else 0.0, max(count.values()) / k if k else 0.0, again / k if k else 0.0,
         1 - len(set(lines)) / len(lines) if lines else 0.0,
     ]
     rest = [
         len(lines) / max(k, 1), sum(len(x) < 30 for x in lines) / max(len(lines), 1), upper / max(n, 1), lower / max(n, 1), digits / max(n, 1), int(byte[32]) / max(n, 1),
-        int(byte[128:].sum()) / max(len(data), 1), sum(w[0].isupper() for w in words) / max(k, 1), 1 - len(set(step)) / len(step) if step else 0.0,
+        int(byte[128:].sum()) / max(len(data), 1), sum(w[0].isupper() for w in words) / max(k, 1), 1 - len(set(zip(*(words[i:] for i in range(8))))) / (k - 7) if k > 7 else 0.0,  # noqa: B905
     ]
     marks = [math.log1p(100 * int(byte[ord(m)]) / max(k, 1)) for m in MARKS]
     return [math.log1p(k), (n - int(byte[32])) / max(k, 1) / 10, *share, *rest, *marks]
@@ -67,6 +66,8 @@ def expand(x: np.ndarray, knots: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Ranking:
+    """Weights of expanded features, and the logistic curve around the threshold, which is the quantile of all documents' values at `level`."""
+
     knots: np.ndarray
     middle: np.ndarray
     scale: np.ndarray
@@ -82,8 +83,12 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip(self.slope * (self.values(x) - self.threshold), -30, 30)))
 
 
+#: Quantiles of all documents' values that may become the threshold.
+LEVELS = [k / 200 for k in range(1, 200)]
+
+
 def fit(x: np.ndarray, y: np.ndarray, pairs: int = 100_000, ridge: float = 1e-3, steps: int = 300, seed: int = 5) -> Ranking:
-    """Learns from features x and labels y (0, 1)."""
+    """Learns the weights from features x and labels y (0, 1). The threshold is to be set by cut()."""
     knots = np.quantile(x, [0.1, 0.5, 0.9, 0.97], axis=0) if len(x) else np.zeros((4, x.shape[1]))
     e = expand(x, knots)
     middle, scale = (e.mean(axis=0), e.std(axis=0) + 1e-6) if len(x) else (np.zeros(e.shape[1]), np.ones(e.shape[1]))
@@ -101,19 +106,24 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = 100_000, ridge: float = 1e-3,
         g = -(d / (1 + np.exp(np.clip(d @ w, -30, 30)))[:, None]).mean(axis=0) + ridge * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.05 * (1 - 0.9 * t / steps) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    s = z @ w
-    levels = np.linspace(0.005, 0.995, 199)
-    cuts = np.quantile(s, levels)
+    return Ranking(knots, middle, scale, w, 0.0, 1.0, 0.5)
+
+
+def cut(ranking: Ranking, s: np.ndarray, y: np.ndarray, cuts: list[float], levels: list[float] = LEVELS) -> Ranking:
+    """ranking with the threshold, of these quantiles, that splits values s best by their labels y, and the slope that fits them."""
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    if not len(good) or not len(bad) or not cuts:
+        return ranking
     right = [(np.mean(s[good] >= c) + np.mean(s[bad] < c)) / 2 for c in cuts]
     best = np.flatnonzero(np.array(right) >= max(right) - 1e-9)
     k = int(best[len(best) // 2])
-    cut, slope = float(cuts[k]), 1.0
+    at, slope = float(cuts[k]), 1.0
     for _ in range(50):  # Newton steps for the slope, classes weighted equally
-        p = 1 / (1 + np.exp(-np.clip(slope * (s - cut), -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(slope * (s - at), -30, 30)))
         weight = np.where(y == 1, 0.5 / len(good), 0.5 / len(bad))
-        g, h = np.sum(weight * (p - y) * (s - cut)), np.sum(weight * p * (1 - p) * (s - cut) ** 2) + 1e-9
+        g, h = np.sum(weight * (p - y) * (s - at)), np.sum(weight * p * (1 - p) * (s - at) ** 2) + 1e-9
         slope = float(np.clip(slope - g / h, 0.05, 20))
-    return Ranking(knots, middle, scale, w, cut, slope, float(levels[k]))
+    return replace(ranking, threshold=at, slope=slope, level=levels[k])
 
 
 def learnable() -> Column:
@@ -129,7 +139,7 @@ def sample(labels: DataFrame, label: str, max_rows: int) -> DataFrame:
     return parts[0].union(parts[1])
 
 
-def rank(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, cut: float = 0.5) -> DataFrame:
+def rank(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, least: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted, and rank_value of every document."""
 
     def measure(batches):
@@ -137,17 +147,21 @@ def rank(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, cut: float =
             x = np.array([features(t) for t in texts], dtype=np.float32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.reshape(-1)))], names=["doc_id", "x"])
 
+    spark = docs.sparkSession
     measured = materialise(map_arrow(texts_of(docs), measure, "doc_id long, x array<float>"), "features")
     learned = measured.join(sample(labels, "quality", max_rows), "doc_id").select("x", "label", "doc_id").orderBy("doc_id").toPandas()  # 2 max_rows rows at most, but for repeated ids
-    x = np.array([*learned["x"]], dtype=np.float64).reshape(-1, len(FEATURES))
-    model = docs.sparkSession.sparkContext.broadcast(fit(x, learned["label"].to_numpy()))
+    x, y = np.array([*learned["x"]], dtype=np.float64).reshape(-1, len(FEATURES)), learned["label"].to_numpy()
+    model = fit(x, y)
+    shared = spark.sparkContext.broadcast(model)
 
-    def score(batches):
+    def value(batches):
         for batch in batches:
             x = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
-            s = model.value.scores(x) if batch.num_rows else np.empty(0)
-            v = model.value.values(x) if batch.num_rows else np.empty(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array(v, pa.float64())], names=["doc_id", "score", "rank_value"])
-
-    scored = map_arrow(measured, score, "doc_id long, score double, rank_value double")
-    return scored.select("doc_id", (~learnable()).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), "rank_value")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.values(x) if batch.num_rows else np.empty(0), pa.float64())], names=["doc_id", "rank_value"])
+
+    valued = materialise(map_arrow(measured, value, "doc_id long, rank_value double"), "values")
+    cuts = valued.agg(F.percentile_approx("rank_value", LEVELS, 10_000)).first()[0]  # a mergeable sketch of all documents
+    model = cut(model, model.values(x), y, list(cuts or []))
+    score = 1 / (1 + F.exp(-F.least(F.greatest((F.col("rank_value") - model.threshold) * model.slope, F.lit(-30.0)), F.lit(30.0))))
+    scored = valued.select("doc_id", score.alias("score"), "rank_value")
+    return scored.select("doc_id", (~learnable()).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"), "rank_value")

@@ -1,7 +1,7 @@
 """Quality rules: counts of words, lines and repeats, and bands of n-gram perplexity by language.
 
 A document's perplexity is that of its typical stretch: the negative log-probability a
-word, averaged over each stretch of 16 words, and of those the median. So a passage in
+word, averaged over each stretch of 16 words (the last has up to 31), and of those the median. So a passage in
 another language or a table moves it little, and text that is unlike its language
 throughout moves it much. In each language, documents deviate from the language's median
 by a spread (median absolute deviation, scaled to a standard deviation) that grows for
@@ -23,13 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ngram_lm
-from .common import map_arrow, materialise, slices, texts_of
+from .blooms import few
+from .common import kept, map_arrow, materialise, slices, texts_of
 from .encoding import Memo
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 STRETCH = 16
+MOST_LANGS = 10_000
 SHORT = 100
 STATS = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("surprise", pa.float64())]
 
@@ -40,16 +42,15 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
-_hashes = Memo(word_hash, 300_000)
 ODD = np.array([2 * k * 0x9E3779B97F4A7C15 + 0xD1B54A32D192ED03 & (1 << 64) - 1 | 1 for k in range(WINDOW)], dtype=np.uint64)
 
 
-def repeat_words(words: list[bytes]) -> int:
-    """Words within windows of 8 that occur more than once. Hashes only tell which windows can't."""
+def repeat_words(words: list[bytes], hashes: dict[bytes, int]) -> int:
+    """Words within windows of 8 that occur more than once. Hashes (of words) only tell which windows can't."""
     n = len(words) - WINDOW + 1
     if n < 2:
         return 0
-    h = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+    h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
     w = h[:n] * ODD[0]
     for k in range(1, WINDOW):
         w ^= w >> np.uint64(31)
@@ -87,11 +88,10 @@ def surprise(text: str, model) -> float:
     starts = space[:-1] & ~space[1:]
     word = np.maximum(np.cumsum(starts) - 1, 0)
     n = int(word[-1]) + 1
-    sums = np.bincount(word // STRETCH, weights=-p)
+    last = max(0, n // STRETCH - 1)  # the words left over belong to the last whole stretch
+    sums = np.bincount(np.minimum(word // STRETCH, last), weights=-p)
     sizes = np.full(len(sums), float(STRETCH))
-    sizes[-1] = n - STRETCH * (len(sums) - 1)
-    if len(sums) > 1 and sizes[-1] < STRETCH // 2:
-        sums, sizes = sums[:-1], sizes[:-1]
+    sizes[-1] = n - STRETCH * last
     return float(np.median(sums / sizes))
 
 
@@ -99,12 +99,13 @@ def stats(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, lang and STATS of every document."""
 
     def measure(batches):
+        hashes = kept(model, "words", lambda: Memo(word_hash, 150_000))
         for batch, texts in slices(batches):
             langs, rows = batch.column(2).to_pylist(), []
             for lang, text in zip(langs, texts, strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 words = data.split()
-                rows.append((len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), dup_lines(data), repeat_words(words), surprise(text, ngram_lm.load(model, lang))))
+                rows.append((len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), dup_lines(data), repeat_words(words, hashes), surprise(text, ngram_lm.load(model, lang))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), STATS, strict=True))], names=["doc_id", "lang", *(n for n, _ in STATS)])
 
     return map_arrow(texts_of(docs, F.coalesce("lang", F.lit("")).alias("lang")), measure, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, surprise double")
@@ -114,7 +115,8 @@ def bands(measured: DataFrame) -> DataFrame:
     """(lang, middle, spread) of all documents with a word. Percentiles are mergeable sketches, one a language."""
     some = measured.where("n_words > 0")
     middle = some.groupBy("lang").agg(F.percentile_approx("surprise", 0.5, 10000).alias("middle"))
-    off = some.join(middle, "lang").select("lang", "middle", (F.abs(F.col("surprise") - F.col("middle")) / F.sqrt(1 + SHORT / F.col("n_words"))).alias("off"))
+    middle = materialise(middle, "middles")
+    off = some.join(F.broadcast(middle) if few(middle, MOST_LANGS) else middle, "lang").select("lang", "middle", (F.abs(F.col("surprise") - F.col("middle")) / F.sqrt(1 + SHORT / F.col("n_words"))).alias("off"))
     return off.groupBy("lang").agg(F.first("middle").alias("middle"), (1.4826 * F.percentile_approx("off", 0.5, 10000)).alias("spread"))
 
 
@@ -123,7 +125,9 @@ def judge(docs: DataFrame, lower: float = 8.0, upper: float = 6.0) -> DataFrame:
     measured = materialise(stats(docs, ngram_lm.train(docs)), "stats")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     off = F.coalesce(F.try_divide(F.col("surprise") - F.col("middle"), F.col("spread") * F.sqrt(1 + SHORT / F.greatest("n_words", F.lit(1)))), F.lit(0.0))
-    judged = measured.join(bands(measured), "lang", "left").withColumn("deviation", off)
+    own = materialise(bands(measured), "bands")
+    own = F.broadcast(own) if few(own, MOST_LANGS) else own  # a row a language
+    judged = measured.join(own, "lang", "left").withColumn("deviation", off)
     return judged.select("doc_id", *(n for n, _ in STATS[:-1]), failed.alias("base_failed"), (~failed & F.col("deviation").between(-lower, upper)).alias("kept"), F.col("surprise").alias("log_perplexity"), "deviation")
 
 

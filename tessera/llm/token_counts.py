@@ -8,7 +8,7 @@ answers "how many tokens has the text up to here" and "how much of the text fits
 without encoding again.
 
 The table of a text holds the change of the count at each character, as little-endian
-i16; pieces' tables are kept and joined, as a pattern piece's tokens don't depend on the
+i16 (stored as i8 where that holds them, and compressed); pieces' tables are kept and joined, as a pattern piece's tokens don't depend on the
 text around it. Where a cut changes the pieces themselves the table says so: within a run
 of white space the run up to the cut is one piece, a cut contraction is two, and a cut
 special token is plain text.
@@ -19,6 +19,7 @@ text are tokens, as is the library's default.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, slices, texts_of
+from .common import kept, map_arrow, materialise, slices, texts_of
 from .encoding import Memo, TextEncoder, chunks, plain_spaced
 
 #: Bytes of a piece whose states are kept.
@@ -41,6 +42,7 @@ class PrefixCounter:
         if not base.spaced or base.core is None:
             raise ValueError("prefix counts need a byte-level BPE file without a normalizer whose ids are in merge order")
         self.special, self.pattern = base.special, base.pattern
+        self.specials = re.compile("|".join(map(re.escape, sorted(base.special, key=len, reverse=True)))) if base.special else None
         self.core = base.core._core_bpe
         self.ids = dict(base.core._mergeable_ranks)
         self.longest = max(map(len, self.ids))
@@ -118,55 +120,77 @@ class PrefixCounter:
         return b"".join(out)
 
     def table(self, text: str) -> bytes:
-        if "<" in text and any(s in text for s in self.special):
-            special = min((s for s in self.special if s in text), key=text.index)
-            first, rest = text.split(special, 1)
-            head = array("h", self._segment(first + special[:-1]))  # up to the last character the special token is plain text
-            whole = sum(array("h", self._segment(first))) + 1
-            return array("h", [*head, whole - sum(head)]).tobytes() + self.table(rest)
-        return self._segment(text) if text else b""
+        if not any(s in text for s in self.special):
+            return self._segment(text) if text else b""
+        out, at = [], 0
+        for m in self.specials.finditer(text):
+            first = text[at : m.start()]
+            head = array("h", self._segment(first + m.group()[:-1]))  # up to the last character the special token is plain text
+            whole = sum(array("h", self._segment(first))) + 1 if first else 1
+            head.append(whole - sum(head))
+            out.append(head.tobytes())
+            at = m.end()
+        return b"".join([*out, self._segment(text[at:]) if text[at:] else b""])
 
 
-def tokens_at(table: bytes, chars: int) -> int:
+def stored(table: bytes) -> bytes:
+    """A table as it is stored: compressed, a byte a character where all changes fit."""
+    x = np.frombuffer(table, dtype="<i2")
+    narrow = x.astype(np.int8)
+    return zlib.compress(b"1" + narrow.tobytes() if (narrow == x).all() else b"2" + table, 1)
+
+
+def changes(stored_: bytes) -> np.ndarray:
+    """The change of the count at each character of a stored table."""
+    data = zlib.decompress(stored_)
+    return np.frombuffer(data[1:], dtype=np.int8 if data[:1] == b"1" else "<i2")
+
+
+def tokens_at(stored_: bytes, chars: int) -> int:
     """Tokens of the text's first `chars` characters."""
-    return int(np.frombuffer(table, dtype="<i2")[:chars].sum())
+    return int(changes(stored_)[:chars].sum(dtype=np.int64))
 
 
-def longest_prefix(table: bytes, budget: int) -> int:
+def longest_prefix(stored_: bytes, budget: int) -> int:
     """Most characters whose tokens are within the budget."""
-    fits = np.flatnonzero(np.cumsum(np.frombuffer(table, dtype="<i2"), dtype=np.int64) <= budget)
+    fits = np.flatnonzero(np.cumsum(changes(stored_), dtype=np.int64) <= budget)
     return int(fits[-1]) + 1 if len(fits) else 0
 
 
-_counters: dict[str, PrefixCounter] = {}
-
-
 def counter_of(path: str) -> PrefixCounter:
     """One per worker and file."""
-    if path not in _counters:
-        _counters[path] = PrefixCounter(path)
-    return _counters[path]
+    return kept("counter", path, lambda: PrefixCounter(path))
 
 
-def prefix_counts(docs: DataFrame, tokenizer: str, budget: int, tables: bool = True) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_tokens, fits_chars (longest prefix within the budget) and its table, zlib-compressed, if wanted."""
-    fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("fits_chars", pa.int64()), *([("prefix_table", pa.binary())] if tables else [])]
+def prefix_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """Per document: doc_id, n_bytes and its stored table."""
 
     def count(batches):
         counter = counter_of(tokenizer)
         for batch, texts in slices(batches):
+            sizes = [len(t) if t.isascii() else len(t.encode()) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array([stored(counter.table(t)) for t in texts], pa.binary())], names=["doc_id", "n_bytes", "prefix_table"])
+
+    return map_arrow(texts_of(docs), count, "doc_id long, n_bytes long, prefix_table binary")
+
+
+def within(tables: DataFrame, budget: int) -> DataFrame:
+    """Of stored tables: doc_id, n_bytes, n_tokens, and fits_chars, the longest prefix within the budget. No text is read."""
+
+    def answer(batches):
+        for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-                table = counter.table(text)
-                at = np.cumsum(np.frombuffer(table, dtype="<i2"), dtype=np.int64)
+            for table in batch.column(2):
+                at = np.cumsum(changes(table.as_py()), dtype=np.int64)
                 total = int(at[-1]) if len(at) else 0
-                fits = len(at) if total <= budget else longest_prefix(table, budget)
-                rows.append((doc_id, len(text) if text.isascii() else len(text.encode()), total, fits, *([zlib.compress(table, 1)] if tables else [])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+                fits = len(at) if total <= budget and (at <= budget).all() else int(max(np.flatnonzero(at <= budget), default=-1)) + 1
+                rows.append((total, fits))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1))], names=["doc_id", "n_bytes", "n_tokens", "fits_chars"])
 
-    return map_arrow(texts_of(docs), count, "doc_id long, n_bytes long, n_tokens long, fits_chars long" + (", prefix_table binary" if tables else ""))
+    return map_arrow(tables.select("doc_id", "n_bytes", "prefix_table"), answer, "doc_id long, n_bytes long, n_tokens long, fits_chars long")
 
 
 def over_limit(docs: DataFrame, tokenizer: str, limit: int) -> DataFrame:
-    counted = prefix_counts(docs, tokenizer, limit, tables=False)
+    """Tables are written once, and counts and truncation points read off them."""
+    counted = within(materialise(prefix_counts(docs, tokenizer), "prefix-tables"), limit)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "fits_chars")

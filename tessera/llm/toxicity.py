@@ -10,7 +10,8 @@
 3. The lexicon is learned from labelled documents that may be learned from: how much
    likelier toxic documents have a word, or a word beginning (4 to 6 letters), than
    others, by counts of documents that differ (near copies, told by min-hashes of word
-   pairs, count once). A document scores as the strongest word in any reading of it.
+   pairs, count once). The restored text scores as its strongest word, the next best
+   readings of its disguised tokens included.
 
 Labels may be sampled: at most `max_rows` of each label, by a hash of the id.
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import ngram_lm
 from .blooms import mixed
-from .common import map_arrow, materialise, slices, texts_of
+from .common import kept, map_arrow, materialise, slices, texts_of
 from .encoding import Memo
 from .pairwise_quality import learnable, sample
 
@@ -119,26 +120,41 @@ def spelled(path) -> str:
     return "".join(reversed(out)).rstrip()
 
 
-def words_in(text: str) -> set[str]:
-    return set(text.lower().split())
-
-
 def beginnings(word: str) -> list[str]:
     return [f"^{word[:n]}" for n in LENGTHS if len(word) > n]
 
 
 def readings_of(word: str, decoder: Decoder) -> list[str]:
-    core = word.strip(OUTER)
-    found = [core] if core else []
-    for token in {core, word.strip(OUTER.replace("$", "").replace("!", "").replace("*", ""))}:
+    """What a lower-case token may stand for, best first: itself unless it is suspicious."""
+    core, found = word.strip(OUTER), []
+    for token in dict.fromkeys([core, word.strip(OUTER.replace("$", "").replace("!", "").replace("*", ""))]):
         if token and suspicious(token):
             found += [r for r in decoder.readings(token) if r not in found]
-    return found
+    return found or [word]
+
+
+class Restorer:
+    """Texts as they may have been before they were disguised."""
 
+    def __init__(self, decoder: Decoder):
+        self.decoder = decoder
+        self.words = Memo(lambda w: readings_of(w, decoder), 150_000)
 
-def spelled_out(text: str) -> list[str]:
-    """Letters with spaces or marks between them, as one token each."""
-    return [m.group().lower() for m in SPELLED.finditer(text)]
+    def restore(self, text: str) -> tuple[str, list[str]]:
+        """(the text in lower case with every disguised token replaced by its best reading, the next best readings and the tokens as they stood)."""
+        other: list[str] = []
+
+        def best(m: re.Match) -> str:
+            first, *rest = self.decoder.readings(m.group()) or [m.group()]
+            other.extend(rest)
+            return first
+
+        words = SPELLED.sub(best, text.lower()).split()
+        known = self.words
+        changed = {w: r for w in set(words) if len(r := known[w]) > 1 or r[0] != w}
+        for w, (_, *rest) in changed.items():
+            other += [w, *rest]
+        return " ".join([changed[w][0] if w in changed else w for w in words] if changed else words), other
 
 
 def near_copies(words: list[str], n: int = COPIES) -> list[int]:
@@ -150,32 +166,21 @@ def near_copies(words: list[str], n: int = COPIES) -> list[int]:
     return [int((mixed(h ^ np.uint64(k)) >> np.uint64(1)).min()) for k in range(n)]
 
 
-_decoders: dict[str, Decoder] = {}
+def decoder_of(path: str) -> Decoder:
+    return kept(path, "decoder", lambda: Decoder(ngram_lm.load(path, "")))
 
 
-def decoder_of(path: str) -> Decoder:
-    if path not in _decoders:
-        _decoders.clear()
-        _decoders[path] = Decoder(ngram_lm.load(path, ""))
-    return _decoders[path]
+def restorer_of(path: str) -> Restorer:
+    return kept(path, "restorer", lambda: Restorer(decoder_of(path)))
 
 
 def restored(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id and restored text: suspicious and spelled-out tokens replaced by their best reading."""
+    """doc_id and restored text, in lower case: suspicious and spelled-out tokens replaced by their best reading."""
 
     def fix(batches):
-        decoder = decoder_of(model)
-
-        def best(token: str) -> str:
-            core = token.lower().strip(OUTER)
-            return (decoder.readings(core) or [token])[0] if core and suspicious(core) else token
-
+        restorer = restorer_of(model)
         for batch, texts in slices(batches):
-            out = []
-            for text in texts:
-                text = SPELLED.sub(lambda m: (decoder.readings(m.group().lower()) or [m.group()])[0], text)
-                out.append("".join(best(t) if t.strip() else t for t in re.split(r"(\s+)", text)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "restored"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([restorer.restore(t)[0] for t in texts], pa.string())], names=["doc_id", "restored"])
 
     return map_arrow(texts_of(docs), fix, "doc_id long, restored string")
 
@@ -223,26 +228,22 @@ def score(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, least_docs:
     floor = prior / 10
 
     def judge(batches):
-        of, decoder = learned.value, decoder_of(model)
-
-        def rate(found: list[str]) -> tuple[float, str]:
-            best = (floor, "")
-            for r in found:
-                for part in r.split():
-                    for w in (part, *beginnings(part)):
-                        if (p := of.get(w, 0.0)) > best[0]:
-                            best = (p, part)
-            return best
-
-        words = Memo(lambda w: rate(readings_of(w, decoder)), 300_000)
+        of, restorer = learned.value, restorer_of(model)
+
+        def rate(word: str) -> tuple[float, str]:
+            core = word.strip(OUTER)
+            return max(((of.get(w, floor), core) for w in (core, *beginnings(core))), default=(floor, "")) if core else (floor, "")
+
+        rated = Memo(rate, 150_000)  # of this lexicon only
         for batch, texts in slices(batches):
             scores, reasons = [], []
             for text in texts:
-                best = max(map(words.__getitem__, words_in(text)), default=(floor, ""))
-                for token in spelled_out(text):
-                    best = max(best, rate(decoder.readings(token)))
+                whole, other = restorer.restore(text)
+                best = max(map(rated.__getitem__, set(whole.split())), default=(floor, ""))
+                for reading in other:
+                    best = max([best, *map(rated.__getitem__, reading.split())])
                 scores.append(best[0])
-                reasons.append(best[1])
+                reasons.append(best[1] if best[0] > floor else "")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(reasons, pa.string())], names=["doc_id", "score", "strongest"])
 
     scored = map_arrow(texts_of(docs), judge, "doc_id long, score double, strongest string")

@@ -40,6 +40,23 @@ def test_escapes_restore_and_masks_cover(spark):
     assert row.formatted_chars == len(rendered[1].formatted)
 
 
+def test_log_of_finished_turns_folds_to_them(spark):
+    said = [(c, t, "assistant" if t % 2 else "user", f"turn {t} of {c}, with some words") for c in range(8) for t in range(8)]
+    log = chat.events_of(spark.createDataFrame(said, "conv_id long, turn long, role string, text string"))
+    kinds = {r.kind: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert kinds["edit"] > 5 and kinds["regenerate"] > 5 and kinds["delta"] > len(said)
+    assert turns(spark, log) == {c: [(r, x) for d, _, r, x in said if d == c] for c in range(8)}
+
+
+def test_long_conversation(spark):
+    n = 20_000
+    rows = spark.range(n).selectExpr("1L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('text ', id) as text")
+    log = rows.selectExpr("conv_id", "turn as seq", "turn as message", "'delta' as kind", "role", "text")
+    row = chat.digests(chat.parse(chat.render(chat.fold(log)))).first()
+    loss = "".join(f"text {i}" for i in range(1, n, 2))
+    assert (row.n_turns, row.loss_sha256) == (n, hashlib.sha256(loss.encode()).hexdigest())
+
+
 def test_repeated_rows_and_none(spark):
     rows = spark.createDataFrame([(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, None, None)], "conv_id long, turn long, role string, text string")
     assert turns(spark, chat.events_of(rows)) == {1: [("user", "a"), ("user", "a"), ("", "")]}

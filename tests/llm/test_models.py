@@ -155,3 +155,75 @@ def test_spelled_out_over_several_words(spark, abuse, make):
     rows = [(3000, f"{clean} {' '.join('you are all a worthless moron')} {clean}"), (3001, f"{clean} {' '.join('the report was good and the results are all fine ' * 2 + 'moron')}"), (3002, f"{clean} a m o r o n"), (3003, f"{clean} {' '.join('nice weather today')}")]
     got = {r.doc_id: r.predicted for r in toxicity.score(docs.union(make(rows)), labels).where("doc_id >= 3000").collect()}
     assert got == {3000: 1, 3001: 1, 3002: 1, 3003: 0}
+
+
+def exhaustive(decoder, token):
+    """The cheapest cost of every reading of a token, by all paths through its lattice."""
+    best = {}
+
+    def walk(at, text, last, cost):
+        if at == len(token):
+            end = ("  " + text)[-3:].rjust(3)
+            if text:
+                total = cost - (0 if text[-1] == " " else decoder.scores[end, " "])
+                best[text.rstrip()] = min(total, best.get(text.rstrip(), math.inf))
+            return
+        c, context = token[at], ("  " + text)[-3:].rjust(3)
+        options = ([(c, 0.0)] if c.isalpha() else []) + [(x, toxicity.LOOK) for x in toxicity.LOOKS.get(c, "")]
+        for x, toll in options:
+            walk(at + 1, text + x, x, cost + toll - decoder.scores[context, x])
+            if x == last:
+                walk(at + 1, text, last, cost + toxicity.REPEAT + (0 if c.isalpha() else toxicity.LOOK))
+        mark = c in toxicity.MARKS or c == " "
+        if mark or not options:
+            walk(at + 1, text, last, cost + toxicity.DROP)
+        if mark and text and text[-1] != " ":
+            walk(at + 1, text + " ", "", cost + toxicity.PART - decoder.scores[context, " "])
+
+    walk(0, "", "", 0.0)
+    return best
+
+
+def test_decoder_against_all_paths(abuse):
+    from pyspark.sql import functions as F
+
+    docs, _ = abuse
+    decoder = toxicity.Decoder(ngram_lm.load(ngram_lm.train(docs.select("doc_id", F.lower("text").alias("text"), F.lit("").alias("lang"))), ""))
+    rng, right = random.Random(3), 0
+    tokens = ["m0r0n", "m.o.r.o.n", "mooron", "w0rthl3ss", "$cumb@g", "m o r o n", "|ist", "5o-so"] + ["".join(rng.choice("aeilnorst013@$.- ") for _ in range(rng.randint(4, 9))).strip(" .-") for _ in range(60)]
+    for token in tokens:
+        all_ = exhaustive(decoder, token)
+        got = decoder.readings(token)
+        assert bool(got) == bool(all_)
+        right += not got or all_[got[0]] <= min(all_.values()) + 1e-9
+    assert right >= 0.97 * len(tokens)
+
+
+def test_long_tokens_are_read_whole(spark, abuse, make):
+    docs, labels = abuse
+    clean = "the weather is nice today and we go out"
+    long = "".join(random.Random(2).choice("aeioulnrst") for _ in range(200))
+    rows = [(3000, f"{clean} {'.'.join('nice weather today and all the people are out there so')}.m.o.r.o.n {clean}"), (3001, f"{clean} {long} {clean}"), (3002, f"{clean} {' '.join('nice weather today ' * 8)} {clean}")]
+    got = {r.doc_id: (r.predicted, r.strongest) for r in toxicity.score(docs.union(make(rows)), labels).where("doc_id >= 3000").collect()}
+    assert got[3001][0] == got[3002][0] == 0
+
+
+def test_ranking_against_all_pairs():
+    """The sampled fit orders documents as a plain Bradley-Terry fit by gradient descent on all pairs does."""
+    rng = np.random.default_rng(4)
+    y = (rng.random(120) < 0.5).astype(int)
+    x = rng.normal(size=(120, 5)) + y[:, None] * np.array([1.0, 0.5, 0.0, -0.7, 0.2])
+    model = pairwise_quality.fit(x, y)
+    z = np.clip((pairwise_quality.expand(x, model.knots) - model.middle) / model.scale, -8, 8)
+    d = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, z.shape[1])
+    loss = lambda w: np.mean(np.log1p(np.exp(-d @ w))) + 5e-4 * w @ w
+    w = np.zeros(z.shape[1])
+    for _ in range(3000):
+        w -= 0.3 * (-(d / (1 + np.exp(d @ w))[:, None]).mean(axis=0) + 1e-3 * w)
+    assert loss(model.weights) <= 1.1 * loss(w) + 0.01
+    assert np.corrcoef(z @ w, model.values(x))[0, 1] > 0.97
+    values = model.values(x)
+    cuts = np.quantile(values, pairwise_quality.LEVELS)
+    cut = pairwise_quality.cut(model, values, y, list(cuts))
+    right = lambda c: (np.mean(values[y == 1] >= c) + np.mean(values[y == 0] < c)) / 2
+    assert right(cut.threshold) == max(map(right, cuts)) and cut.threshold == cuts[pairwise_quality.LEVELS.index(cut.level)]

@@ -57,8 +57,8 @@ def brute(docs, items):
                     words = words or [0.0]
                     words[-1] -= math.log(p[u[k : k + 4]])
                 parts = [words[k : k + 16] for k in range(0, len(words), 16)]
-                if len(parts) > 1 and len(parts[-1]) < 8:
-                    parts.pop()
+                if len(parts) > 1 and len(parts[-1]) < 16:
+                    parts[-2:] = [parts[-2] + parts[-1]]
                 surprise[i] = statistics.median(sum(x) / len(x) for x in parts)
     kept = []
     for g in langs:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from tessera.llm import packing, records, token_counts
+from tessera.llm import encoding, packing, records, token_counts
 from tessera.llm.common import work_path
 from tessera.llm.encoding import TextEncoder
 
@@ -119,7 +119,7 @@ def test_plan_is_close_to_the_bound(seed):
 def test_prefix_counts_at_every_prefix(byte_bpe):
     counter, library = token_counts.PrefixCounter(byte_bpe, 50), Tokenizer.from_file(byte_bpe)
     for text in samples(300, 9):
-        table = counter.table(text)
+        table = token_counts.stored(counter.table(text))
         want = [len(library.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
         assert [token_counts.tokens_at(table, i) for i in range(len(text) + 1)] == want, text
         for budget in (0, 1, 3, 1000):
@@ -133,5 +133,34 @@ def test_over_limit(spark, edges, edge_rows, none, byte_bpe):
         n = len(library.encode(text or "", add_special_tokens=False).ids)
         assert (got[i].n_tokens, got[i].over_limit, got[i].n_bytes) == (n, n > 5, len((text or "").encode()))
     assert token_counts.over_limit(none, byte_bpe, 5).count() == 0
-    tables = token_counts.prefix_counts(edges, byte_bpe, 5).collect()
-    assert all(int(np.frombuffer(zlib.decompress(r.prefix_table), "<i2").sum()) == r.n_tokens for r in tables)
+    tables = {r.doc_id: r.prefix_table for r in token_counts.prefix_counts(edges, byte_bpe).collect()}
+    for i, text in edge_rows:
+        assert token_counts.tokens_at(tables[i], len(text or "")) == got[i].n_tokens
+        fits = got[i].fits_chars
+        assert fits == token_counts.longest_prefix(tables[i], 5) and len(library.encode((text or "")[:fits], add_special_tokens=False).ids) <= 5
+
+
+LONG = {"spaces": " " * 1_000_000, "mixed": "a" + "\n \t" * 20_000 + "b", "special": "a <|endoftext|>" * 5_000}
+
+
+@pytest.mark.parametrize("kind", LONG)
+def test_long_runs(byte_bpe, kind):
+    library = Tokenizer.from_file(byte_bpe)
+    ids = library.encode(LONG[kind], add_special_tokens=False).ids
+    enc = encoding.TextEncoder(byte_bpe)
+    assert np.frombuffer(enc.encode([LONG[kind]])[0], dtype=enc.dtype).tolist() == ids
+    table = token_counts.stored(token_counts.PrefixCounter(byte_bpe, 50).table(LONG[kind]))
+    assert token_counts.tokens_at(table, len(LONG[kind])) == len(ids)
+    assert token_counts.longest_prefix(table, len(ids)) == len(LONG[kind])
+
+
+def test_sequences_of_repeated_ids(spark, make, byte_bpe):
+    library = Tokenizer.from_file(byte_bpe)
+    rows = [(1, "one two three"), (1, "one two three"), (1, "four five"), (None, "six"), (None, None)]
+    want = sorted(tuple([*library.encode(t or "", add_special_tokens=False).ids, 0]) for _, t in rows)
+    got = []
+    for r in packing.sequences(make(rows), byte_bpe, 0, 16).collect():
+        ids = np.frombuffer(r.ids, "<u2").tolist()
+        assert len(ids) == r.length <= 16
+        got += [tuple(ids[a:b]) for a, b in zip(r.offsets, [*r.offsets[1:], r.length], strict=True)]
+    assert sorted(got) == want
