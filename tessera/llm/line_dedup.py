@@ -29,13 +29,14 @@ from pyspark.sql import functions as F
 
 from .blooms import bloom, few, matched, may_hold, mixed, wanted
 from .common import map_arrow, materialise, ship, slices, texts_of
-from .links import PAIRS, Resolver, shared_keys, spread
+from .links import MANY, PAIRS, PROBE_BITS, Resolver, shared_keys
 
 SHINGLE, ROWS, BANDS = 6, 4, 10
 #: Lines that a task remembers to have given.
 SEEN = 300_000
-#: Pairs verified at once: their number takes PAIR_BITS of a 64-bit hash.
+#: Lines or pairs sorted at once: their number takes PAIR_BITS of 64, a shingle's hash the others.
 PAIR_BITS = 11
+HASH_BITS = 64 - PAIR_BITS
 #: Lines that may be broadcast as lists by document.
 BROADCAST_LINES = 500_000
 #: Characters hashed at once.
@@ -83,24 +84,33 @@ def shingle_set(line: str, k: int = SHINGLE) -> np.ndarray:
     return np.unique(rolled(codes, k)) if len(codes) >= k else rolled(codes, max(1, len(codes)))
 
 
-def shingle_sets(lines: list[str], k: int = SHINGLE) -> list[np.ndarray]:
-    """shingle_set() of many lines, in stretches that stay in a processor's cache."""
-    out: list[np.ndarray] = []
+def flat_sets(lines: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, sizes): the sets of all lines one after another, ascending, by the upper HASH_BITS of shingle_set()'s hashes. One sort for many lines."""
+    flat, sizes = [], []
     for part in stretches(lines):
+        n = np.array([len(x) for x in part])
         codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-        h, at = rolled(codes, k), 0
-        for line in part:
-            out.append(np.unique(h[at : at + len(line) - k + 1]) if len(line) >= k else shingle_set(line, k))
-            at += len(line)
-    return out
+        h = rolled(codes, k)
+        line = np.repeat(np.arange(len(part), dtype=np.uint64), n)[: len(h)]
+        inside = np.arange(len(h)) + k <= np.cumsum(n)[line.astype(np.int64)]
+        key = line[inside] << np.uint64(HASH_BITS) | h[inside] >> np.uint64(64 - HASH_BITS)
+        if (n < k).any():  # a short line is one shingle
+            few_ = np.flatnonzero(n < k)
+            key = np.concatenate([key, few_.astype(np.uint64) << np.uint64(HASH_BITS) | np.concatenate([shingle_set(part[i], k)[:1] for i in few_]) >> np.uint64(64 - HASH_BITS)])
+        key.sort()
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+        flat.append(key & np.uint64((1 << HASH_BITS) - 1))
+        sizes.append(np.bincount((key >> np.uint64(HASH_BITS)).astype(np.int64), minlength=len(part)))
+    return (np.concatenate(flat), np.concatenate(sizes)) if flat else (np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64))
 
 
 def stretches(lines: list[str], chars: int = STRETCH) -> Iterator[list[str]]:
+    """Lines of so many characters in all, and 2**PAIR_BITS lines at most: they stay in a processor's cache."""
     part, size = [], 0
     for line in lines:
         part.append(line)
         size += len(line)
-        if size >= chars:
+        if size >= chars or len(part) == 1 << PAIR_BITS:
             yield part
             part, size = [], 0
     if part:
@@ -190,17 +200,22 @@ def line_texts(docs: DataFrame, min_chars: int, wanted_nodes: DataFrame) -> Data
     return map_arrow(texts_of(docs).where("doc_id is not null"), emit, "node long, data binary")
 
 
-def overlaps(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """How many hashes sets[x[i]] and sets[y[i]] share, for each i: one sort for many pairs."""
-    sizes = np.array([len(s) for s in sets])
+def pieces_of(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The sets of these lines, one after another."""
+    n = sizes[which]
+    starts = np.cumsum(sizes) - sizes
+    return flat[np.repeat(starts[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+
+def overlaps(flat: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many hashes the sets of lines x[i] and y[i] share, for each i: one sort for many pairs."""
     out = []
     for at in range(0, len(x), 1 << PAIR_BITS):
-        a, b = x[at : at + (1 << PAIR_BITS)], y[at : at + (1 << PAIR_BITS)]
-        pair = np.arange(len(a), dtype=np.uint64)
-        h = np.concatenate([sets[i] for i in np.concatenate([a, b])]) >> np.uint64(PAIR_BITS)
-        h |= np.repeat(np.concatenate([pair, pair]), np.concatenate([sizes[a], sizes[b]])) << np.uint64(64 - PAIR_BITS)
+        both = np.stack([x[at : at + (1 << PAIR_BITS)], y[at : at + (1 << PAIR_BITS)]], axis=1).reshape(-1)
+        pair = np.repeat(np.arange(len(both), dtype=np.uint64) >> np.uint64(1), sizes[both])
+        h = pair << np.uint64(HASH_BITS) | pieces_of(flat, sizes, both)
         h.sort()
-        out.append(np.bincount((h[1:][h[1:] == h[:-1]] >> np.uint64(64 - PAIR_BITS)).astype(np.int64), minlength=len(a)))
+        out.append(np.bincount((h[1:][h[1:] == h[:-1]] >> np.uint64(HASH_BITS)).astype(np.int64), minlength=len(both) // 2))
     return np.concatenate(out) if out else np.empty(0, dtype=np.int64)
 
 
@@ -209,21 +224,27 @@ def verifier(num: int, den: int):
         for batch in batches:
             place: dict[bytes, int] = {}
             x, y = (np.array([place.setdefault(d, len(place)) for d in batch.column(c).to_pylist()], dtype=np.int64) for c in (2, 3))
-            sets = shingle_sets([d.decode("utf-8", "surrogatepass") for d in place])
-            sizes = np.array([len(s) for s in sets], dtype=np.int64)
+            flat, sizes = flat_sets([d.decode("utf-8", "surrogatepass") for d in place])
             least, most = np.minimum(sizes[x], sizes[y]), np.maximum(sizes[x], sizes[y])
             near = np.flatnonzero(den * least >= num * most)
             keep = np.zeros(len(x), dtype=bool)
-            keep[near] = (num + den) * overlaps(sets, x[near], y[near]) >= num * (least + most)[near]
+            keep[near] = (num + den) * overlaps(flat, sizes, x[near], y[near]) >= num * (least + most)[near]
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return lambda pairs: map_arrow(pairs, check, PAIRS)
 
 
 def spreads(texts: DataFrame) -> DataFrame:
+    """(node, spread) of (node, data)."""
+
     def of(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([spread(x) for x in shingle_sets([x.decode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()])], pa.binary())], names=["node", "spread"])
+            out = []
+            for part in stretches([x.decode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()]):
+                flat, sizes = flat_sets(part)
+                place = np.repeat(np.arange(len(part)), sizes) << PROBE_BITS | (flat >> np.uint64(HASH_BITS - PROBE_BITS)).astype(np.int64)
+                out += [x.tobytes() for x in np.minimum(np.bincount(place, minlength=len(part) << PROBE_BITS), MANY).astype(np.uint8).reshape(len(part), -1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "spread"])
 
     return map_arrow(texts, of, "node long, spread binary")
 

@@ -33,8 +33,10 @@ from .components import connected_components
 PAIRS = "a long, b long"
 Step = Callable[[DataFrame], DataFrame]
 SMALL, WIDE = 3, 512
-#: Star rounds at most, and new links an open row that make another one worth while.
-MOST_STARS, GAIN = 2, 0.02
+#: Star rounds at most, and the share of a round's pairs that must be links for another one to be worth while.
+MOST_STARS, GAIN = 2, 0.3
+#: Nodes of a block that are compared all at once.
+AT_ONCE = 64
 #: Ranges of hashes in a spread.
 PROBE_BITS = 9
 #: What a range says that holds as many or more.
@@ -84,6 +86,17 @@ def block_pairs(num: int, den: int):
         sizes = x.sum(axis=1, dtype=np.int64)
         left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
         a, b = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+        if len(left) <= AT_ONCE and len(right) <= AT_ONCE:
+            most = np.minimum(x[left][:, None], x[right][None]).sum(axis=2, dtype=np.int64)
+            size, other = sizes[left][:, None], sizes[right][None]
+            fits = ((num + den) * most >= num * (size + other)) | full[left][:, None] | full[right][None]
+            fits &= (den * np.minimum(size, other) >= num * np.maximum(size, other)) | full[left][:, None] | full[right][None]
+            fits &= (of[left][:, None] != of[right][None]) & ((node[left][:, None] < node[right][None]) | (lo != hi))
+            for i, j in zip(*(ends_[k] for ends_, k in zip((left, right), np.nonzero(fits), strict=True)), strict=True):
+                if int(np.intersect1d(keys[ends[i] : ends[i + 1]], keys[ends[j] : ends[j + 1]])[0]) == key:
+                    a.append(node[i : i + 1])
+                    b.append(node[j : j + 1])
+            left = left[:0]
         for i in left:
             to = right[(of[right] != of[i]) & ((node[right] > node[i]) | (lo != hi))]
             to = to[(den * np.minimum(sizes[to], sizes[i]) >= num * np.maximum(sizes[to], sizes[i])) | full[to] | full[i]]
@@ -181,16 +194,16 @@ class Resolver:
             self.data = fresh if self.data is None else self.data.union(fresh)
         full = pairs.join(self.data.select(F.col("node").alias("a"), F.col("data").alias("x")), "a").join(self.data.select(F.col("node").alias("b"), F.col("data").alias("y")), "b")
         found = materialise(self.verify(full.select("a", "b", "x", "y")), "links")
+        self.checked = pairs.count()
         self.tried = pairs if self.tried is None else self.tried.union(pairs)
         self.links = found if self.links is None else self.links.union(found)
         return found
 
     def components(self, stars: int = MOST_STARS) -> DataFrame:
         """(node, component) of linked nodes."""
-        now, labels, turn, rows = self.buckets.withColumn("of", F.col("node")), None, 0, None
+        now, labels, turn, found = self.buckets.withColumn("of", F.col("node")), None, 0, None
         while True:
-            last = turn >= stars or rows is not None and found.count() < GAIN * rows
-            rows = now.count()
+            last = turn >= stars or found is not None and found.count() < GAIN * self.checked
             found = self.check(self.across(now) if last else self.star(now, turn))
             labels = materialise(connected_components(self.links), "labels")
             turn += 1

@@ -64,6 +64,19 @@ def test_jaccard_components(spark, make, monkeypatch, k, num, small, wide):
         assert sorted(r.doc_id for r in jaccard_join.keep_one(make(rows), k, num, 100).collect()) == sorted(i for i, c in want.items() if i == c)
 
 
+def test_links_are_all_there(spark, make):
+    rows = corpus(seed=5)
+    sets = {i: frozenset(shingles(t, 4)) for i, t in rows}
+    first, n = {}, {}
+    for i, x in sorted(sets.items()):
+        first.setdefault(x, i)
+        n[x] = n.get(x, 0) + 1
+    ids = sorted((i, x) for x, i in first.items() if x)
+    want = {(a, b, n[x], n[y]) for k, (a, x) in enumerate(ids) for b, y in ids[k + 1 :] if 100 * len(x & y) >= 85 * len(x | y)}
+    got = [tuple(r) for r in jaccard_join.links(make(rows), 4, 85, 100).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_jaccard_of_edges(edges, none):
     got = {r.doc_id: r.component_id for r in jaccard_join.components(edges, 4, 85, 100).collect()}
     assert got[5] == 4 and got[1] == 1 and got[2] == 2
