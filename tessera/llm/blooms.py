@@ -13,8 +13,8 @@ from .common import map_arrow
 
 BLOCK_BITS = 1 << 18
 MOST_BITS = 1 << 27
-#: Ids that may be broadcast as such: 16 MB of hashed relation at most.
-BROADCAST_ROWS = 500_000
+#: Ids that may be broadcast as such: 32 MB of hashed relation at most.
+BROADCAST_ROWS = 1_000_000
 #: The same of rows of a few columns of fixed width.
 MATCHED_ROWS = 200_000
 BITS_A_KEY = 16

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blooms import bloom, few, matched, may_hold, mixed, wanted
+from .blooms import few, matched, mixed, wanted
 from .common import map_arrow, materialise, ship, slices, texts_of
 from .links import MANY, PAIRS, PROBE_BITS, Resolver, shared_keys
 
@@ -38,7 +38,7 @@ SEEN = 300_000
 PAIR_BITS = 11
 HASH_BITS = 64 - PAIR_BITS
 #: Lines that may be broadcast as lists by document.
-BROADCAST_LINES = 500_000
+BROADCAST_LINES = 1_000_000
 #: Characters hashed at once.
 STRETCH = 100_000
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -70,15 +70,36 @@ def rolled(codes: np.ndarray, k: int) -> np.ndarray:
     part, size, out, done = codes.astype(np.uint64), 1, None, 0
     while size <= k:
         if k & size:
-            out = part if out is None else out[: len(part) - done] * ODD[0] + part[done : len(out)] if len(out) > done else out[:0]
+            if out is None:
+                out = part
+            elif len(out) > done:
+                both = out[: len(part) - done] * ODD[0]
+                both += part[done : len(out)]
+                out = both
+            else:
+                out = out[:0]
             done += size
         if 2 * size <= k:
-            part = part[: len(part) - size] * ODD[1] + part[size:] if len(part) > size else part[:0]
-            part ^= part >> np.uint64(29)
+            if len(part) > size:
+                both = part[: len(part) - size] * ODD[1]
+                both += part[size:]
+                both ^= both >> np.uint64(29)
+                part = both
+            else:
+                part = part[:0]
         size *= 2
     return mixed(out[: max(0, len(codes) - k + 1)])
 
 
+def within(ends: np.ndarray, n: int, k: int) -> np.ndarray:
+    """Which of n windows of k end within the line they begin in. Lines have k characters at least, or all of their windows are dropped."""
+    out = np.ones(n, dtype=bool)
+    for j in range(1, k):
+        at = ends - j
+        out[at[(at >= 0) & (at < n)]] = False
+    return out
+
+
 def shingle_set(line: str, k: int = SHINGLE) -> np.ndarray:
     codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     return np.unique(rolled(codes, k)) if len(codes) >= k else rolled(codes, max(1, len(codes)))
@@ -92,7 +113,7 @@ def flat_sets(lines: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarra
         codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), dtype="<u4")
         h = rolled(codes, k)
         line = np.repeat(np.arange(len(part), dtype=np.uint64), n)[: len(h)]
-        inside = np.arange(len(h)) + k <= np.cumsum(n)[line.astype(np.int64)]
+        inside = within(np.cumsum(n), len(h), k)
         key = line[inside] << np.uint64(HASH_BITS) | h[inside] >> np.uint64(64 - HASH_BITS)
         if (n < k).any():  # a short line is one shingle
             few_ = np.flatnonzero(n < k)
@@ -125,18 +146,19 @@ def bands(lines: list[str], k: int = SHINGLE, rows: int = ROWS, n_bands: int = B
     ends = np.cumsum(sizes)
     h = rolled(codes, k)
     line = np.repeat(np.arange(len(lines)), sizes)[: len(h)]
-    inside = np.arange(len(h)) + k <= ends[line]
+    inside = within(ends, len(h), k)
     h, line = h[inside], line[inside]
     bin_ = ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
     mins = np.full(len(lines) * bins, EMPTY)
     np.minimum.at(mins, line * bins + bin_, h & np.uint64(0xFFFFFFFF))
     mins = mins.reshape(-1, bins)
-    for _ in range(bins):
-        empty = mins == EMPTY
-        if not empty.any():
-            break
-        after = np.roll(mins, -1, axis=1)
-        mins = np.where(empty & (after != EMPTY), after + np.uint64(1 << 33), mins)
+    open_ = np.flatnonzero((mins == EMPTY).any(axis=1))
+    while len(open_):  # each bin without a hash takes the next one's, as far as there are any left
+        own = mins[open_]
+        after = np.roll(own, -1, axis=1)
+        own = np.where((own == EMPTY) & (after != EMPTY), after + np.uint64(1 << 33), own)
+        mins[open_] = own
+        open_ = open_[(own == EMPTY).any(axis=1)]
     out = np.empty((len(lines), n_bands), dtype=np.uint64)
     for b in range(n_bands):
         x = np.full(len(lines), b + 1, dtype=np.uint64)
@@ -174,30 +196,23 @@ def lines_table(docs: DataFrame, min_chars: int) -> DataFrame:
     return map_arrow(texts_of(docs).where("doc_id is not null"), emit, "doc_id long, line int, node long, keys array<long>")
 
 
-def line_texts(docs: DataFrame, min_chars: int, wanted_nodes: DataFrame) -> DataFrame:
-    """(node, data) of the wanted lines, from the documents that have them first: data is the line as it is compared."""
-    found = bloom(wanted_nodes)
-    shared_ = docs.sparkSession.sparkContext.broadcast(found)
+def line_texts(docs: DataFrame, picks: DataFrame) -> DataFrame:
+    """(node, data) of the picked lines: data is the line as it is compared. picks: (doc_id, line, node), written; lines of a doc_id's rows are those of any of them that has the line."""
+    lists = picks.groupBy("doc_id").agg(F.collect_list(F.struct("line", "node")).alias("picked"))
+    lists = lists.select("doc_id", F.col("picked.line").alias("lines"), F.col("picked.node").alias("nodes"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(lists) if few(picks, BROADCAST_LINES) else lists, "doc_id").where("text is not null")
 
     def emit(batches):
-        seen: set[int] = set()
-        for _, texts in slices(batches):
-            nodes, lines = [], []
-            for text in texts:
-                for _, line in lines_of(text, min_chars):
-                    if (node := line_node(line)) not in seen:
-                        seen.add(node)
-                        nodes.append(node)
-                        lines.append(line)
-            if len(seen) > SEEN:
-                seen.clear()
-            if lines and shared_.value is not None:
-                keep = may_hold(shared_.value, np.array(nodes, dtype=np.int64))
-                nodes, lines = [n for n, k in zip(nodes, keep, strict=True) if k], [x for x, k in zip(lines, keep, strict=True) if k]
-            if lines:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([x.encode("utf-8", "surrogatepass") for x in lines], pa.binary())], names=["node", "data"])
+        for batch, texts in slices(batches):
+            out = []
+            for text, places, nodes in zip(texts, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                lines = text.lower().split("\n")
+                for place, node in zip(places, nodes, strict=True):
+                    if place < len(lines) and line_node(line := plain(lines[place])) == node:  # not so in a row of the same id with another text
+                        out.append((node, line.encode("utf-8", "surrogatepass")))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["node", "data"])
 
-    return map_arrow(texts_of(docs).where("doc_id is not null"), emit, "node long, data binary")
+    return map_arrow(rows.select("doc_id", "text", "lines", "nodes"), emit, "node long, data binary")
 
 
 def pieces_of(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -255,9 +270,11 @@ def removals(docs: DataFrame, min_chars: int = 1, num: int = 80, den: int = 100)
     banded = listed.where("keys is not null").select(F.explode("keys").alias("key"), "node")
     buckets = materialise(wanted(banded, materialise(shared_keys(banded), "keys"), "key").distinct(), "buckets")
     near = materialise(buckets.select("node").distinct(), "near")
-    holders = wanted(listed.where("keys is not null").select("doc_id", "node"), near, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    texts = line_texts(wanted(docs.select("doc_id", "text"), materialise(holders, "holders"), "doc_id"), min_chars, near)
-    texts = materialise(wanted(texts, near, "node").dropDuplicates(["node"]), "texts")
+    picks = wanted(listed.where("keys is not null").select("doc_id", "line", "node"), near, "node").dropDuplicates(["node"])
+    picks = materialise(picks, "picks")
+    texts = materialise(line_texts(docs, picks), "texts")
+    if texts.count() > picks.count():  # rows with the same doc_id
+        texts = materialise(texts.dropDuplicates(["node"]), "texts")
     labels = Resolver(buckets, verifier(num, den), lambda nodes: spreads(texts.join(nodes, "node", "left_semi")), num, den, data=texts).components()
 
     # Only lines that occur again, as they are or as another of their component, can go: no others are joined.
