@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessera.schema import PAYLOAD, REQUEST
 
 ISO = r"(?s)^[0-9]{4}.[0-9]{2}.[0-9]{2}.[0-9]{2}.[0-9]{2}"
+# Weekday offsets of the months.
+MONTHS = (0, 3, 2, 5, 0, 3, 5, 1, 4, 6, 2, 4)
 REQUIRED = [
     "transaction.amount", "transaction.installments", "transaction.requested_at",
     "customer.avg_amount", "customer.tx_count_24h", "customer.known_merchants",
@@ -39,7 +41,7 @@ def minutes_between(before: Column, after: Column) -> Column:
 
 def day_of_week(at: Column) -> Column:
     """0 on Sundays, by month offsets, so that days a month doesn't have count on."""
-    offset = F.element_at(F.array(*map(F.lit, (0, 3, 2, 5, 0, 3, 5, 1, 4, 6, 2, 4))), at.month)
+    offset = F.element_at(F.array(*map(F.lit, MONTHS)), at.month)
     year = at.year - (at.month < 3).cast("int")
     whole = year + F.floor(year / 4) - F.floor(year / 100) + F.floor(year / 400) + offset + at.day
     return F.pmod(whole, F.lit(7)).cast("int")
@@ -56,10 +58,31 @@ def mcc_code(text: Column) -> Column:
     return F.when(code < (1 << 32), code).otherwise(0).cast("long")
 
 
+def one_object(body: Column) -> Column:
+    """Whether a text is one JSON object or array and nothing else: strings are taken out, then what is between the innermost brackets, level by level."""
+    bare = F.regexp_replace(body, r'"(?:[^"\\]|\\.)*+"', '""')
+    levels = F.length(bare) - F.length(F.regexp_replace(bare, r"[{\[]", ""))
+    left = F.aggregate(F.sequence(F.lit(1), F.greatest(levels, F.lit(1))), bare, lambda s, _: F.regexp_replace(s, r"\{[^{}\[\]]*\}|\[[^{}\[\]]*\]", "0"))
+    return (levels > 0) & (F.regexp_replace(left, r"^[ \t\r\n]+|[ \t\r\n]+$", "") == "0")
+
+
+def keys_once(body: Column) -> Column:
+    """Whether no field of a request, at either level, is there twice; other keys may be."""
+
+    def at(part: Column, names: list[str]) -> Column:
+        own = F.filter(F.json_object_keys(part), lambda k: k.isin(*names))
+        return F.coalesce(F.size(own) == F.size(F.array_distinct(own)), F.lit(True))
+
+    once = at(body, REQUEST.names[:-1])
+    for f in REQUEST.fields[:-1]:
+        once = once & at(F.get_json_object(body, f"$.{f.name}"), f.dataType.names)
+    return once
+
+
 def parse_requests(requests: DataFrame, body: str = "body") -> DataFrame:
     """Adds status (200, 400) and the flat payload (null where 400) to rows with a JSON body."""
     parsed = requests.withColumn("_r", F.from_json(body, REQUEST, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
-    whole = F.col("_r").isNotNull() & F.col("_r._corrupt_record").isNull()
+    whole = F.col("_r").isNotNull() & F.col("_r._corrupt_record").isNull() & one_object(F.col(body)) & keys_once(F.col(body))
     for leaf in REQUIRED:
         whole = whole & F.col(f"_r.{leaf}").isNotNull()
     last = F.col("_r.last_transaction")

@@ -9,11 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.ranking import systematic
+from tessera.functions.distance import squared_flat
+from tessera.operators.ranking import systematic, weighted_pick
 from tessera.operators.search import columns, matrix
 from tessera.schema import BLOCK, DIMS
 from tessera.session import ship, shared_path, stored
 
+# The generator of seeds.
+LCG_FACTOR, LCG_TERM, LCG_START = 6364136223846793005, 1442695040888963407, 0xDEADBEEFCAFEBABE
 MOST_CLUSTERS = 4096
 SAMPLE = 10_000
 
@@ -34,6 +37,8 @@ def assign(vectors: DataFrame, centroids: DataFrame, dims: int = DIMS) -> DataFr
     rows = vectors.drop("cluster_id")
     rows = rows.select(*columns(dims), *[n for n in rows.columns if n not in columns(dims)])
 
+    ship(vectors.sparkSession)
+
     def nearest(batches):
         ids, c = shared.value
         norm = (c**2).sum(axis=1)
@@ -78,7 +83,8 @@ def plus_plus_seeds(vectors: DataFrame, k: int, dims: int = DIMS, sample: int =
     while len(chosen) < k:
         mass = np.cumsum(nearest)
         if mass[-1] <= 0:  # only copies of those chosen are left
-            chosen.append(next(i for i in range(len(x)) if i not in set(chosen)))
+            there = set(chosen)
+            chosen.append(next(i for i in range(len(x)) if i not in there))
         else:
             chosen.append(int(np.searchsorted(mass, rng.random() * mass[-1], side="right")))
         nearest = np.minimum(nearest, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
@@ -86,6 +92,31 @@ def plus_plus_seeds(vectors: DataFrame, k: int, dims: int = DIMS, sample: int =
     return vectors.sparkSession.createDataFrame(out, "cluster_id int, " + ", ".join(f"{c} int" for c in columns(dims)))
 
 
+def lcg(state: int) -> int:
+    """The next state of the 64-bit generator that draws seeds."""
+    return (state * LCG_FACTOR + LCG_TERM) & (1 << 64) - 1
+
+
+def plus_plus_over_all(vectors: DataFrame, k: int, dims: int = DIMS) -> DataFrame:
+    """k-means++ over all vectors (vec_id: 0, 1, ...), by integer distances: two passes a seed, and no vector but the seeds leaves the executors.
+
+    The first seed is a drawn vec_id; each next one is where the running distance, in order of vec_id, reaches a drawn share of the whole.
+    """
+    rows = stored(vectors.select("vec_id", *columns(dims)).withColumn("mass", F.lit(None).cast("long")), "seeding")
+    n, state, seeds = rows.count(), lcg(LCG_START), []
+    pick = rows.where(F.col("vec_id") == (state >> 33) % n) if n else rows
+    while len(seeds) < min(k, n):
+        seed = pick.select(*columns(dims)).first()
+        seeds.append((len(seeds), *map(int, seed)))
+        if len(seeds) == min(k, n):
+            break
+        far = squared_flat([F.col(c) for c in columns(dims)], [F.lit(v) for v in seeds[-1][1:]])
+        rows = stored(rows.withColumn("mass", F.least("mass", far)), "seeding")
+        state = lcg(state)
+        pick = weighted_pick(rows, "vec_id", "mass", (state >> 11) / (1 << 53))
+    return vectors.sparkSession.createDataFrame(seeds, "cluster_id int, " + ", ".join(f"{c} int" for c in columns(dims)))
+
+
 def default_clusters(n: int) -> int:
     return max(1, min(MOST_CLUSTERS, math.isqrt(n)))
 

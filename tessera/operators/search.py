@@ -2,7 +2,7 @@
 
 Vectors are rows of integer columns q0, q1, ... Distances are exact integers and ties go
 to the smaller id, so results don't depend on the plan. Queries are the side that is
-broadcast, in blocks of a fixed size; references stay where they are read, and each task
+broadcast, in blocks of a fixed size, many of which one scan serves; references stay where they are read, and each task
 reduces its part to a query's best few before anything is shuffled.
 """
 
@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions.distance import squared_flat
 from tessera.schema import DIMS, FRAUD_FROM, NEIGHBOURS, NPROBE
+from tessera.session import ship
 
-#: Queries in a broadcast block, and rows of a reference batch that meet them at once.
-BLOCK = 1024
+#: Queries that meet ROWS references at once, and how many such blocks one scan of the references serves.
+BLOCK, SCAN = 1024, 16
 ROWS = 4096
 
 
@@ -70,11 +71,11 @@ def matrix(batch: pa.RecordBatch, first: int, dims: int) -> np.ndarray:
 def blocks(queries: DataFrame, qid: str, dims: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Queries in blocks of bounded size: one block by one job, more a partition at a time."""
     rows = queries.select(F.col(qid).cast("long"), *columns(dims))
-    few = rows.limit(BLOCK + 1).collect()
+    few = rows.limit(BLOCK * SCAN + 1).collect()
     held: list = []
-    for row in few if len(few) <= BLOCK else rows.toLocalIterator(prefetchPartitions=True):
+    for row in few if len(few) <= BLOCK * SCAN else rows.toLocalIterator(prefetchPartitions=True):
         held.append(row)
-        if len(held) == BLOCK:
+        if len(held) == BLOCK * SCAN:
             x = np.array(held, dtype=np.int64)
             yield x[:, 0], x[:, 1:]
             held = []
@@ -92,18 +93,22 @@ def nearest(refs: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, dims: int
     found = None
     rows = refs.select(F.col("vec_id").cast("long"), F.col("label").cast("int"), *columns(dims))
     for ids, vectors in blocks(queries, qid, dims):
-        shared = spark.sparkContext.broadcast((ids, vectors))  # BLOCK queries at most
+        shared = spark.sparkContext.broadcast((ids, vectors))  # BLOCK * SCAN queries at most
 
         def scan(batches, shared=shared):
             ids, vectors = shared.value
-            top = TopK(vectors, k + exclude_self)
+            tops = [(ids[s : s + BLOCK], TopK(vectors[s : s + BLOCK], k + exclude_self)) for s in range(0, len(ids), BLOCK)]
             for batch in batches:
                 for s in range(0, batch.num_rows, ROWS):
                     part = batch.slice(s, ROWS)
-                    top.add(matrix(part, 2, dims), np.asarray(part.column(0)), np.asarray(part.column(1)))
-            q, d, i, label = top.kept
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(i), pa.array(d), pa.array(label.astype(np.int32))], names=["qid", "vec_id", "distance", "label"])
-
+                    refs, ident, label = matrix(part, 2, dims), np.asarray(part.column(0)), np.asarray(part.column(1))
+                    for _, top in tops:
+                        top.add(refs, ident, label)
+            for own, top in tops:
+                q, d, i, label = top.kept
+                yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(i), pa.array(d), pa.array(label.astype(np.int32))], names=["qid", "vec_id", "distance", "label"])
+
+        ship(spark)
         part = rows.mapInArrow(scan, NEAR)
         found = part if found is None else found.union(part)
     if found is None:
@@ -123,7 +128,8 @@ def pair_distances(refs: DataFrame, queries: DataFrame, dims: int = DIMS) -> Dat
     rows = refs.select(F.col("vec_id").cast("long"), *columns(dims))
     found = None
     for ids, vectors in blocks(queries, "qid", dims):
-        shared = refs.sparkSession.sparkContext.broadcast((ids, vectors.astype(np.float64)))  # BLOCK queries at most
+        shared = refs.sparkSession.sparkContext.broadcast((ids, vectors.astype(np.float64)))  # BLOCK * SCAN queries at most
+        ship(refs.sparkSession)
 
         def scan(batches, shared=shared):
             ids, q = shared.value

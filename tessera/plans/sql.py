@@ -22,8 +22,15 @@ MALFORMED = [
     (10, "{" + GOOD + ',"last_transaction":{"timestamp":"2024-01","km_from_current":1.0}}'),
     (11, "{" + GOOD + ',"last_transaction":{"timestamp":"2024-01-01T00:00"}}'),
     (12, ""),
+    (13, "{" + GOOD + "} x"),
+    (14, "{" + GOOD + "}{}"),
+    (15, " {" + GOOD + "}\n\t"),
+    (16, "{" + GOOD.replace('"amount":1.5', '"amount":1.5,"amount":1.5') + "}"),
+    (17, "{" + GOOD + ',"terminal":{"is_online":true,"card_present":false,"km_from_home":4.5}}'),
+    (18, "{" + GOOD + ',"other":1,"other":"} ]"}'),
+    (19, "{" + GOOD + ',"last_transaction":null,"last_transaction":null}'),
 ]
-STATUSES = [200, 200, 200, 400, 400, 400, 400, 400, 200, 400, 400, 400]
+STATUSES = [200, 200, 200, 400, 400, 400, 400, 400, 200, 400, 400, 400, 400, 400, 200, 400, 400, 200, 400]
 STAMPS = [
     ("leap", "2024-02-31T10:00:00Z"),
     ("marks", "2024/01/01x00:00"),
@@ -54,6 +61,9 @@ RAW_REQUESTS = [
     (5, "GET /other HTTP/1.1\r\nConnection: keep-alive\r\n\r\n"),
     (6, "POST /fraud-score HTTP/1.1\r\nContent-Length: 9\r\n\r\nhello"),
     (7, "GET /ready HTTP/1.1\r\n"),
+    (8, "POST /fraud-score HTTP/1.1\r\nContent-Length: 10\r\n\r\n{\"a\":\"é\"}GET /ready HTTP/1.1\r\n\r\nGET /x"),
+    (9, "GET /ready HTTP/1.1\r\nConnection: close\r\n\r\nGET /ready HTTP/1.1\r\n\r\n"),
+    (10, "POST /a HTTP/1.1\r\nContent-Length: 8\r\n\r\n\r\n\r\nabcdGET /b HTTP/1.1\r\n\r\n"),
 ]
 
 
@@ -208,6 +218,8 @@ ORACLE_SQL: dict[str, str] = {
     "quantize_embeddings": f"{EMBEDDED} SELECT vec_id, CAST(i - 1 AS INTEGER) AS dim, q[i] AS q FROM v, {_DIMS}",
     "label_indicator": f"WITH {TX} SELECT event_id, fraud FROM tx",
     "l2_pairs": f"{EMBEDDED} {ASKED} SELECT qid, vec_id, {l2('x', 'q')} AS distance FROM asked, v",
+    "float_distances": "SELECT a.vec_id, list_reduce(list_concat([0::FLOAT], list_transform(range(1, len(a.embedding) + 1), lambda i: CAST((a.embedding[i]::FLOAT - b.embedding[i]::FLOAT) * (a.embedding[i]::FLOAT - b.embedding[i]::FLOAT) AS FLOAT))), lambda s, v: CAST(s + v AS FLOAT)) AS distance FROM embeddings a JOIN embeddings b ON a.vec_id = b.vec_id + 1",
+    "unscaled_distances": f"{EMBEDDED} {ASKED} SELECT qid, vec_id, CAST(CAST(CAST({l2('x', 'q')} AS FLOAT) * 0.0001::FLOAT AS FLOAT) * 0.0001::FLOAT AS FLOAT) AS distance FROM asked, v",
     "centroid_probe_topn": f"{EMBEDDED} {ASKED} {SEEDS} SELECT qid, cluster_id, distance, CAST(r AS INTEGER) AS probe_rank FROM (SELECT qid, cluster_id, distance, row_number() OVER (PARTITION BY qid ORDER BY distance, cluster_id) AS r FROM (SELECT qid, cluster_id, {l2('x', 'c')} AS distance FROM asked, seeds)) WHERE r <= 10",
     "exact_knn5_score": FLAGSHIP,
     "exact_knn5_embeddings": f"{EMBEDDED} {ASKED} SELECT qid, vec_id, distance, label, CAST(rank AS INTEGER) AS rank FROM {nearest(_all('true'))}",
@@ -224,7 +236,7 @@ ORACLE_SQL: dict[str, str] = {
     "index_parquet_roundtrip": f"{EMBEDDED} SELECT vec_id, CAST(i - 1 AS INTEGER) AS dim, q[i] AS q FROM v, {_DIMS}",
     "index_binary_roundtrip": f"{EVENTS} {PASS} SELECT cluster_id, count(*) AS n, CAST(sum(label) AS BIGINT) AS frauds, CAST(sum(q[1]) AS BIGINT) AS sum_q0, CAST(sum(q[14]) AS BIGINT) AS sum_q13 FROM lists GROUP BY cluster_id",
     "references_json": f"{EVENTS} SELECT label, count(*) AS n, {', '.join(f'CAST(sum(q[{i + 1}]) AS BIGINT) AS sum_q{i}' for i in range(DIMS))} FROM v GROUP BY label",
-    "http_routes": "SELECT * FROM (VALUES (1, '/ready', 0, false, true, 0, 200, 200), (2, '/fraud-score', 5, false, true, 5, 400, 503), (3, '/fraud-score', 3, true, true, 3, 400, 503), (4, '/fraud-score?x=1', 0, true, true, 0, 404, 503), (5, '/other', 0, false, true, 0, 404, 503), (6, '/fraud-score', 9, false, false, 5, 400, 503), (7, '/ready', 0, false, false, 0, 200, 200)) AS t(id, path, content_length, close, complete, body_chars, status, status_unready)",
+    "http_routes": "SELECT * FROM (VALUES (1, 0, '/ready', 0, false, true, 0, 200, 200), (2, 0, '/fraud-score', 5, false, true, 5, 400, 503), (3, 0, '/fraud-score', 3, true, true, 3, 400, 503), (4, 0, '/fraud-score?x=1', 0, true, true, 0, 404, 503), (5, 0, '/other', 0, false, true, 0, 404, 503), (6, 0, '/fraud-score', 9, false, false, 5, 400, 503), (7, 0, '/ready', 0, false, false, 0, 200, 200), (8, 0, '/fraud-score', 10, false, true, 9, 400, 503), (8, 1, '/ready', 0, false, true, 0, 200, 200), (8, 2, '/x', 0, false, false, 0, 404, 503), (9, 0, '/ready', 0, true, true, 0, 200, 200), (10, 0, '/a', 8, false, true, 8, 404, 503), (10, 1, '/b', 0, false, true, 0, 404, 503)) AS t(id, place, path, content_length, close, complete, body_chars, status, status_unready)",
     "http_scores": f"{EVENTS} {ASKED} {_responses()}",
     "stream_score": FLAGSHIP,
 }

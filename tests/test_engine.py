@@ -1,5 +1,8 @@
 """Unit rows for the traps of parsing and features, and properties of search."""
 
+import math
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -129,3 +132,63 @@ def test_binary_layout(spark):
     assert len(v) == 60 and len(c) == 4
     want = sorted((r.cluster_id, r.pos, r.label, *[r[q] for q in QUANTIZED]) for r in lists.collect())
     assert sorted((int(a), int(b), int(x), *map(int, y)) for a, b, x, y in zip(cluster, place, label, v, strict=True)) == want
+
+
+def test_seeds_over_all_equal_a_plain_version(spark):
+    from tessera.operators import index
+
+    rng = random.Random(4)
+    rows = [(i, *(rng.randrange(50) for _ in range(3))) for i in range(300)]
+    got = [tuple(r)[1:] for r in index.plus_plus_over_all(spark.createDataFrame(rows, "vec_id long, q0 int, q1 int, q2 int"), 5, 3).orderBy("cluster_id").collect()]
+    state = index.lcg(index.LCG_START)
+    want = [rows[(state >> 33) % 300][1:]]
+    mass = [math.inf] * 300
+    while len(want) < 5:
+        mass = [min(m, sum((a - b) ** 2 for a, b in zip(r[1:], want[-1], strict=True))) for m, r in zip(mass, rows, strict=True)]
+        state = index.lcg(state)
+        goal, run = (state >> 11) / (1 << 53) * sum(mass), 0
+        for m, r in zip(mass, rows, strict=True):
+            run += m
+            if run >= goal:
+                want.append(r[1:])
+                break
+    assert got == want
+
+
+def test_generator():
+    from tessera.operators import index
+
+    assert index.lcg(0) == 1442695040888963407 and index.lcg((1 << 64) - 1) == 1442695040888963407 - 6364136223846793005 + (1 << 64)
+
+
+def test_requests_are_bytes_and_may_follow_each_other(spark):
+    from tessera.functions import http
+
+    body = '{"a":"é"}'.encode()
+    raw = b"POST /fraud-score HTTP/1.1\r\nContent-Length: %d\r\n\r\n" % len(body) + body
+    rows = spark.createDataFrame([(1, raw * 3), (2, None), (3, b"")], "id int, raw binary")
+    got = [(r.id, r.place, r.body, r.complete) for r in http.parse_raw(rows).orderBy("id", "place").collect()]
+    assert got == [(1, 0, body.decode(), True), (1, 1, body.decode(), True), (1, 2, body.decode(), True), (2, 0, "", False), (3, 0, "", False)]
+
+
+def test_pipelined_requests_are_all_answered(spark):
+    from tessera.plans import sql
+    from tessera.streaming import scorer
+
+    good = "{" + sql.GOOD + "}"
+    one = f"POST /fraud-score HTTP/1.1\r\nContent-Length: {len(good)}\r\n\r\n{good}"
+    rows = spark.createDataFrame([(1, one + one + "GET /ready HTTP/1.1\r\n\r\n"), (2, one)], "event_id long, raw string")
+    near = lambda q: q.selectExpr("qid", "0L as vec_id", "0L as distance", "1 as label", "1 as rank")
+    got = {(r.event_id, r.place): (r.status, r.response[:15]) for r in scorer.respond(rows, near).collect()}
+    assert got == {k: (200, "HTTP/1.1 200 OK") for k in ((1, 0), (1, 1), (1, 2), (2, 0))}
+
+
+def test_settings(spark, monkeypatch):
+    from tessera.settings import Settings, reference_path, settings
+
+    assert settings(spark) == Settings()
+    monkeypatch.setenv("NPROBE", "7")
+    monkeypatch.setenv("ACCURACY_SAMPLE", "many")
+    assert settings(spark).nprobe == 7 and settings(spark).accuracy_sample == 200
+    monkeypatch.setenv("REF_PATH", "/no/such/file.gz")
+    assert reference_path(spark).endswith("../..//no/such/file.gz")
