@@ -37,7 +37,7 @@ CONTRACTIONS = ("'re", "'ve", "'ll")
 
 
 class PrefixCounter:
-    def __init__(self, path: str, cached: int = 300_000):
+    def __init__(self, path: str, cached: int = 600_000):
         base = TextEncoder(path, 0)
         if not base.spaced or base.core is None:
             raise ValueError("prefix counts need a byte-level BPE file without a normalizer whose ids are in merge order")
