@@ -10,8 +10,8 @@
 3. The lexicon is learned from labelled documents that may be learned from: how much
    likelier toxic documents have a word, or a word beginning (4 to 6 letters), than
    others, by counts of documents that differ (near copies, told by min-hashes of word
-   pairs, count once). The restored text scores as its strongest word, the next best
-   readings of its disguised tokens included.
+   pairs, count once). The restored text scores as its strongest word; a disguised token
+   counts in each of its best few readings.
 
 Labels may be sampled: at most `max_rows` of each label, by a hash of the id.
 
@@ -138,10 +138,10 @@ class Restorer:
 
     def __init__(self, decoder: Decoder):
         self.decoder = decoder
-        self.words = Memo(lambda w: readings_of(w, decoder), 150_000)
+        self.words = Memo(lambda w: readings_of(w, decoder)[0], 150_000)
 
-    def restore(self, text: str) -> tuple[str, list[str]]:
-        """(the text in lower case with every disguised token replaced by its best reading, the next best readings and the tokens as they stood)."""
+    def joined(self, text: str) -> tuple[str, list[str]]:
+        """(the text in lower case, with tokens spelled out in single letters replaced by their best reading; their next best readings)."""
         other: list[str] = []
 
         def best(m: re.Match) -> str:
@@ -149,12 +149,11 @@ class Restorer:
             other.extend(rest)
             return first
 
-        words = SPELLED.sub(best, text.lower()).split()
-        known = self.words
-        changed = {w: r for w in set(words) if len(r := known[w]) > 1 or r[0] != w}
-        for w, (_, *rest) in changed.items():
-            other += [w, *rest]
-        return " ".join([changed[w][0] if w in changed else w for w in words] if changed else words), other
+        return SPELLED.sub(best, text.lower()), other
+
+    def restore(self, text: str) -> str:
+        """The text in lower case with every disguised token replaced by its best reading."""
+        return " ".join(map(self.words.__getitem__, self.joined(text)[0].split()))
 
 
 def near_copies(words: list[str], n: int = COPIES) -> list[int]:
@@ -180,7 +179,7 @@ def restored(docs: DataFrame, model: str) -> DataFrame:
     def fix(batches):
         restorer = restorer_of(model)
         for batch, texts in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([restorer.restore(t)[0] for t in texts], pa.string())], names=["doc_id", "restored"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([restorer.restore(t) for t in texts], pa.string())], names=["doc_id", "restored"])
 
     return map_arrow(texts_of(docs), fix, "doc_id long, restored string")
 
@@ -230,20 +229,28 @@ def score(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, least_docs:
     def judge(batches):
         of, restorer = learned.value, restorer_of(model)
 
+        nothing = (floor, "")
+
         def rate(word: str) -> tuple[float, str]:
+            """Of a word as it is written."""
             core = word.strip(OUTER)
-            return max(((of.get(w, floor), core) for w in (core, *beginnings(core))), default=(floor, "")) if core else (floor, "")
+            best = max(((of[w], core) for w in (core, *beginnings(core)) if w in of), default=nothing)
+            return best if best[0] > floor else nothing
+
+        def strongest(token: str) -> tuple[float, str]:
+            """Of a token's readings, itself included."""
+            return max((rate(w) for reading in (token, *readings_of(token, restorer.decoder)) for w in reading.split()), default=nothing)
 
-        rated = Memo(rate, 150_000)  # of this lexicon only
+        rated = Memo(lambda w: rate(w) if w.isalpha() and not RUN.search(w) else strongest(w), 400_000)  # of this lexicon only
         for batch, texts in slices(batches):
             scores, reasons = [], []
             for text in texts:
-                whole, other = restorer.restore(text)
-                best = max(map(rated.__getitem__, set(whole.split())), default=(floor, ""))
-                for reading in other:
-                    best = max([best, *map(rated.__getitem__, reading.split())])
+                whole, other = restorer.joined(text)
+                best = max(map(rated.__getitem__, {*whole.split()}), default=nothing)
+                if other:
+                    best = max([best, *map(rated.__getitem__, " ".join(other).split())])
                 scores.append(best[0])
-                reasons.append(best[1] if best[0] > floor else "")
+                reasons.append(best[1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(reasons, pa.string())], names=["doc_id", "score", "strongest"])
 
     scored = map_arrow(texts_of(docs), judge, "doc_id long, score double, strongest string")
