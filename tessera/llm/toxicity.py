@@ -40,7 +40,12 @@ LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 MARKS = set(".-_*~'`·,;:/\\^=+|\"")
 OUTER = ".,;:!?\"'()[]{}<>«»¡¿…-_*#$%&|"
 SPELLED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!€])(?:[ .\-_*~·]{1,2}(?:[^\W_]|[@$!€])){3,}(?![^\W_])")
+#: Two letters between marks: every spelled-out run has that, and it is found sooner.
+LONE = re.compile(r"[ .\-_*~·](?:[^\W_]|[@$!€])[ .\-_*~·]{1,2}(?:[^\W_]|[@$!€])[ .\-_*~·]")
 RUN = re.compile(r"(.)\1\1")
+#: Outer marks that may also be letters.
+EDGES = "$!*"
+LEAST_OUTER = "".join(c for c in OUTER if c not in EDGES)
 WIDTH, READINGS = 24, 4
 #: Min-hashes that tell near copies, and documents of the other label that every word is taken to be in besides.
 COPIES, DOUBT = 4, 1.0
@@ -127,7 +132,7 @@ def beginnings(word: str) -> list[str]:
 def readings_of(word: str, decoder: Decoder) -> list[str]:
     """What a lower-case token may stand for, best first: itself unless it is suspicious."""
     core, found = word.strip(OUTER), []
-    for token in dict.fromkeys([core, word.strip(OUTER.replace("$", "").replace("!", "").replace("*", ""))]):
+    for token in dict.fromkeys([core, word.strip(LEAST_OUTER).rstrip("!")]):  # exclamation marks behind a word are no letters
         if token and suspicious(token):
             found += [r for r in decoder.readings(token) if r not in found]
     return found or [word]
@@ -143,13 +148,16 @@ class Restorer:
     def joined(self, text: str) -> tuple[str, list[str]]:
         """(the text in lower case, with tokens spelled out in single letters replaced by their best reading; their next best readings)."""
         other: list[str] = []
+        text = text.lower()
+        if not LONE.search(text):
+            return text, other
 
         def best(m: re.Match) -> str:
             first, *rest = self.decoder.readings(m.group()) or [m.group()]
             other.extend(rest)
             return first
 
-        return SPELLED.sub(best, text.lower()), other
+        return SPELLED.sub(best, text), other
 
     def restore(self, text: str) -> str:
         """The text in lower case with every disguised token replaced by its best reading."""
@@ -241,7 +249,11 @@ def score(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, least_docs:
             """Of a token's readings, itself included."""
             return max((rate(w) for reading in (token, *readings_of(token, restorer.decoder)) for w in reading.split()), default=nothing)
 
-        rated = Memo(lambda w: rate(w) if w.isalpha() and not RUN.search(w) else strongest(w), 400_000)  # of this lexicon only
+        def plain(token: str) -> bool:
+            core = token.strip(OUTER)
+            return core.isalpha() and not RUN.search(core) and not any(c in token for c in EDGES)
+
+        rated = Memo(lambda w: rate(w) if plain(w) else strongest(w), 400_000)  # of this lexicon only
         for batch, texts in slices(batches):
             scores, reasons = [], []
             for text in texts:
