@@ -18,6 +18,9 @@ SLICE_CHARS = 2_000_000
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows of an Arrow batch while this package writes a table: the default is for short rows.
 BATCH_ROWS = 2000
+#: Arrays up to the first size come from the heap, and the heap keeps so much of what is freed while a task runs: by default
+#: arrays of a few hundred kilobytes go back to the machine at once, and each new one costs a page fault a page.
+HEAP_ARRAY, HEAP_SLACK = 4 << 20, 16 << 20
 
 
 def file_system(path: str):
@@ -107,12 +110,23 @@ def kept(owner: str, key, make: Callable):
     return Worker.kept[key]
 
 
+def hold() -> None:
+    """Has the allocator keep freed arrays for the next ones; trim() gives them back."""
+    import ctypes
+
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        libc.mallopt(-3, HEAP_ARRAY)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, HEAP_SLACK)  # M_TRIM_THRESHOLD
+
+
 def lean(fn: Callable) -> Callable:
     """fn with Arrow's memory from the system's allocator, and what it freed given back when a task ends."""
 
     def run(batches):
         if pa.default_memory_pool().backend_name != "system":
             pa.set_memory_pool(pa.system_memory_pool())
+            hold()
         yield from fn(batches)
         trim()
 
