@@ -41,7 +41,7 @@ HASH_BITS = 64 - PAIR_BITS
 BROADCAST_LINES = 1_000_000
 #: Characters hashed at once.
 STRETCH = 100_000
-EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+EMPTY, NONE = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint32(0xFFFFFFFF)
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 ODD = np.array([0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
@@ -145,13 +145,16 @@ def bands(lines: list[str], k: int = SHINGLE, rows: int = ROWS, n_bands: int = B
     sizes = np.array([len(x) for x in lines])
     ends = np.cumsum(sizes)
     h = rolled(codes, k)
-    line = np.repeat(np.arange(len(lines)), sizes)[: len(h)]
-    inside = within(ends, len(h), k)
-    h, line = h[inside], line[inside]
-    bin_ = ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
-    mins = np.full(len(lines) * bins, EMPTY)
-    np.minimum.at(mins, line * bins + bin_, h & np.uint64(0xFFFFFFFF))
-    mins = mins.reshape(-1, bins)
+    low = np.minimum(h.astype(np.uint32), NONE - np.uint32(1))
+    low[~within(ends, len(h), k)] = NONE  # windows over a line's end change no minimum
+    slot = np.repeat(np.arange(len(lines)) * bins, sizes)[: len(h)]
+    h >>= np.uint64(32)
+    h *= np.uint64(bins)
+    h >>= np.uint64(32)
+    slot += h.view(np.int64)
+    least = np.full(len(lines) * bins, NONE)
+    np.minimum.at(least, slot, low)
+    mins = np.where(least == NONE, EMPTY, least.astype(np.uint64)).reshape(-1, bins)
     open_ = np.flatnonzero((mins == EMPTY).any(axis=1))
     while len(open_):  # each bin without a hash takes the next one's, as far as there are any left
         own = mins[open_]
