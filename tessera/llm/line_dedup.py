@@ -156,18 +156,15 @@ def bands(lines: list[str], k: int = SHINGLE, rows: int = ROWS, n_bands: int = B
     np.minimum.at(least, slot, low)
     mins = np.where(least == NONE, EMPTY, least.astype(np.uint64)).reshape(-1, bins)
     open_ = np.flatnonzero((mins == EMPTY).any(axis=1))
-    while len(open_):  # each bin without a hash takes the next one's, as far as there are any left
+    if len(open_):  # each bin without a hash takes that of the next one that has one, and how far away it is
         own = mins[open_]
-        after = np.roll(own, -1, axis=1)
-        own = np.where((own == EMPTY) & (after != EMPTY), after + np.uint64(1 << 33), own)
-        mins[open_] = own
-        open_ = open_[(own == EMPTY).any(axis=1)]
-    out = np.empty((len(lines), n_bands), dtype=np.uint64)
-    for b in range(n_bands):
-        x = np.full(len(lines), b + 1, dtype=np.uint64)
-        for r in range(rows):
-            x = mixed(x * PRIME + mins[:, b * rows + r])
-        out[:, b] = x
+        at = np.where(np.concatenate([own, own], axis=1) != EMPTY, np.arange(2 * bins), 2 * bins)
+        after = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, :bins]
+        mins[open_] = np.take_along_axis(own, after % bins, axis=1) + ((after - np.arange(bins)).astype(np.uint64) << np.uint64(33))
+    mins = mins.reshape(-1, n_bands, rows)
+    out = np.tile(np.arange(1, n_bands + 1, dtype=np.uint64), (len(lines), 1))
+    for r in range(rows):
+        out = mixed(out * PRIME + mins[:, :, r])
     return out
 
 
