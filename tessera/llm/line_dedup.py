@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .blooms import few, matched, mixed, wanted
 from .common import map_arrow, materialise, ship, slices, texts_of
-from .links import MANY, PAIRS, PROBE_BITS, Resolver, shared_keys
+from .links import MANY, PAIRS, PROBE_BITS, Resolver, holders, shared_keys
 
 SHINGLE, ROWS, BANDS = 6, 4, 10
 #: Lines that a task remembers to have given.
@@ -169,7 +169,7 @@ def bands(lines: list[str], k: int = SHINGLE, rows: int = ROWS, n_bands: int = B
 
 
 def lines_table(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, line, node, keys) of every line that is long enough; keys are the bands, where a task meets a line that has a shingle for the first time."""
+    """(doc_id, line, node, keys) of every line that is long enough; keys are the bands' hashes one after another, where a task meets a line that has a shingle for the first time."""
 
     def emit(batches):
         seen: set[int] = set()
@@ -188,12 +188,10 @@ def lines_table(docs: DataFrame, min_chars: int) -> DataFrame:
                         new.append(line)
             if len(seen) > SEEN:
                 seen.clear()
-            keys = np.concatenate([bands(part) for part in stretches(new)]).reshape(-1).view(np.int64) if new else np.empty(0, dtype=np.int64)
-            mask = np.array(first, dtype=bool)
-            ends = np.concatenate([[0], np.cumsum(mask * BANDS)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys), mask=pa.array(~mask))], names=["doc_id", "line", "node", "keys"])
+            keys = iter([x.tobytes() for part in stretches(new) for x in bands(part)])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(nodes, pa.int64()), pa.array([next(keys) if x else None for x in first], pa.binary())], names=["doc_id", "line", "node", "keys"])
 
-    return map_arrow(texts_of(docs).where("doc_id is not null"), emit, "doc_id long, line int, node long, keys array<long>")
+    return map_arrow(texts_of(docs).where("doc_id is not null"), emit, "doc_id long, line int, node long, keys binary")
 
 
 def line_texts(docs: DataFrame, picks: DataFrame) -> DataFrame:
@@ -267,8 +265,8 @@ def spreads(texts: DataFrame) -> DataFrame:
 def removals(docs: DataFrame, min_chars: int = 1, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, line, first_doc, first_line) of the lines that go, and of the line that stays for each."""
     listed = materialise(lines_table(docs, min_chars), "lines")
-    banded = listed.where("keys is not null").select(F.explode("keys").alias("key"), "node")
-    buckets = materialise(wanted(banded, materialise(shared_keys(banded), "keys"), "key").distinct(), "buckets")
+    banded = listed.where("keys is not null")
+    buckets = materialise(holders(banded, materialise(shared_keys(banded, BANDS * listed.count()), "keys")), "buckets")
     near = materialise(buckets.select("node").distinct(), "near")
     picks = wanted(listed.where("keys is not null").select("doc_id", "line", "node"), near, "node").dropDuplicates(["node"])
     picks = materialise(picks, "picks")

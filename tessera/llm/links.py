@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blooms import few, matched
-from .common import map_arrow, materialise
+from .blooms import bloom, few, matched, may_hold
+from .common import map_arrow, materialise, shuffle_partitions
 from .components import connected_components
 
 PAIRS = "a long, b long"
@@ -35,6 +35,8 @@ Step = Callable[[DataFrame], DataFrame]
 SMALL, WIDE = 3, 512
 #: Star rounds at most, and the share of a round's pairs that must be links for another one to be worth while.
 MOST_STARS, GAIN = 2, 0.3
+#: Keys that a task sorts at once.
+SORTED = 500_000
 #: Nodes of a block that are compared all at once.
 AT_ONCE = 64
 #: Ranges of hashes in a spread.
@@ -136,9 +138,100 @@ def shared(rows: DataFrame) -> DataFrame:
     return rows.withColumn("lo", F.min("node").over(of)).withColumn("hi", F.max("node").over(of)).where("lo <> hi").drop("lo", "hi")
 
 
-def shared_keys(rows: DataFrame) -> DataFrame:
-    """The keys of (key, node, ...) that have different nodes: a hot key is aggregated before it is shuffled."""
-    return rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
+def unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, nodes) of rows (node, keys), keys being 64-bit numbers one after another."""
+    held = batch.column(1).to_pylist()
+    sizes = np.array([len(x) >> 3 for x in held], dtype=np.int64)
+    return np.frombuffer(b"".join(held), dtype=np.int64), np.repeat(np.asarray(batch.column(0)), sizes)
+
+
+def extremes(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each key once, by its unsigned value, with its smallest and largest node."""
+    order = np.argsort(keys.view(np.uint64))
+    keys, nodes = keys[order], nodes[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[starts], np.minimum.reduceat(nodes, starts), np.maximum.reduceat(nodes, starts)
+
+
+def pairs_of(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Rows (key, node): one for a key with one node, two for others."""
+    n = 1 + (lo != hi)
+    nodes = np.repeat(lo, n)
+    nodes[np.cumsum(n) - 1] = hi
+    return np.stack([np.repeat(keys, n), nodes], axis=1)
+
+
+def shared_keys(rows: DataFrame, n_keys: int) -> DataFrame:
+    """(key): those of rows (node, keys; see unpacked()) that have different nodes. n_keys: about how many there are in all.
+
+    Tasks sort their keys and hand on two nodes of each at most, so a hot key is a few rows a
+    task. What goes to a range of keys travels as one row, not as a row a key; ranges hold
+    SORTED keys or fewer, and one that gets more is reduced to two nodes a key as it comes in.
+    """
+    ranges = max(2 * shuffle_partitions(rows.sparkSession), n_keys // SORTED * 2, 2)
+    shift = np.uint64(64 - (ranges - 1).bit_length())
+
+    def deal(held):
+        pairs = pairs_of(*extremes(*(np.concatenate(x) for x in zip(*held, strict=True))))
+        range_ = np.ascontiguousarray(pairs[:, 0]).view(np.uint64) >> shift
+        starts = np.flatnonzero(np.concatenate([[True], range_[1:] != range_[:-1]]))
+        data = [x.tobytes() for x in np.split(pairs, starts[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(range_[starts].astype(np.int64)), pa.array(data, pa.binary())], names=["range", "pairs"])
+
+    def sort(batches):
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(unpacked(batch))
+                n += len(held[-1][0])
+            if n >= SORTED:
+                yield deal(held)
+                held, n = [], 0
+        if n:
+            yield deal(held)
+
+    def several(held):
+        pairs = np.concatenate(held)
+        keys, lo, hi = extremes(np.ascontiguousarray(pairs[:, 0]), pairs[:, 1])
+        return pa.RecordBatch.from_arrays([pa.array(keys[lo != hi])], names=["key"])
+
+    def merge(batches):
+        last, held, n, most = None, [], 0, 2 * SORTED
+        for batch in batches:
+            for range_, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if range_ != last and held:
+                    yield several(held)
+                    held, n, most = [], 0, 2 * SORTED
+                last = range_
+                held.append(np.frombuffer(data, dtype=np.int64).reshape(-1, 2))
+                n += len(held[-1])
+                if n > most:
+                    pairs = np.concatenate(held)
+                    held = [pairs_of(*extremes(np.ascontiguousarray(pairs[:, 0]), pairs[:, 1]))]
+                    n = len(held[0])
+                    most = max(most, 2 * n)
+        if held:
+            yield several(held)
+
+    dealt = map_arrow(rows.select("node", "keys"), sort, "range long, pairs binary")
+    return map_arrow(dealt.repartition("range").sortWithinPartitions("range"), merge, "key long")
+
+
+def holders(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, node), each once, of rows (node, keys; see unpacked()) with a key of `keys` (one column, distinct, written)."""
+    found = bloom(keys)
+    shared_ = rows.sparkSession.sparkContext.broadcast(found) if found is not None else None
+
+    def keep(batches):
+        for batch in batches:
+            at, nodes = unpacked(batch)
+            if shared_ is not None:
+                may = may_hold(shared_.value, at)
+                at, nodes = at[may], nodes[may]
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(nodes)], names=["key", "node"])
+
+    pairs = map_arrow(rows.select("node", "keys"), keep, "key long, node long")
+    return pairs.join(F.broadcast(keys) if few(keys) else keys.hint("shuffle_merge"), "key", "left_semi").distinct()
 
 
 class Resolver:
