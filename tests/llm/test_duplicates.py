@@ -140,32 +140,6 @@ def test_query_takes_short_lines(spark, tmp_path):
     assert got == {1: (0, rows[0][1]), 2: (2, ""), 3: (1, "\r\n\r\nNot seen before"), 4: (2, "")}
 
 
-def test_shared_keys_with_a_hot_key(spark, monkeypatch):
-    """Keys of several nodes and who holds them, against plain dictionaries; tasks sort and merge in several rounds, and one key is in every row."""
-    import numpy as np
-
-    from tessera.llm.common import materialise
-
-    monkeypatch.setattr(links, "SORTED", 200)
-    rng = np.random.default_rng(3)
-    rows = [(int(n), [-1, *(int(k) for k in rng.integers(-(2**63), 2**63 - 1, 2)), int(rng.integers(0, 900))]) for n in rng.integers(-(2**62), 2**62, 600)]
-    rows += rows[:50]  # the same node, met twice
-    data = [(n, np.array(keys, dtype=np.int64).tobytes()) for n, keys in rows]
-    want: dict[int, set[int]] = {}
-    for n, keys in rows:
-        for k in keys:
-            want.setdefault(k, set()).add(n)
-    want = {k: v for k, v in want.items() if len(v) > 1}
-    df = spark.createDataFrame(data, "node long, keys binary").repartition(5)
-    keys = materialise(links.shared_keys(df, 2600), "keys")
-    assert sorted(r.key for r in keys.collect()) == sorted(want)
-    got = links.holders(df, keys).collect()
-    assert sorted((r.key, r.node) for r in got) == sorted((k, n) for k, v in want.items() for n in v)
-    empty = df.where("node is null")
-    none = materialise(links.shared_keys(empty, 0), "keys")
-    assert none.isEmpty() and links.holders(df, none).isEmpty()
-
-
 def test_bands_fill_empty_bins_from_the_next_one():
     """Band hashes against bins and hops done one at a time."""
     import numpy as np
