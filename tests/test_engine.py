@@ -77,6 +77,33 @@ def test_blocks_of_queries(spark, monkeypatch):
     assert search.nearest(refs, queries).count() == 50
 
 
+@pytest.mark.parametrize("held", [700, 1 << 22])
+def test_many_queries_by_regions(spark, monkeypatch, held):
+    """References dealt out by regions, several blocks of queries, ties and copies: the same as brute force."""
+    for name, value in (("MANY", 10), ("BLOCK", 4), ("SCAN", 20), ("HELD", held)):
+        monkeypatch.setattr(search, name, value)
+    refs, asked = vectors(spark, 300), vectors(spark, 100, seed=2)
+    queries = asked.withColumnRenamed("vec_id", "qid").drop("label")
+    got = {}
+    for r in search.nearest(refs.repartition(5), queries).orderBy("rank").collect():
+        got.setdefault(r.qid, []).append((r.vec_id, r.distance))
+    assert got == brute([tuple(r) for r in refs.collect()], [tuple(r) for r in queries.collect()], 5)
+
+
+def test_pruned_search_equals_all_distances():
+    """Leaves that are left out hold none of the best, whatever comes first; equal vectors are cut to the k smallest ids."""
+    rng = np.random.default_rng(4)
+    x, q = rng.integers(0, 40, (6000, 3)) * 250, rng.integers(0, 40, (200, 3)) * 250
+    x[:900] = x[0]
+    ident, label = rng.permutation(6000), rng.integers(0, 2, 6000)
+    best = search.TopK(q, 6)
+    for s in range(0, 6000, 2500):
+        best.add(x[s : s + 2500], ident[s : s + 2500], label[s : s + 2500])
+    d = ((q[:, None] - x) ** 2).sum(axis=2)
+    order = np.array([np.lexsort((ident, one))[:6] for one in d])
+    assert (best.ident == ident[order]).all() and (best.distance == np.take_along_axis(d, order, 1)).all() and (best.label == label[order]).all()
+
+
 def test_few_references(spark):
     refs = vectors(spark, 3).withColumn("label", F.lit(1))
     queries = vectors(spark, 1, seed=5).withColumnRenamed("vec_id", "qid").drop("label")
