@@ -104,6 +104,14 @@ def test_pruned_search_equals_all_distances():
     assert (best.ident == ident[order]).all() and (best.distance == np.take_along_axis(d, order, 1)).all() and (best.label == label[order]).all()
 
 
+def test_inverted_file_hands_on_only_the_best(spark):
+    """Pairs of queries and lists aren't shuffled: what leaves a task is its k best of each query."""
+    lists = index.postings(index.assign(vectors(spark, 400, spread=9), index.strided_seeds(vectors(spark, 400, spread=9), 4)))
+    queries = vectors(spark, 15, seed=8, spread=9).withColumnRenamed("vec_id", "qid").drop("label")
+    plan = search.ivf_nearest(lists, index.strided_seeds(vectors(spark, 400, spread=9), 4), queries, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning(qid") == 1
+
+
 def test_few_references(spark):
     refs = vectors(spark, 3).withColumn("label", F.lit(1))
     queries = vectors(spark, 1, seed=5).withColumnRenamed("vec_id", "qid").drop("label")
