@@ -126,6 +126,11 @@ def wanted(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return map_arrow(rows, keep, rows.schema)
 
 
+def less(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Rows whose column isn't in ids (one column of distinct values, written); rows with a null stay. Few ids are broadcast, so that the rows aren't shuffled."""
+    return rows.join(F.broadcast(ids) if few(ids) else ids, column, "left_anti")
+
+
 def matched(rows: DataFrame, some: DataFrame, on: str) -> DataFrame:
     """rows joined with some (a written table, one row for each value of `on`): broadcast while it is few, else by a merge join whose skewed sides Spark can split."""
     return rows.join(F.broadcast(some) if few(some, MATCHED_ROWS) else some.hint("shuffle_merge"), on)

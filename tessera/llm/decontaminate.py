@@ -39,8 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blooms import combined
-from .common import SLICE_CHARS, map_arrow, short_batches, slices, texts_of
+from .blooms import combined, less
+from .common import SLICE_CHARS, map_arrow, materialise, slices, texts_of, while_writing
 
 DROP = string.punctuation.encode()
 #: Characters of all items in one block that goes to the tasks.
@@ -376,7 +376,7 @@ def frequencies(docs: DataFrame, index: Index) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(blocks_)), pa.array([own[k * COUNTS : (k + 1) * COUNTS].tobytes() for k in range(blocks_)], pa.binary())], names=["block", "bits"])
 
     out = np.zeros((blocks_, COUNTS), dtype=np.int64)
-    with short_batches(docs.sparkSession):
+    with while_writing(docs.sparkSession):
         for block, bits in combined(map_arrow(texts_of(docs), count, "block long, bits binary"), "<u8", np.add).collect():
             out[block] = np.frombuffer(bytes(bits), dtype="<u8")
     return out.reshape(-1)[:n]
@@ -425,4 +425,4 @@ def blocks(items: DataFrame):
 def without(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """docs less the rows of documents that hold a benchmark passage."""
     found = contaminated(docs, items, **options).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    return less(docs, materialise(found, "leaks"), "doc_id")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blooms import combined, mixed, wanted
+from .blooms import combined, less, mixed, wanted
 from .common import kept, map_arrow, materialise, slices, texts_of
 from .links import PAIRS, Resolver, can_link, shared, spread, spread_matrix
 
@@ -245,4 +245,4 @@ def links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFra
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs without the rows that aren't the first of their component; of rows with the same doc_id and component all stay."""
     found = components(docs, k, num, den).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    return less(docs, materialise(found, "copies"), "doc_id")

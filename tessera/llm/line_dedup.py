@@ -24,11 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blooms import few, matched, mixed, wanted
-from .common import map_arrow, materialise, ship, slices, texts_of
+from .common import kept, map_arrow, materialise, slices, texts_of
 from .links import MANY, PAIRS, PROBE_BITS, Resolver, shared_keys
 
 SHINGLE, ROWS, BANDS = 6, 4, 10
@@ -172,6 +172,7 @@ def lines_table(docs: DataFrame, min_chars: int) -> DataFrame:
     """(doc_id, line, node, keys) of every line that is long enough; keys are the bands, where a task meets a line that has a shingle for the first time."""
 
     def emit(batches):
+        kept("lines", None, lambda: None)  # frees what the operator before has kept
         seen: set[int] = set()
         for batch, texts in slices(batches, chars=1_000_000):
             ids, at, nodes, first, new = [], [], [], [], []
@@ -287,23 +288,22 @@ def removals(docs: DataFrame, min_chars: int = 1, num: int = 80, den: int = 100)
     return gone.select("doc_id", "line", F.col("first.doc_id").alias("first_doc"), F.col("first.line").alias("first_line"))
 
 
-def without_lines(text: pa.Array, gone: pa.Array) -> pa.Array:
-    """Texts less the lines at these places; in time linear in both."""
-    out = []
-    for t, places in zip(text.to_pylist(), gone.to_pylist(), strict=True):
-        if t is not None and places:
-            drop = set(places)
-            t = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in drop)
-        out.append(t)
-    return pa.array(out, pa.string())
+def marks_of(places: Column) -> Column:
+    """A byte for each place up to the last one of an ascending array: 1 for those in it, 0 for the others."""
+    return F.array_join(F.transform(places, lambda x, i: F.concat(F.repeat(F.lit("0"), x - F.coalesce(F.get(places, i - 1), F.lit(-1)) - 1), F.lit("1"))), "").cast("binary")
+
+
+def without_lines(text: Column, marks: Column) -> Column:
+    """A text less its lines that are marked 1; in time linear in both, and without Python, whose batches would hold ten thousand whole texts."""
+    return F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: F.substring(marks, i + 1, F.lit(1)) != F.lit(b"1")), "\n")
 
 
 def deduplicate(docs: DataFrame, min_chars: int = 1, num: int = 80, den: int = 100) -> DataFrame:
     """docs with their texts less the lines that go, and n_lines, n_removed."""
     found = materialise(removals(docs, min_chars, num, den).select("doc_id", "line"), "gone")
-    gone = found.groupBy("doc_id").agg(F.collect_set("line").alias("_gone"))
+    gone = found.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("at"))
+    gone = gone.select("doc_id", F.size("at").alias("_n"), marks_of(F.col("at")).alias("_gone"))
     joined = docs.join(F.broadcast(gone) if few(found, BROADCAST_LINES) else gone, "doc_id", "left")
-    ship(docs.sparkSession)
-    cut = F.arrow_udf(without_lines, "string")(F.when(F.col("_gone").isNotNull(), F.col("text")), F.col("_gone"))  # texts that keep all their lines aren't sent
+    cut = F.when(F.col("_gone").isNotNull(), without_lines(F.col("text"), F.col("_gone")))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).cast("long")
-    return joined.select(*[F.coalesce(cut, F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns], n_lines.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return joined.select(*[F.coalesce(cut, F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns], n_lines.alias("n_lines"), F.coalesce("_n", F.lit(0)).cast("long").alias("n_removed"))

@@ -24,7 +24,8 @@ from .blooms import mixed
 from .common import kept, map_arrow, materialise, shuffle_partitions, slices, texts_of, work_path
 
 ORDER = 4
-MERGE_AT = 4_000_000
+#: 4-grams of a language that a task sorts at once: bounds its memory.
+MERGE_AT = 1_000_000
 LOW = [(1 << (16 * n)) - 1 for n in range(4)]
 
 

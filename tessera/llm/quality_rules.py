@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ngram_lm
-from .blooms import few
+from .blooms import few, less
 from .common import kept, map_arrow, materialise, slices, texts_of
 from .encoding import Memo
 
@@ -134,4 +134,4 @@ def judge(docs: DataFrame, lower: float = 8.0, upper: float = 6.0) -> DataFrame:
 def keep(docs: DataFrame, **options) -> DataFrame:
     """docs less the documents that are rejected. A doc_id of several rows goes if any of them is."""
     gone = judge(docs, **options).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    return less(docs, materialise(gone, "rejected"), "doc_id")
