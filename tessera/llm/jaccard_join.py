@@ -212,7 +212,7 @@ def resolver(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Da
         return some.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
     def marks(nodes: DataFrame) -> DataFrame:
-        return spreads.select("node", "spread").join(nodes, "node", "left_semi")
+        return wanted(spreads.select("node", "spread"), nodes, "node")
 
     return listed, spreads, Resolver(buckets, verifier(num, den), marks, num, den, fetch=fetch, possible=possible(num, den), sift=sifter(spreads.select("node", "spread"), num, den))
 

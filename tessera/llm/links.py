@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blooms import few, matched
+from .blooms import few, matched, wanted
 from .common import map_arrow, materialise
 from .components import connected_components
 
@@ -146,7 +146,7 @@ class Resolver:
 
     buckets: (key, node, ...), written. fetch gives (node, data) of a table of nodes; verify
     takes (a, b, x, y), x and y being data, and gives the linked (a, b), whose similarity is
-    num / den or more. spreads gives (node, spread) of a table of nodes. possible(x, y) may
+    num / den or more. spreads gives (node, spread) of a written table of nodes, perhaps with a few others. possible(x, y) may
     rule out pairs by the buckets' further columns, and sift pairs (a, b) by anything cheaper
     than their data. data: (node, data) of all nodes, where it is at hand already.
     """
@@ -177,22 +177,29 @@ class Resolver:
         wide = materialise(matched(now, sizes.where(F.col("n") > SMALL), "key").select("key", "node", "of", "n"), "wide")
         if wide.isEmpty():
             return pairs
-        marks = materialise(self.spreads(wide.select("node").distinct()), "marks")
+        marks = materialise(self.spreads(materialise(wide.select("node").distinct(), "nodes")), "marks")
         held = wide.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # a node's keys are bounded by its own size
         return pairs.union(wide_pairs(wide.join(marks, "node").join(held, "node"), self.num, self.den))
 
+    def data_of(self, pairs: DataFrame) -> DataFrame:
+        """(node, data) of the nodes of pairs (written). Later rounds have few of all nodes, and no more are shuffled with them; the first one has nearly all."""
+        if self.tried is None and not self.fetch:
+            return self.data
+        nodes = materialise(pairs.select("a").union(pairs.select("b")).distinct().toDF("node"), "nodes")
+        if self.fetch:
+            new = nodes if self.data is None else materialise(nodes.join(self.data.select("node"), "node", "left_anti"), "new")
+            fresh = materialise(self.fetch(new), "data")
+            self.data = fresh if self.data is None else self.data.union(fresh)
+        return self.data if self.tried is None else wanted(self.data, nodes, "node")
+
     def check(self, pairs: DataFrame) -> DataFrame:
         """The linked ones of pairs that weren't checked before."""
         pairs = pairs.distinct()
         if self.tried is not None:
             pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
         pairs = materialise(self.sift(pairs) if self.sift else pairs, "pairs")
-        if self.fetch:
-            nodes = pairs.select("a").union(pairs.select("b")).distinct().toDF("node")
-            nodes = materialise(nodes if self.data is None else nodes.join(self.data.select("node"), "node", "left_anti"), "nodes")
-            fresh = materialise(self.fetch(nodes), "data")
-            self.data = fresh if self.data is None else self.data.union(fresh)
-        full = pairs.join(self.data.select(F.col("node").alias("a"), F.col("data").alias("x")), "a").join(self.data.select(F.col("node").alias("b"), F.col("data").alias("y")), "b")
+        data = self.data_of(pairs)
+        full = pairs.join(data.select(F.col("node").alias("a"), F.col("data").alias("x")), "a").join(data.select(F.col("node").alias("b"), F.col("data").alias("y")), "b")
         found = materialise(self.verify(full.select("a", "b", "x", "y")), "links")
         self.checked = pairs.count()
         self.tried = pairs if self.tried is None else self.tried.union(pairs)

@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from tessera.llm import common, jaccard_join, line_dedup, quality_rules
+from tessera.llm import common, jaccard_join, line_dedup, links, quality_rules
 
 
 def files(spark):
@@ -82,3 +82,14 @@ class Probe:
         """The owner that a task finds in its worker, after the tasks before it on this machine."""
         seen = [common.map_arrow(one.select("doc_id"), owner, "doc_id long").count() for _ in range(3)]
         return "lines" if any(seen) else "model"
+
+
+def test_later_rounds_shuffle_only_their_own_nodes(spark):
+    data = common.materialise(spark.range(2000).select(F.col("id").alias("node"), F.lit(b"x").alias("data")), "all")
+    buckets = common.materialise(spark.createDataFrame([(1, 1), (1, 2)], "key long, node long"), "buckets")
+    found = links.Resolver(buckets, lambda full: full.select("a", "b"), None, 80, 100, data=data)
+    pairs = lambda *rows: common.materialise(spark.createDataFrame(rows, "a long, b long"), "some")
+    assert {tuple(r) for r in found.check(pairs((1, 2), (3, 4))).collect()} == {(1, 2), (3, 4)}
+    later = pairs((1, 5), (6, 7))
+    assert sorted(r.node for r in found.data_of(later).collect()) == [1, 5, 6, 7]
+    assert {tuple(r) for r in found.check(later).collect()} == {(1, 5), (6, 7)}
