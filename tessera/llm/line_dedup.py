@@ -276,7 +276,7 @@ def removals(docs: DataFrame, min_chars: int = 1, num: int = 80, den: int = 100)
     texts = materialise(line_texts(docs, picks), "texts")
     if texts.count() > picks.count():  # rows with the same doc_id
         texts = materialise(texts.dropDuplicates(["node"]), "texts")
-    labels = Resolver(buckets, verifier(num, den), lambda nodes: spreads(texts.join(nodes, "node", "left_semi")), num, den, data=texts).components()
+    labels = Resolver(buckets, verifier(num, den), lambda nodes: spreads(wanted(texts, nodes, "node")), num, den, data=texts).components()
 
     # Only lines that occur again, as they are or as another of their component, can go: no others are joined.
     again = listed.groupBy("node").count().where("count > 1").select("node").join(labels, "node", "left_anti")
