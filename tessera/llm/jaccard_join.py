@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .blooms import combined, less, mixed, wanted
 from .common import kept, map_arrow, materialise, slices, texts_of
-from .links import PAIRS, Resolver, can_link, shared, spread, spread_matrix
+from .links import PAIRS, Resolver, shared, sifter, spread
 
 SKETCH_BITS = 21
 SKETCH_BLOCKS = 512
@@ -145,21 +145,6 @@ def possible(num: int, den: int):
     return fits
 
 
-def sifter(spreads: DataFrame, num: int, den: int):
-    """The suffix filter: two sets share no more of a range between two probes than the smaller has there. spreads: (node, spread)."""
-
-    def check(batches):
-        for batch in batches:
-            keep = can_link(spread_matrix(batch.column(2)), spread_matrix(batch.column(3)), num, den) if batch.num_rows else np.empty(0, dtype=bool)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    def sift(pairs: DataFrame) -> DataFrame:
-        x, y = (spreads.select(F.col("node").alias(c), F.col("spread").alias(f"s{c}")) for c in ("a", "b"))
-        return map_arrow(pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb"), check, PAIRS)
-
-    return sift
-
-
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
     both = np.concatenate([a, b])
     both.sort()

@@ -7,8 +7,9 @@ pipeline take, all that aren't blank. Lines shorter than a shingle only have exa
 1. A line's set of character shingles gives a one-permutation MinHash signature, empty
    bins being filled from the next one. Bands of its bins are candidate buckets; with
    rows r and bands b two lines of similarity s meet with probability 1 - (1 - s**r)**b.
-2. links.Resolver verifies candidates by the exact Jaccard similarity of the shingle
-   sets and joins them, by distributed union-find.
+2. Candidates whose spreads (how many shingles lie in each of equal ranges of hashes) rule
+   a link out are dropped without their texts. links.Resolver verifies the others by the
+   exact Jaccard similarity of the shingle sets and joins them, by distributed union-find.
 3. Of each component the first line (smallest doc_id, then place) stays, also among
    exact copies, and the others go.
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .blooms import few, matched, mixed, wanted
 from .common import kept, map_arrow, materialise, slices, texts_of
-from .links import MANY, PAIRS, PROBE_BITS, Resolver, shared_keys
+from .links import MANY, PAIRS, Resolver, shared_keys, sifter
 
 SHINGLE, ROWS, BANDS = 6, 4, 10
 #: Lines that a task remembers to have given.
@@ -39,6 +40,10 @@ PAIR_BITS = 11
 HASH_BITS = 64 - PAIR_BITS
 #: Lines that may be broadcast as lists by document.
 BROADCAST_LINES = 1_000_000
+#: Ranges of hashes in a line's spread, for which wide buckets are compared, and in its mark, which is moved with every candidate.
+SPREAD_BITS, MARK_BITS = 8, 6
+#: Parts that a line's band keys are counted in: a shuffle holds one of them at a time.
+KEY_PARTS = 2
 #: Characters hashed at once.
 STRETCH = 100_000
 EMPTY, NONE = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint32(0xFFFFFFFF)
@@ -198,7 +203,7 @@ def lines_table(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def line_texts(docs: DataFrame, picks: DataFrame) -> DataFrame:
-    """(node, data) of the picked lines: data is the line as it is compared. picks: (doc_id, line, node), written; lines of a doc_id's rows are those of any of them that has the line."""
+    """(node, data, spread, mark) of the picked lines: data is the line as it is compared. picks: (doc_id, line, node), written; lines of a doc_id's rows are those of any of them that has the line."""
     lists = picks.groupBy("doc_id").agg(F.collect_list(F.struct("line", "node")).alias("picked"))
     lists = lists.select("doc_id", F.col("picked.line").alias("lines"), F.col("picked.node").alias("nodes"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(lists) if few(picks, BROADCAST_LINES) else lists, "doc_id").where("text is not null")
@@ -207,13 +212,14 @@ def line_texts(docs: DataFrame, picks: DataFrame) -> DataFrame:
         for batch, texts in slices(batches):
             out = []
             for text, places, nodes in zip(texts, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                lines = text.lower().split("\n")
+                lines = text.split("\n")
                 for place, node in zip(places, nodes, strict=True):
-                    if place < len(lines) and line_node(line := plain(lines[place])) == node:  # not so in a row of the same id with another text
-                        out.append((node, line.encode("utf-8", "surrogatepass")))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["node", "data"])
+                    if place < len(lines) and line_node(line := plain(lines[place].lower())) == node:  # not so in a row of the same id with another text
+                        out.append((node, line))
+            spread = spreads([x[1] for x in out])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), *(pa.array(c, pa.binary()) for c in ([x[1].encode("utf-8", "surrogatepass") for x in out], spread, marks(spread)))], names=["node", "data", "spread", "mark"])
 
-    return map_arrow(rows.select("doc_id", "text", "lines", "nodes"), emit, "node long, data binary")
+    return map_arrow(rows.select("doc_id", "text", "lines", "nodes"), emit, "node long, data binary, spread binary, mark binary")
 
 
 def pieces_of(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -250,33 +256,45 @@ def verifier(num: int, den: int):
     return lambda pairs: map_arrow(pairs, check, PAIRS)
 
 
-def spreads(texts: DataFrame) -> DataFrame:
-    """(node, spread) of (node, data)."""
+def spreads(lines: list[str]) -> list[bytes]:
+    """The spread of each line's set, in 2**SPREAD_BITS ranges."""
+    out = []
+    for part in stretches(lines):
+        flat, sizes = flat_sets(part)
+        place = np.repeat(np.arange(len(part)), sizes) << SPREAD_BITS | (flat >> np.uint64(HASH_BITS - SPREAD_BITS)).astype(np.int64)
+        out += [x.tobytes() for x in np.minimum(np.bincount(place, minlength=len(part) << SPREAD_BITS), MANY).astype(np.uint8).reshape(len(part), -1)]
+    return out
+
+
+def marks(spreads_: list[bytes]) -> list[bytes]:
+    """Spreads, in 2**MARK_BITS ranges."""
+    x = np.frombuffer(b"".join(spreads_), dtype=np.uint8).reshape(len(spreads_), 1 << MARK_BITS, 1 << SPREAD_BITS - MARK_BITS)
+    return [m.tobytes() for m in np.minimum(x.sum(axis=2, dtype=np.int64), MANY).astype(np.uint8)]
 
-    def of(batches):
-        for batch in batches:
-            out = []
-            for part in stretches([x.decode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()]):
-                flat, sizes = flat_sets(part)
-                place = np.repeat(np.arange(len(part)), sizes) << PROBE_BITS | (flat >> np.uint64(HASH_BITS - PROBE_BITS)).astype(np.int64)
-                out += [x.tobytes() for x in np.minimum(np.bincount(place, minlength=len(part) << PROBE_BITS), MANY).astype(np.uint8).reshape(len(part), -1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "spread"])
 
-    return map_arrow(texts, of, "node long, spread binary")
+def keys_of(listed: DataFrame) -> DataFrame:
+    """The band keys of different lines, written. Keys of a band meet only their like, so each part of the bands is shuffled by itself."""
+    size = BANDS // KEY_PARTS
+    parts = [materialise(shared_keys(listed.where("keys is not null").select(F.explode(F.slice("keys", at + 1, size)).alias("key"), "node")), "keys") for at in range(0, BANDS, size)]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.union(part)
+    return found
 
 
 def removals(docs: DataFrame, min_chars: int = 1, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, line, first_doc, first_line) of the lines that go, and of the line that stays for each."""
     listed = materialise(lines_table(docs, min_chars), "lines")
     banded = listed.where("keys is not null").select(F.explode("keys").alias("key"), "node")
-    buckets = materialise(wanted(banded, materialise(shared_keys(banded), "keys"), "key").distinct(), "buckets")
+    buckets = materialise(wanted(banded, keys_of(listed), "key").distinct(), "buckets")
     near = materialise(buckets.select("node").distinct(), "near")
     picks = wanted(listed.where("keys is not null").select("doc_id", "line", "node"), near, "node").dropDuplicates(["node"])
     picks = materialise(picks, "picks")
     texts = materialise(line_texts(docs, picks), "texts")
     if texts.count() > picks.count():  # rows with the same doc_id
         texts = materialise(texts.dropDuplicates(["node"]), "texts")
-    labels = Resolver(buckets, verifier(num, den), lambda nodes: spreads(wanted(texts, nodes, "node")), num, den, data=texts).components()
+    sift = sifter(texts.select("node", F.col("mark").alias("spread")), num, den)
+    labels = Resolver(buckets, verifier(num, den), lambda nodes: wanted(texts.select("node", "spread"), nodes, "node"), num, den, data=texts.select("node", "data"), sift=sift, mark_sifted=True).components()
 
     # Only lines that occur again, as they are or as another of their component, can go: no others are joined.
     again = listed.groupBy("node").count().where("count > 1").select("node").join(labels, "node", "left_anti")
@@ -305,5 +323,5 @@ def deduplicate(docs: DataFrame, min_chars: int = 1, num: int = 80, den: int = 1
     gone = gone.select("doc_id", F.size("at").alias("_n"), marks_of(F.col("at")).alias("_gone"))
     joined = docs.join(F.broadcast(gone) if few(found, BROADCAST_LINES) else gone, "doc_id", "left")
     cut = F.when(F.col("_gone").isNotNull(), without_lines(F.col("text"), F.col("_gone")))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).cast("long")
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1).cast("long")
     return joined.select(*[F.coalesce(cut, F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns], n_lines.alias("n_lines"), F.coalesce("_n", F.lit(0)).cast("long").alias("n_removed"))

@@ -59,6 +59,21 @@ def can_link(x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
     return ((num + den) * most >= num * sizes) | (x == MANY).any(axis=-1) | (y == MANY).any(axis=1)
 
 
+def sifter(spreads: DataFrame, num: int, den: int):
+    """Drops pairs that can't be links by their spreads: two sets share no more of a range than the smaller has there. spreads: (node, spread)."""
+
+    def check(batches):
+        for batch in batches:
+            keep = can_link(spread_matrix(batch.column(2)), spread_matrix(batch.column(3)), num, den) if batch.num_rows else np.empty(0, dtype=bool)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    def sift(pairs: DataFrame) -> DataFrame:
+        x, y = (spreads.select(F.col("node").alias(c), F.col("spread").alias(f"s{c}")) for c in ("a", "b"))
+        return map_arrow(pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb"), check, PAIRS)
+
+    return sift
+
+
 def wide_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b) of different components within keys that may be linked, once a pair. rows: key, node, of, spread, n (nodes of the key), keys (all of the node, ascending)."""
     n = F.greatest(F.ceil(F.col("n") / WIDE), F.lit(1)).cast("int")
@@ -71,6 +86,32 @@ def wide_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
     return map_arrow(dealt, block_pairs(num, den), PAIRS)
 
 
+def meet_first(keys: np.ndarray, ends: np.ndarray, key: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether key is the smallest that nodes i[k] and j[k] share, for each k. Node i's keys are keys[ends[i] : ends[i + 1]], ascending; all have key."""
+    below = keys < key
+    n = np.concatenate([[0], np.cumsum(below)])[ends]
+    n = n[1:] - n[:-1]  # keys of each node under this one, which stand first
+    out = np.ones(len(i), dtype=bool)
+    some = np.flatnonzero((n[i] > 0) & (n[j] > 0))
+    for s in range(0, len(some), 1 << 14):
+        part = some[s : s + (1 << 14)]
+        count = n[i[part]]
+        pair = np.repeat(np.arange(len(part)), count)
+        own = keys[np.repeat(ends[i[part]] - (np.cumsum(count) - count), count) + np.arange(len(pair))]
+        at, to = ends[j[part]][pair], (ends[j[part]] + n[j[part]])[pair]
+        while True:  # a step of all binary searches at once
+            open_ = at < to
+            if not open_.any():
+                break
+            mid = (at + to) >> 1
+            less = open_ & (keys[np.minimum(mid, len(keys) - 1)] < own)
+            at = np.where(less, mid + 1, at)
+            to = np.where(open_ & ~less, mid, to)
+        found = (at < (ends[j[part]] + n[j[part]])[pair]) & (keys[np.minimum(at, len(keys) - 1)] == own)
+        out[part[pair[found]]] = False
+    return out
+
+
 def block_pairs(num: int, den: int):
     """Compares the two blocks of each (key, lo, hi) in a stream sorted by those; holds the rows of one at a time.
 
@@ -92,18 +133,17 @@ def block_pairs(num: int, den: int):
             fits = ((num + den) * most >= num * (size + other)) | full[left][:, None] | full[right][None]
             fits &= (den * np.minimum(size, other) >= num * np.maximum(size, other)) | full[left][:, None] | full[right][None]
             fits &= (of[left][:, None] != of[right][None]) & ((node[left][:, None] < node[right][None]) | (lo != hi))
-            for i, j in zip(*(ends_[k] for ends_, k in zip((left, right), np.nonzero(fits), strict=True)), strict=True):
-                if int(np.intersect1d(keys[ends[i] : ends[i + 1]], keys[ends[j] : ends[j + 1]])[0]) == key:
-                    a.append(node[i : i + 1])
-                    b.append(node[j : j + 1])
+            i, j = (of_[k] for of_, k in zip((left, right), np.nonzero(fits), strict=True))
+            first = meet_first(keys, ends, key, i, j)
+            a.append(node[i[first]])
+            b.append(node[j[first]])
             left = left[:0]
         for i in left:
             to = right[(of[right] != of[i]) & ((node[right] > node[i]) | (lo != hi))]
             to = to[(den * np.minimum(sizes[to], sizes[i]) >= num * np.maximum(sizes[to], sizes[i])) | full[to] | full[i]]
             if len(to):
                 to = to[can_link(x[i], x[to], num, den)]
-                own_keys = keys[ends[i] : ends[i + 1]]
-                to = to[[int(np.intersect1d(own_keys, keys[ends[j] : ends[j + 1]])[0]) == key for j in to]] if len(to) else to
+                to = to[meet_first(keys, ends, key, np.full(len(to), i), to)]
                 a.append(np.full(len(to), node[i]))
                 b.append(node[to])
         a, b = np.concatenate(a), np.concatenate(b)
@@ -148,10 +188,12 @@ class Resolver:
     takes (a, b, x, y), x and y being data, and gives the linked (a, b), whose similarity is
     num / den or more. spreads gives (node, spread) of a written table of nodes, perhaps with a few others. possible(x, y) may
     rule out pairs by the buckets' further columns, and sift pairs (a, b) by anything cheaper
-    than their data. data: (node, data) of all nodes, where it is at hand already.
+    than their data. With mark_sifted, pairs that it rules out count as checked, and aren't sifted again.
+    data: (node, data) of all nodes, where it is at hand already.
     """
 
-    def __init__(self, buckets: DataFrame, verify: Step, spreads: Step, num: int, den: int, fetch: Step | None = None, data: DataFrame | None = None, possible: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None, sift: Step | None = None):
+    def __init__(self, buckets: DataFrame, verify: Step, spreads: Step, num: int, den: int, fetch: Step | None = None, data: DataFrame | None = None, possible: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None, sift: Step | None = None, mark_sifted: bool = False):
+        self.mark_sifted = mark_sifted
         self.buckets, self.verify, self.spreads, self.num, self.den, self.fetch, self.sift = buckets, verify, spreads, num, den, fetch, sift
         self.data = data
         self.more = [c for c in buckets.columns if c not in ("key", "node")]
@@ -182,27 +224,32 @@ class Resolver:
         return pairs.union(wide_pairs(wide.join(marks, "node").join(held, "node"), self.num, self.den))
 
     def data_of(self, pairs: DataFrame) -> DataFrame:
-        """(node, data) of the nodes of pairs (written). Later rounds have few of all nodes, and no more are shuffled with them; the first one has nearly all."""
-        if self.tried is None and not self.fetch:
+        """(node, data) of the nodes of pairs (written). Sifted pairs and later rounds have few of all nodes, and no more are shuffled with them; a first one that isn't sifted has nearly all."""
+        whole = self.tried is None and not self.sift
+        if whole and not self.fetch:
             return self.data
         nodes = materialise(pairs.select("a").union(pairs.select("b")).distinct().toDF("node"), "nodes")
         if self.fetch:
             new = nodes if self.data is None else materialise(nodes.join(self.data.select("node"), "node", "left_anti"), "new")
             fresh = materialise(self.fetch(new), "data")
             self.data = fresh if self.data is None else self.data.union(fresh)
-        return self.data if self.tried is None else wanted(self.data, nodes, "node")
+        return self.data if self.tried is None and (whole or self.fetch) else wanted(self.data, nodes, "node")
 
     def check(self, pairs: DataFrame) -> DataFrame:
         """The linked ones of pairs that weren't checked before."""
         pairs = pairs.distinct()
         if self.tried is not None:
             pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
-        pairs = materialise(self.sift(pairs) if self.sift else pairs, "pairs")
+        if self.sift and self.mark_sifted:
+            met = materialise(pairs, "met")
+            pairs = materialise(self.sift(met), "pairs")
+        else:
+            met = pairs = materialise(self.sift(pairs) if self.sift else pairs, "pairs")
         data = self.data_of(pairs)
         full = pairs.join(data.select(F.col("node").alias("a"), F.col("data").alias("x")), "a").join(data.select(F.col("node").alias("b"), F.col("data").alias("y")), "b")
         found = materialise(self.verify(full.select("a", "b", "x", "y")), "links")
-        self.checked = pairs.count()
-        self.tried = pairs if self.tried is None else self.tried.union(pairs)
+        self.checked = met.count()
+        self.tried = met if self.tried is None else self.tried.union(met)
         self.links = found if self.links is None else self.links.union(found)
         return found
 

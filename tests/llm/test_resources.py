@@ -3,6 +3,7 @@
 import random
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.llm import common, jaccard_join, line_dedup, links, quality_rules
@@ -93,3 +94,36 @@ def test_later_rounds_shuffle_only_their_own_nodes(spark):
     later = pairs((1, 5), (6, 7))
     assert sorted(r.node for r in found.data_of(later).collect()) == [1, 5, 6, 7]
     assert {tuple(r) for r in found.check(later).collect()} == {(1, 5), (6, 7)}
+
+
+def test_texts_move_only_for_pairs_that_spreads_allow(spark):
+    lines = {1: "the quick brown fox jumps over the lazy dog", 2: "the quick brown fox jumps over the lazy dogs", 3: "pack my box with five dozen of liquor jugs"}
+    texts = spark.createDataFrame([(k, x.encode(), s) for (k, x), s in zip(lines.items(), line_dedup.spreads([*lines.values()]), strict=True)], "node long, data binary, spread binary")
+    marks, pairs = texts.select("node", "spread"), common.materialise(spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long"), "some")
+    seen = []
+
+    def verify(full):
+        seen.extend((r.a, r.b) for r in full.collect())
+        return line_dedup.verifier(80, 100)(full)
+
+    found = links.Resolver(pairs.select(F.col("a").alias("key"), F.col("b").alias("node")), verify, None, 80, 100, data=texts.select("node", "data"), sift=links.sifter(marks, 80, 100))
+    assert {tuple(r) for r in found.check(pairs).collect()} == {(1, 2)} and seen == [(1, 2)]
+    assert sorted(r.node for r in texts.join(found.data_of(found.links), "node").collect()) == [1, 2]
+
+
+def test_spreads_allow_every_link():
+    rng = random.Random(9)
+    lines = ["".join(rng.choice("abcdé ") for _ in range(n)) for n in (1, 5, 6, 7, 40, 90, 300, 3000, 40_000) for _ in range(3)]
+    lines += [x[: len(x) // 2] + "z" + x[len(x) // 2 + 1 :] for x in lines] + [x + x[: len(x) // 8] for x in lines]
+    sets, marks = [set(line_dedup.shingle_set(x).tolist()) for x in lines], [np.frombuffer(s, dtype=np.uint8) for s in line_dedup.spreads(lines)]
+    coarse = [np.frombuffer(m, dtype=np.uint8) for m in line_dedup.marks(line_dedup.spreads(lines))]
+    linked = [(i, j) for i in range(len(lines)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert len(linked) > 30 and all(links.can_link(m[i], m[j][None], 80, 100).all() for i, j in linked for m in (marks, coarse))
+
+
+def test_pairs_meet_in_their_smallest_key():
+    rng = random.Random(3)
+    lists = [sorted({5, *(rng.randrange(12) for _ in range(rng.randint(0, 6)))}) for _ in range(60)]
+    keys, ends = np.array(sum(lists, []), dtype=np.int64), np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+    i, j = np.repeat(np.arange(60), 60), np.tile(np.arange(60), 60)
+    assert links.meet_first(keys, ends, 5, i, j).tolist() == [min(set(lists[a]) & set(lists[b])) == 5 for a, b in zip(i, j, strict=True)]
