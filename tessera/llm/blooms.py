@@ -33,6 +33,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def mixed_one(x: int) -> int:
+    """mixed() of one number."""
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF
+    return x ^ x >> 31
+
+
 def places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     h = mixed(keys.astype(np.int64).view(np.uint64))
     return h & np.uint64(bits - 1), (h >> np.uint64(32)) & np.uint64(bits - 1)

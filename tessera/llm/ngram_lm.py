@@ -20,13 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blooms import mixed
+from .blooms import mixed, mixed_one
 from .common import kept, map_arrow, materialise, shuffle_partitions, slices, texts_of, work_path
 
 ORDER = 4
 #: 4-grams of a language that a task sorts at once: bounds its memory.
 MERGE_AT = 1_000_000
 LOW = [(1 << (16 * n)) - 1 for n in range(4)]
+TOP = (1 << 64) - 1
 
 
 def units(text: str) -> np.ndarray:
@@ -152,6 +153,13 @@ class SortedHashes:
             behind = behind[self.hashes[at[behind]] < h[behind]]
         return np.where(self.hashes[at] == h, at, -1)
 
+    def value(self, h: int) -> float | None:
+        """find() and the value of one hash: arrays of one cost far more than they hold."""
+        at = int(self.first[h >> int(self.shift)])
+        while (own := int(self.hashes[at])) < h:
+            at += 1
+        return float(self.values[at]) if own == h else None
+
 
 class Model:
     def __init__(self, parts: dict[int, SortedHashes]):
@@ -179,6 +187,18 @@ class Model:
         out[rest] += self.unseen
         return out
 
+    def log_p_of(self, key: int) -> float:
+        """log_p of one 4-gram."""
+        out = 0.0
+        for n in range(ORDER, 0, -1):
+            key &= LOW[n] if n < ORDER else TOP
+            part, back = self.parts.get(2 * n), self.parts.get(2 * (n - 1) + 1)
+            if part is not None and (value := part.value(mixed_one(key))) is not None:
+                return out + value
+            if back is not None:
+                out += back.value(mixed_one(key >> 16)) or 0.0
+        return out + self.unseen
+
 
 def load(path: str, lang: str) -> Model:
     """A worker's model of one language; a language the model doesn't have gives one without n-grams."""

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,7 @@ RUN = re.compile(r"(.)\1\1")
 EDGES = "$!*"
 LEAST_OUTER = "".join(c for c in OUTER if c not in EDGES)
 WIDTH, READINGS = 24, 4
+LAST = struct.Struct("<4H")
 #: Min-hashes that tell near copies, and documents of the other label that every word is taken to be in besides.
 COPIES, DOUBT = 4, 1.0
 #: Letters of a beginning, and words of toxic documents that must have it: with fewer it says no more than the words.
@@ -70,8 +72,11 @@ class Decoder:
         self.scores = Memo(self._score, 200_000)
 
     def _score(self, key: tuple[str, str]) -> float:
-        u = np.frombuffer((key[0] + key[1]).encode("utf-16-le", "surrogatepass"), dtype="<u2").astype(np.uint64)
-        return float(self.model.log_p(ngram_lm.grams(u[-4:]))[0]) if len(u) >= 4 else -20.0
+        units = (key[0] + key[1]).encode("utf-16-le", "surrogatepass")[-8:]
+        if len(units) < 8:
+            return -20.0
+        a, b, c, d = LAST.unpack(units)
+        return self.model.log_p_of(a << 48 | b << 32 | c << 16 | d)
 
     def readings(self, token: str) -> list[str]:
         """The likeliest words that the token may stand for, best first."""
@@ -103,7 +108,7 @@ class Decoder:
             best: dict[tuple[str, str], list] = {}
             for h in grown.values():
                 best.setdefault((h[2], h[3]), []).append(h)
-            beam = heapq.nsmallest(WIDTH, (h for hs in best.values() for h in heapq.nsmallest(3, hs, key=rank)), key=rank)
+            beam = heapq.nsmallest(WIDTH, (h for hs in best.values() for h in (hs if len(hs) <= 3 else heapq.nsmallest(3, hs, key=rank))), key=rank)
         ended = sorted((cost - (0 if end[-1] == " " else self.scores[("  " + end)[-3:].rjust(3), " "]), spelled(path)) for cost, _, end, _, path in beam if end)
         return list(dict.fromkeys(t for _, t in ended))[:READINGS]
 

@@ -55,6 +55,17 @@ def test_model_equals_textbook(spark, make):
     assert np.isfinite(unseen).all() and unseen.max() < -1
 
 
+def test_one_gram_as_many(spark, make):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abc dé\n") for _ in range(200)) for _ in range(10)]
+    model = ngram_lm.load(ngram_lm.train(make(list(enumerate(texts)))), "en")
+    keys = ngram_lm.grams(ngram_lm.units(texts[0] + "zzzzaZbZcZ" + "".join(rng.choice("abcxyz€") for _ in range(500))))
+    for m in (model, ngram_lm.Model({})):
+        assert [m.log_p_of(int(k)) for k in keys] == m.log_p(keys).tolist()
+    scores = toxicity.Decoder(model)
+    assert scores._score(("ab", "c")) == -20.0 and scores._score(("abc", "€")) == model.log_p_of(int(ngram_lm.units("abc€")[3] << np.uint64(48) | ngram_lm.units("abc€")[4] << np.uint64(32) | ngram_lm.units("abc€")[5] << np.uint64(16) | ngram_lm.units("abc€")[6]))
+
+
 def base_rules(text):
     data = (text or "").encode()
     words = data.split()
