@@ -9,7 +9,8 @@ pipeline take, all that aren't blank. Lines shorter than a shingle only have exa
    rows r and bands b two lines of similarity s meet with probability 1 - (1 - s**r)**b.
 2. Candidates whose spreads (how many shingles lie in each of equal ranges of hashes) rule
    a link out are dropped without their texts. links.Resolver verifies the others by the
-   exact Jaccard similarity of the shingle sets and joins them, by distributed union-find.
+   exact Jaccard similarity of the shingle sets and joins them, by distributed union-find;
+   those of wide buckets in the task that finds them, which gives the joining links only.
 3. Of each component the first line (smallest doc_id, then place) stays, also among
    exact copies, and the others go.
 
@@ -241,17 +242,30 @@ def overlaps(flat: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarray)
     return np.concatenate(out) if out else np.empty(0, dtype=np.int64)
 
 
+def alike(num: int, den: int):
+    """Of texts as they are compared, which pairs are links."""
+
+    def of(texts: list[bytes]):
+        flat, sizes = flat_sets([d.decode("utf-8", "surrogatepass") for d in texts])
+
+        def linked(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            least, most = np.minimum(sizes[x], sizes[y]), np.maximum(sizes[x], sizes[y])
+            near = np.flatnonzero(den * least >= num * most)
+            keep = np.zeros(len(x), dtype=bool)
+            keep[near] = (num + den) * overlaps(flat, sizes, x[near], y[near]) >= num * (least + most)[near]
+            return keep
+
+        return linked
+
+    return of
+
+
 def verifier(num: int, den: int):
     def check(batches):
         for batch in batches:
             place: dict[bytes, int] = {}
             x, y = (np.array([place.setdefault(d, len(place)) for d in batch.column(c).to_pylist()], dtype=np.int64) for c in (2, 3))
-            flat, sizes = flat_sets([d.decode("utf-8", "surrogatepass") for d in place])
-            least, most = np.minimum(sizes[x], sizes[y]), np.maximum(sizes[x], sizes[y])
-            near = np.flatnonzero(den * least >= num * most)
-            keep = np.zeros(len(x), dtype=bool)
-            keep[near] = (num + den) * overlaps(flat, sizes, x[near], y[near]) >= num * (least + most)[near]
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            yield batch.select(["a", "b"]).filter(pa.array(alike(num, den)([*place])(x, y)))
 
     return lambda pairs: map_arrow(pairs, check, PAIRS)
 
@@ -294,7 +308,7 @@ def removals(docs: DataFrame, min_chars: int = 1, num: int = 80, den: int = 100)
     if texts.count() > picks.count():  # rows with the same doc_id
         texts = materialise(texts.dropDuplicates(["node"]), "texts")
     sift = sifter(texts.select("node", F.col("mark").alias("spread")), num, den)
-    labels = Resolver(buckets, verifier(num, den), lambda nodes: wanted(texts.select("node", "spread"), nodes, "node"), num, den, data=texts.select("node", "data"), sift=sift, mark_sifted=True).components()
+    labels = Resolver(buckets, verifier(num, den), lambda nodes: wanted(texts.select("node", "spread", "data"), nodes, "node"), num, den, data=texts.select("node", "data"), sift=sift, mark_sifted=True, exact=alike(num, den)).components()
 
     # Only lines that occur again, as they are or as another of their component, can go: no others are joined.
     again = listed.groupBy("node").count().where("count > 1").select("node").join(labels, "node", "left_anti")

@@ -6,7 +6,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.llm import common, jaccard_join, line_dedup, links, quality_rules
+from tessera.llm import common, components, jaccard_join, line_dedup, links, quality_rules
 
 
 def files(spark):
@@ -127,3 +127,45 @@ def test_pairs_meet_in_their_smallest_key():
     keys, ends = np.array(sum(lists, []), dtype=np.int64), np.concatenate([[0], np.cumsum([len(x) for x in lists])])
     i, j = np.repeat(np.arange(60), 60), np.tile(np.arange(60), 60)
     assert links.meet_first(keys, ends, 5, i, j).tolist() == [min(set(lists[a]) & set(lists[b])) == 5 for a, b in zip(i, j, strict=True)]
+
+
+def test_wide_buckets_of_lines_give_links_in_proportion_to_their_nodes(spark):
+    """A bucket of near copies in components of their own: pairs grow with its square, rows mustn't."""
+    rng = random.Random(5)
+    base = "".join(rng.choice("abcdefghij klmnop") for _ in range(150))
+    lines = [base[: (p := 3 * n)] + "Z" + base[p + 1 :] for n in range(50)]
+    lines += ["".join(rng.choice("qrstuvwxyz") for _ in range(150)) for _ in range(20)]
+    lines += [x[:140] + "0123456789" for x in lines[50:60]]
+    rows = [(key, k, k, s, x.encode(), len(lines), [7, 8]) for key in (7, 8) for k, (x, s) in enumerate(zip(lines, line_dedup.spreads(lines), strict=True))]
+    wide = spark.createDataFrame(rows, "key long, node long, of long, spread binary, data binary, n long, keys array<long>")
+    sets = [set(line_dedup.shingle_set(x).tolist()) for x in lines]
+    want = {(i, j) for j in range(len(lines)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    allowed = [tuple(r) for r in links.wide_pairs(wide, 80, 100).collect()]
+    assert len(allowed) == len(set(allowed)) and want <= set(allowed) and len(want) > 10 * len(lines)
+    whole = None
+    for at_once, block in ((64, 512), (4, 512), (64, 30), (200, 512)):
+        own = links.AT_ONCE, links.WIDE
+        links.AT_ONCE, links.WIDE = at_once, block
+        try:
+            got = [tuple(r) for r in links.wide_pairs(wide.coalesce(1), 80, 100, line_dedup.alike(80, 100)).collect()]
+        finally:
+            links.AT_ONCE, links.WIDE = own
+        assert set(got) <= want and (block < 512 or len(got) < len(lines))
+        label = list(range(len(lines)))
+        for a, b in got:
+            label = [label[a] if x == label[b] else x for x in label]
+        parts = {frozenset(k for k in range(len(lines)) if label[k] == x) for x in label}
+        whole = whole or parts
+        assert parts == whole and sorted(map(len, parts))[-1] == 50 and len(parts) == 21
+
+
+def test_few_edges_are_one_forest(spark, monkeypatch):
+    edges = [(i, i + 1) for i in range(5000) if i % 50]
+    random.Random(1).shuffle(edges)
+    table = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    asked = []
+    monkeypatch.setattr(components, "stars", lambda e, own=components.stars: asked.append(1) or own(e))
+    few = {(r.node, r.component) for r in components.connected_components(table).collect()}
+    assert not asked and few == {(i, (i - 1) // 50 * 50 + 1) for i in range(1, 5001)}
+    monkeypatch.setattr(components, "FOREST_EDGES", 300)
+    assert {(r.node, r.component) for r in components.connected_components(table).collect()} == few and asked
