@@ -92,7 +92,8 @@ def wide_pairs(rows: DataFrame, num: int, den: int, exact: Exact | None = None)
     n = F.greatest(F.ceil(F.col("n") / WIDE), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("node"), n).cast("int")
     other = F.explode(F.sequence(F.lit(0), n - 1))
-    dealt = rows.select("key", "node", "of", "spread", *data, "keys", own.alias("own"), other.alias("other"))
+    below = F.slice("keys", F.lit(1), F.array_position("keys", F.col("key")).cast("int") - 1).alias("keys")  # what meet_first asks for
+    dealt = rows.select("key", "node", "of", "spread", *data, below, own.alias("own"), other.alias("other"))
     dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "of", "spread", *data, "keys")
 
     dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")

@@ -169,3 +169,13 @@ def test_few_edges_are_one_forest(spark, monkeypatch):
     assert not asked and few == {(i, (i - 1) // 50 * 50 + 1) for i in range(1, 5001)}
     monkeypatch.setattr(components, "FOREST_EDGES", 300)
     assert {(r.node, r.component) for r in components.connected_components(table).collect()} == few and asked
+
+
+def test_wide_buckets_move_only_the_keys_that_are_asked_for(spark, monkeypatch):
+    dealt = []
+    monkeypatch.setattr(links, "map_arrow", lambda df, fn, schema, own=links.map_arrow: dealt.append(df) or own(df, fn, schema))
+    mark = links.spread(np.arange(40, dtype=np.uint64) << np.uint64(58))
+    rows = [(key, node, node, mark, 4, [2, 5, 9]) for key in (2, 5, 9) for node in range(4)]
+    wide = spark.createDataFrame(rows, "key long, node long, of long, spread binary, n long, keys array<long>").coalesce(1)
+    assert sorted(tuple(r) for r in links.wide_pairs(wide, 85, 100).collect()) == [(a, b) for a in range(4) for b in range(a + 1, 4)]
+    assert {(r.key, tuple(r["keys"])) for r in dealt[0].collect()} == {(2, ()), (5, (2,)), (9, (2, 5))}
