@@ -134,6 +134,7 @@ def l2(a: str, b: str) -> str:
 
 
 ASKED = ", asked AS (SELECT vec_id AS qid, q AS x FROM v WHERE vec_id % 50 = 0)"
+EVERY = ", asked AS (SELECT vec_id AS qid, q AS x FROM v)"
 SEEDS = f"""
 , numbered AS (SELECT q, vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS rn, greatest(count(*) OVER () // {CLUSTERS}, 1) AS step FROM v)
 , seeds AS (SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INTEGER) AS cluster_id, q AS c FROM numbered WHERE rn % step = 0 AND rn < step * {CLUSTERS})"""
@@ -238,5 +239,5 @@ ORACLE_SQL: dict[str, str] = {
     "references_json": f"{EVENTS} SELECT label, count(*) AS n, {', '.join(f'CAST(sum(q[{i + 1}]) AS BIGINT) AS sum_q{i}' for i in range(DIMS))} FROM v GROUP BY label",
     "http_routes": "SELECT * FROM (VALUES (1, 0, '/ready', 0, false, true, 0, 200, 200), (2, 0, '/fraud-score', 5, false, true, 5, 400, 503), (3, 0, '/fraud-score', 3, true, true, 3, 400, 503), (4, 0, '/fraud-score?x=1', 0, true, true, 0, 404, 503), (5, 0, '/other', 0, false, true, 0, 404, 503), (6, 0, '/fraud-score', 9, false, false, 5, 400, 503), (7, 0, '/ready', 0, false, false, 0, 200, 200), (8, 0, '/fraud-score', 10, false, true, 9, 400, 503), (8, 1, '/ready', 0, false, true, 0, 200, 200), (8, 2, '/x', 0, false, false, 0, 404, 503), (9, 0, '/ready', 0, true, true, 0, 200, 200), (10, 0, '/a', 8, false, true, 8, 404, 503), (10, 1, '/b', 0, false, true, 0, 404, 503)) AS t(id, place, path, content_length, close, complete, body_chars, status, status_unready)",
     "http_scores": f"{EVENTS} {ASKED} {_responses()}",
-    "stream_score": FLAGSHIP,
+    "stream_score": f"{EVENTS} {EVERY} {FLAGSHIP_BODY}",
 }

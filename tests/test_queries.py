@@ -43,3 +43,11 @@ def test_flagship_plan_shuffles_only_the_best_few(spark):
     df = catalog.QUERIES["exact_knn5_embeddings"](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and plan.count("Exchange hashpartitioning(qid") == 1
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_stream_scores_every_event(spark, duck):
+    """One score for each row of the table, by the query and by its SQL."""
+    events = sorted(duck.sql("SELECT event_id FROM events").fetchall())
+    assert sorted((r.qid,) for r in catalog.QUERIES["stream_score"](spark, SF).select("qid").collect()) == events
+    assert sorted(duck.sql(f"SELECT qid FROM ({catalog.ORACLE_SQL['stream_score']})").fetchall()) == events
