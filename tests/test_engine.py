@@ -90,6 +90,18 @@ def test_many_queries_by_regions(spark, monkeypatch, held):
     assert got == brute([tuple(r) for r in refs.collect()], [tuple(r) for r in queries.collect()], 5)
 
 
+def test_few_references_keep_all_cores_busy(spark, monkeypatch):
+    """Many queries of few references: these are dealt out by more than one region, as one task reads a region."""
+    trees, deal = [], search.by_regions
+    monkeypatch.setattr(search, "by_regions", lambda rows, tree, dims: trees.append(tree) or deal(rows, tree, dims))
+    for name, value in (("MANY", 10), ("BLOCK", 4)):
+        monkeypatch.setattr(search, name, value)
+    refs, asked = vectors(spark, 300), vectors(spark, 100, seed=2)
+    queries = asked.withColumnRenamed("vec_id", "qid").drop("label")
+    assert search.nearest(refs, queries).count() == 500
+    assert [len(column) for column, _ in trees] == [2 * spark.sparkContext.defaultParallelism]
+
+
 def test_pruned_search_equals_all_distances():
     """Leaves that are left out hold none of the best, whatever comes first; equal vectors are cut to the k smallest ids."""
     rng = np.random.default_rng(4)
